@@ -105,6 +105,15 @@ class WordEncoder:
 
         self.of_text, self.words, self.chunks = of_text, ChunkMemo(of_word), ChunkMemo(of_text, MEMO_ENTRIES // 4)
 
+    def chunk(self, chunk: str) -> bytes:
+        """The id bytes of a string without spaces and line ends."""
+        if not chunk:
+            return b""
+        body = chunk.rstrip(",.")
+        if body.isascii() and body.isalpha():
+            return self.words[body.lower()] + (self.chunks[chunk[len(body) :]] if len(body) < len(chunk) else b"")
+        return self.chunks[chunk]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another; number of ids of each text). Null: none."""
         parts = [self._slice(texts.slice(a, n)) for a, n in slices(texts)]
