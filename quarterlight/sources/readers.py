@@ -25,7 +25,7 @@ def reports(spark: SparkSession, folder: str, pattern: str = REPORTS) -> DataFra
     """Records of both generations in map form: a key with a null differs from no key.
 
     ``corrupt`` marks files that are not JSON objects; their fields are null."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("json"))
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("json"))
     top = raw.withColumn("top", F.from_json("json", "map<string,string>"))
     get = lambda k: F.try_element_at("top", F.lit(k))
     as_map = lambda c: F.from_json(c, "map<string,string>")
