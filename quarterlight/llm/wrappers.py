@@ -208,7 +208,8 @@ def region(template: list) -> tuple[tuple[str, ...], bool]:
     node, path = template, (template[0],)
     while True:
         whole = varying(node, pages)
-        heavy = [c for c in node[5] if whole and varying(c, pages) >= REGION * whole]
+        # A node whose text is mostly its own is a block of the region, not the region.
+        heavy = [c for c in node[5] if whole and varying(c, pages) >= REGION * whole and 2 * sum(varying(x, pages) for x in c[5]) >= varying(c, pages)]
         if not heavy:
             return path, False
         node = heavy[0]
