@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows of text that are worked on at a time hold about this many bytes.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 def sliced(batches, column: str = "text", most: int = SLICE_BYTES):
@@ -17,6 +17,7 @@ def sliced(batches, column: str = "text", most: int = SLICE_BYTES):
     for batch in batches:
         for a, n in slices(batch.column(column), most):
             yield batch.slice(a, n)
+        pa.default_memory_pool().release_unused()
 
 
 def flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .texts import sliced, split_words
 
-SAMPLE = 8192
+SAMPLE = 5000
 LANDMARKS = 192
 DECAY = 0.6
 SPAN = 7
@@ -188,6 +188,16 @@ def dense(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return known, out
 
 
+def against(words: list[str], subs: np.ndarray, z: np.ndarray, rows: int = 512) -> np.ndarray:
+    """The kernel of each word with the landmarks, whose subsequences are ``subs`` and weights ``z``."""
+    out = np.zeros((len(words), len(z)))
+    for a in range(0, len(words), rows):
+        mine, x = dense(words[a : a + rows])
+        common, i, j = np.intersect1d(mine, subs, assume_unique=True, return_indices=True)
+        out[a : a + rows] = x[:, i] @ z[:, j].T
+    return out
+
+
 def inserted(word: str) -> list[str]:
     """The word with a letter put in or replaced, as insults are disguised."""
     if len(word) < 4:
@@ -204,20 +214,31 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     if not toxic.any() or toxic.all():
         return constant
 
-    # Distinct words of each sentence (line, or part of one up to a full stop), by document.
-    split = [(d, x.split()) for d, text in enumerate(texts) for x in re.split(r"(?<=[.!?])\s+|\n", text or "")]
-    raw = pa.array([w for _, s in split for w in s], pa.string()).dictionary_encode()
-    form = dict(zip(raw.dictionary.to_pylist(), normal(raw.dictionary).to_pylist(), strict=True))
+    # Distinct words of each sentence (line, or part of one up to a full stop), as numbers, by document.
+    number: dict[str, int] = {}
+    known: dict[str, int] = {}
     bags, owner = [], []
-    for d, sentence in split:
-        if got := {form[w] for w in sentence if len(form[w]) > 2}:
-            bags.append(sorted(got))
-            owner.append(d)
-    vocabulary = sorted({w for b in bags for w in b})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    flat = np.array([number[w] for b in bags for w in b], np.int64)
-    ends = np.cumsum([len(b) for b in bags])
-    doc = np.repeat(np.array(owner), [len(b) for b in bags])
+
+    def of(raw: str) -> int:
+        if (n := known.get(raw)) is None:
+            word = re.sub(r"[\W_]+", "", raw.lower())
+            n = known[raw] = number.setdefault(word, len(number)) if len(word) > 2 else -1
+        return n
+
+    for d, text in enumerate(texts):
+        for sentence in re.split(r"(?<=[.!?])\s+|\n", text or ""):
+            if got := {of(w) for w in sentence.split()} - {-1}:
+                bags.append(np.array(sorted(got), np.int32))
+                owner.append(d)
+    del known
+    if not bags:
+        return constant
+    vocabulary = list(number)
+    flat = np.concatenate(bags).astype(np.int64)
+    sizes = np.array([len(b) for b in bags])
+    ends = np.cumsum(sizes)
+    doc = np.repeat(np.array(owner), sizes)
+    del bags, number
     once = np.unique(doc * len(vocabulary) + flat)
     label = toxic[once // len(vocabulary)]
     pos = np.bincount((once % len(vocabulary))[label], minlength=len(vocabulary))
@@ -245,17 +266,17 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         rest = np.setdiff1d(negative, rows)
         chosen = np.r_[rows[np.argsort(-count, kind="stable")][: landmarks // 2], rest[np.argsort(-value[rest], kind="stable")][: landmarks // 2]]
         gapped = [g for i in rows for g in inserted(vocabulary[i])]
-        known, x = dense([*(vocabulary[i] for i in np.r_[rows, rest]), *gapped, *(vocabulary[i] for i in chosen)])
-        z, x = x[-len(chosen) :], x[: -len(chosen)]
+        subs, z = dense([vocabulary[i] for i in chosen])
+        kernel = against([*(vocabulary[i] for i in np.r_[rows, rest]), *gapped], subs, z)
         # Nystroem: features k(x, z) K^(-1/2), small eigenvalues left out.
         values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
         some = values > 1e-6 * values.max()
         root = vectors[:, some] / np.sqrt(values[some])
         y = np.r_[np.ones(len(rows)), -np.ones(len(rest)), np.ones(len(gapped))]
         cost = np.r_[10.0 * np.minimum(count, 5), np.full(len(rest), 10.0), np.full(len(gapped), 2.0)]
-        w, bias = solve((x @ z.T) @ root, y, cost)
+        w, bias = solve(kernel @ root, y, cost)
         weight = np.zeros(ALPHABET**3)
-        weight[known] = z.T @ (root @ w)
+        weight[subs] = z.T @ (root @ w)
         machine = Machine(weight, bias, 1.0, 0.0)
         value = machine.decide(words_pa)
     f = np.full(len(texts), machine.bias)
