@@ -16,10 +16,11 @@ def document_type(chars: Column, ratio: Column) -> Column:
 
 
 def document_types(pages: DataFrame, doc_id: str = "doc_id", page_no: str = "page_no", text: str = "text", first: int = SAMPLED_PAGES, dropped: str = T.MEANINGLESS) -> DataFrame:
-    """(doc_id, total_pages, meaningful_chars, text_ratio, doc_type).  Page numbers are ranked without
-    the texts; a document's pages after the first ones never reach the text expression."""
-    ranked = pages.withColumn("_rank", F.row_number().over(Window.partitionBy(doc_id).orderBy(page_no)))
-    chars = F.when(F.col("_rank") <= first, T.meaningful_chars(F.col(text), dropped))
+    """(doc_id, total_pages, meaningful_chars, text_ratio, doc_type).  Characters are counted
+    where the pages are read; only the counts are ranked and summed, no text is shuffled."""
+    counted = pages.select(doc_id, page_no, T.meaningful_chars(F.col(text), dropped).alias("_chars"))
+    ranked = counted.withColumn("_rank", F.row_number().over(Window.partitionBy(doc_id).orderBy(page_no)))
+    chars = F.when(F.col("_rank") <= first, F.col("_chars"))
     out = ranked.groupBy(doc_id).agg(F.coalesce(F.sum(chars), F.lit(0)).alias("meaningful_chars"), F.count("*").alias("total_pages"))
     out = out.withColumn("text_ratio", T.text_ratio(F.col("meaningful_chars"), F.least("total_pages", F.lit(first))))
     return out.select(F.col(doc_id).alias("doc_id"), "total_pages", "meaningful_chars", "text_ratio", document_type(F.col("meaningful_chars"), F.col("text_ratio")).alias("doc_type"))

@@ -410,3 +410,36 @@ def newest_file(spark, d):
 @query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS succeeded, coalesce(bool_or(quality = 1), false) AS any_success FROM labels")
 def batch_success(spark, d):
     return merge.batch_result(read(spark, d, "labels").withColumn("success", F.col("quality") == 1))
+
+
+@query("""
+SELECT total, failed, average_seconds, array_to_string(list_filter([
+  CASE WHEN failed::DOUBLE / total > 0.2 THEN '失敗率較高，建議檢查PDF品質和OCR設定' END, CASE WHEN average_seconds > 300 THEN '處理時間較長，建議啟用並行處理或GPU加速' END,
+  'OCR相關錯誤較多，建議調整信心閾值或切換OCR引擎'], lambda x: x IS NOT NULL), ';') AS recommendations FROM (
+  SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS failed, coalesce(sum(CAST(o_totalprice AS DECIMAL(28, 6)))::DOUBLE / count(o_totalprice), 0) AS average_seconds FROM orders)
+""")
+def recommendations(spark, d):
+    rows = read(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "failed").otherwise("pending").alias("status"), F.col("o_totalprice").alias("processing_time"), F.lit(0).alias("retry_count"))
+    report = tracking.recommendations(tracking.progress(rows), F.array(F.lit("OCR failed"), F.lit("other")))
+    return report.select("total", "failed", "average_seconds", F.array_join("recommendations", ";").alias("recommendations"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def grouped_counts(spark, d):
+    return catalog.counts(read(spark, d, "documents"), "lang", "source")
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.com')")
+def name_search(spark, d):
+    return read(spark, d, "pages").filter(F.contains(F.lower("url"), F.lit("Example.COM".lower()))).select("page_id", "url")
+
+
+@query("""
+SELECT conv_id, CASE WHEN doc_type = 'scanned' THEN 'low' WHEN n > 0 AND doc_type = 'text_based' THEN 'high' WHEN n > 0 OR chars > 0 THEN 'medium' ELSE 'low' END AS confidence FROM (
+  SELECT conv_id, n, chars, CASE WHEN chars <= 100 THEN 'scanned' WHEN chars::DOUBLE / (pages * 500) > 0.3 OR chars > 1000 THEN 'text_based' ELSE 'mixed' END AS doc_type FROM (
+    SELECT conv_id, conv_id % 2 AS n, least(count(*), 5) AS pages, sum(CASE WHEN rk <= 5 THEN length(regexp_replace(text, '[^\\p{L}\\p{N}，。、；：！？"（）【】]', '', 'g')) ELSE 0 END) AS chars
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rk FROM conversations) GROUP BY conv_id))
+""")
+def strategy_confidence(spark, d):
+    types = classify.document_types(read(spark, d, "conversations"), "conv_id", "turn")
+    return types.select(F.col("doc_id").alias("conv_id"), classify.strategy(F.col("doc_type"), F.col("doc_id") % 2, F.col("meaningful_chars") > 0).alias("confidence"))
