@@ -15,9 +15,8 @@ over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
    with its best linked node where the two are not yet in one class; then all pairs of
    nodes in different classes that share two bands are candidates.  (At a similarity of
    0.8 two nodes share two of the bands with probability 0.997, at 0.85 with 0.9999.)  A
-   bucket of more than FULL nodes is cut by every later band first; what is still larger
-   then is linked through two of its nodes only.  No pairs inside a class are made, so
-   a group of n near copies costs about n candidates.
+   bucket of more than FULL nodes is cut by every later band first.  No pairs inside a
+   class are made, so a group of n near copies costs about n candidates.
 5. A candidate is a link if the weighted Jaccard similarity of the full texts is
    at least SIMILARITY, or, where rare differences weigh more than frequent common
    text, the similarity with all weights equal.  Classes are the connected components of links, found by
@@ -50,8 +49,10 @@ DF_BITS = 20
 DF_CHUNK = 1 << 12
 DAMP = 0.25
 SLOT_BITS = 15
-#: All pairs of different classes are compared in buckets of up to so many nodes.
+#: Buckets of more nodes are cut by a second band before their pairs are made.
 FULL = 64
+#: Nodes of a large bucket that one task pairs with as many others.
+CELL = 512
 #: Shingles sampled at a time; sketches merged by one task.
 CHUNK = 1 << 13
 #: Bytes of text worked on at a time; shingles take about ten times as much.
@@ -289,30 +290,30 @@ def candidates(nodes: DataFrame) -> DataFrame:
     label, links so far, bands.
 
     A bucket of up to FULL nodes gives each such pair in the first band that it shares.  A larger
-    one is cut by each later band; what is still larger is paired with two of its
-    nodes: that with the most links, which is most like the others, and the least."""
+    one is cut by each later band and gives it in the first two, whatever their size."""
     level = mixed_buckets(nodes.select("node", "label", "links", "bands", F.posexplode("bands").alias("at", "key")))
     few, many = level.filter(F.col("n") <= FULL), level.filter(F.col("n") > FULL)
-    x = few.select("key", "at", F.col("node").alias("p"), F.col("label").alias("lp"), F.col("bands").alias("bp"))
-    y = few.select("key", F.col("node").alias("q"), F.col("label").alias("lq"), F.col("bands").alias("bq"))
     same = shared_bands("bp", "bq")
-    twice = (F.array_position(same, True) == F.col("at") + 1) & (F.size(F.filter(same, lambda e: e)) >= 2)
-    pairs = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("lp") < F.col("lq")) & twice).select(*pairs_of("p", "q"))
+    first = F.array_position(same, True) == F.col("at") + 1
+    pairs = crossed(few, ["at"], first & (F.size(F.filter(same, lambda e: e)) >= 2))
 
     # Only later bands that the node shares with a node of another class can matter.
     later = many.select("node", "label", "links", "bands", "key", "at").join(level.select("node", F.col("at").alias("later"), F.col("key").alias("next")), "node").filter("later > at")
     level = mixed_buckets(later.select("node", "label", "links", "bands", "at", "later", F.xxhash64("key", "next").alias("key")))
-    few, many = level.filter(F.col("n") <= FULL), level.filter(F.col("n") > FULL)
-    x = few.select("key", "at", "later", F.col("node").alias("p"), F.col("label").alias("lp"), F.col("bands").alias("bp"))
-    y = few.select("key", F.col("node").alias("q"), F.col("label").alias("lq"), F.col("bands").alias("bq"))
-    # Once a pair: in the first two bands that it shares.
-    first = F.array_position(same, True) == F.col("at") + 1
     second = F.array_position(F.slice(same, F.col("at") + 2, BANDS), True) == F.col("later") - F.col("at")
-    pairs = pairs.union(x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("lp") < F.col("lq")) & first & second).select(*pairs_of("p", "q")))
-    ends = many.groupBy("key").agg(F.max(F.struct("links", "node", "label")).alias("hub"), F.min(F.struct("node", "label")).alias("low"))
-    many = many.join(ends, "key")
-    pairs = pairs.union(many.filter("label <> hub.label").select(*pairs_of("node", "hub.node"))).union(many.filter("label <> low.label").select(*pairs_of("node", "low.node")))
-    return pairs.distinct()
+    return pairs.union(crossed(level, ["at", "later"], first & second)).distinct()
+
+
+def crossed(level: DataFrame, of: list[str], once) -> DataFrame:
+    """(a, b): all pairs of nodes of one bucket that are of different classes and for which
+    ``once`` holds, whatever the bucket's size: a large one is dealt over cells of at most
+    about CELL x CELL nodes."""
+    cells, cell = F.ceil(F.col("n") / CELL).cast("int"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL)).cast("int")
+    rows, other = level.withColumn("cell", cell), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other")
+    x = rows.select("key", *of, F.col("cell").alias("i"), other.alias("j"), F.col("node").alias("p"), F.col("label").alias("lp"), F.col("bands").alias("bp"))
+    y = rows.select("key", other.alias("i"), F.col("cell").alias("j"), F.col("node").alias("q"), F.col("label").alias("lq"), F.col("bands").alias("bq"))
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
+    return x.alias("x").join(y.alias("y"), [*on, (F.col("lp") < F.col("lq")) & once]).select(*pairs_of("p", "q"))
 
 
 def mixed_buckets(level: DataFrame) -> DataFrame:

@@ -186,6 +186,29 @@ def test_near_duplicates(spark):
     assert near_dedup.classes(docs.limit(0)).count() == 0 and near_dedup.distinct(docs.limit(0)).count() == 0
 
 
+def banded(spark, rows):
+    """A frame of nodes as ``candidates`` takes them, from (label, the bands that are not the node's own)."""
+    keys = [[own.get(b, -(b + 16 * i) - 1) for b in range(16)] for i, (_, own) in enumerate(rows)]
+    nodes = [(bytes([0, i // 256, i % 256]), bytes([1, label // 256, label % 256]), 0, k) for i, ((label, _), k) in enumerate(zip(rows, keys, strict=True))]
+    want = {(a[0], b[0]) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if a[1] != b[1] and sum(p == q for p, q in zip(a[3], b[3], strict=True)) >= 2}
+    return spark.createDataFrame(nodes, "node binary, label binary, links long, bands array<long>").repartition(3), want
+
+
+def paired(nodes):
+    rows = [(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.candidates(nodes).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize("cell", [16, 512])
+def test_candidates_of_large_buckets(spark, monkeypatch, cell):
+    monkeypatch.setattr(near_dedup, "CELL", cell, raising=False)
+    # 100 nodes agree in bands 0 and 1; two of them, neither hub nor least, in band 7, too.
+    nodes, want = banded(spark, [(i, {0: 5, 1: 6} | ({7: 8} if i in (40, 60) else {})) for i in range(100)])
+    got = paired(nodes)
+    assert (bytes([0, 0, 40]), bytes([0, 0, 60])) in got and got == want
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = near_dedup.mixed(np.arange(1, 401, dtype=np.uint64))
