@@ -209,6 +209,12 @@ def test_candidates_of_large_buckets(spark, monkeypatch, cell):
     assert (bytes([0, 0, 40]), bytes([0, 0, 60])) in got and got == want
 
 
+def test_candidates_that_no_band_cuts(spark):
+    # Two classes of 45 nodes that agree in three bands: no further band makes the bucket small.
+    nodes, want = banded(spark, [(i % 2, {2: 5, 3: 6, 9: 7}) for i in range(90)])
+    assert len(want) == 45 * 45 and paired(nodes) == want
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = near_dedup.mixed(np.arange(1, 401, dtype=np.uint64))
