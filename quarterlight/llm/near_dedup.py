@@ -15,7 +15,7 @@ over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
    with its best linked node where the two are not yet in one class; then all pairs of
    nodes in different classes that share two bands are candidates.  (At a similarity of
    0.8 two nodes share two of the bands with probability 0.997, at 0.85 with 0.9999.)  A
-   bucket of more than FULL nodes is cut by every later band first.  No pairs inside a
+   bucket with more than FULL x FULL pairs is cut by every later band first.  No pairs inside a
    class are made, so a group of n near copies costs about n candidates.
 5. A candidate is a link if the weighted Jaccard similarity of the full texts is
    at least SIMILARITY, or, where rare differences weigh more than frequent common
@@ -49,7 +49,8 @@ DF_BITS = 20
 DF_CHUNK = 1 << 12
 DAMP = 0.25
 SLOT_BITS = 15
-#: Buckets of more nodes are cut by a second band before their pairs are made.
+#: Buckets with more pairs than FULL x FULL are cut by a second band before their pairs are
+#: made; pairs are counted as nodes outside the largest class times all nodes.
 FULL = 64
 #: Nodes of a large bucket that one task pairs with as many others.
 CELL = 512
@@ -289,10 +290,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): pairs of nodes of different classes that share two bands.  ``nodes``: node,
     label, links so far, bands.
 
-    A bucket of up to FULL nodes gives each such pair in the first band that it shares.  A larger
+    A bucket of up to FULL x FULL pairs gives each in the first band that it shares.  A larger
     one is cut by each later band and gives it in the first two, whatever their size."""
     level = mixed_buckets(nodes.select("node", "label", "links", "bands", F.posexplode("bands").alias("at", "key")))
-    few, many = level.filter(F.col("n") <= FULL), level.filter(F.col("n") > FULL)
+    few, many = level.filter(F.col("rest") * F.col("n") <= FULL * FULL), level.filter(F.col("rest") * F.col("n") > FULL * FULL)
     same = shared_bands("bp", "bq")
     first = F.array_position(same, True) == F.col("at") + 1
     pairs = crossed(few, ["at"], first & (F.size(F.filter(same, lambda e: e)) >= 2))
@@ -306,20 +307,25 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 def crossed(level: DataFrame, of: list[str], once) -> DataFrame:
     """(a, b): all pairs of nodes of one bucket that are of different classes and for which
-    ``once`` holds, whatever the bucket's size: a large one is dealt over cells of at most
-    about CELL x CELL nodes."""
-    cells, cell = F.ceil(F.col("n") / CELL).cast("int"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL)).cast("int")
-    rows, other = level.withColumn("cell", cell), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other")
-    x = rows.select("key", *of, F.col("cell").alias("i"), other.alias("j"), F.col("node").alias("p"), F.col("label").alias("lp"), F.col("bands").alias("bp"))
-    y = rows.select("key", other.alias("i"), F.col("cell").alias("j"), F.col("node").alias("q"), F.col("label").alias("lq"), F.col("bands").alias("bq"))
+    ``once`` holds, whatever the bucket's size: the nodes outside its largest class with all
+    nodes, a large bucket dealt over cells of about CELL x CELL nodes."""
+
+    def dealt(n):
+        return F.pmod(F.xxhash64("node"), F.ceil(n / CELL)).cast("int"), F.explode(F.sequence(F.lit(0), F.ceil(n / CELL).cast("int") - 1))
+
+    (i, all_i), (j, all_j) = dealt(F.col("rest")), dealt(F.col("n"))
+    x = level.filter("label <> top").select("key", *of, "top", i.alias("i"), all_j.alias("j"), F.col("node").alias("p"), F.col("label").alias("lp"), F.col("bands").alias("bp"))
+    y = level.select("key", all_i.alias("i"), j.alias("j"), F.col("node").alias("q"), F.col("label").alias("lq"), F.col("bands").alias("bq"))
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
-    return x.alias("x").join(y.alias("y"), [*on, (F.col("lp") < F.col("lq")) & once]).select(*pairs_of("p", "q"))
+    other = (F.col("lq") == F.col("top")) | (F.col("lp") < F.col("lq"))
+    return x.alias("x").join(y.alias("y"), [*on, other & once]).select(*pairs_of("p", "q"))
 
 
 def mixed_buckets(level: DataFrame) -> DataFrame:
-    """The rows of buckets with nodes of different classes, and ``n``, their number of nodes."""
-    sizes = level.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "n")
-    return saved(level.join(sizes, "key"))
+    """The rows of buckets with nodes of different classes, ``n``, their number of nodes,
+    ``top``, their largest class, and ``rest``, the number of nodes outside it."""
+    sizes = level.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most"))
+    return saved(level.join(sizes.filter("n > most.c").select("key", "n", F.col("most.label").alias("top"), (F.col("n") - F.col("most.c")).alias("rest")), "key"))
 
 
 def degrees(links: DataFrame) -> DataFrame:

@@ -215,6 +215,17 @@ def test_candidates_that_no_band_cuts(spark):
     assert len(want) == 45 * 45 and paired(nodes) == want
 
 
+@pytest.mark.parametrize("cell", [16, 512])
+def test_candidates_of_an_outlier(spark, monkeypatch, cell):
+    monkeypatch.setattr(near_dedup, "CELL", cell, raising=False)
+    # A finished class of 70 and an outlier, then with two smaller classes: with all members, not two.
+    nodes, want = banded(spark, [(9 if i == 33 else 3, {0: 5, 1: 6}) for i in range(71)])
+    assert len(want) == 70 and paired(nodes) == want
+    assert set(map(tuple, near_dedup.mixed_buckets(nodes.selectExpr("node", "label", "bands[0] AS key")).select("n", "rest").collect())) == {(71, 1)}
+    nodes, want = banded(spark, [(i if i < 8 else 5, {4: 5, 6: 6} | {i % 3: i % 5}) for i in range(120)])
+    assert paired(nodes) == want
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = near_dedup.mixed(np.arange(1, 401, dtype=np.uint64))
