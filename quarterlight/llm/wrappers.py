@@ -10,11 +10,11 @@ more than a 1 / TEXTS share of its node's).  Nodes whose texts stay the same are
 template, nodes whose texts vary are slots.
 
 A page is aligned to its host's template.  Its content region is the template's
-<article> (else <main>) if that is a slot there; else the deepest node that holds
-REGION of all varying characters.  Of the region, all blocks are kept but those
+<article> (else <main>) if that is a slot there; else the whole page, with all its
+slots.  Of the region, all blocks are kept but those
 of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments, known by their element, role, class or id; in a region that only induction
-found, blocks that stand on at least half of the host's pages go, too.  A host
+comments, known by their element, role, class or id; in a region that no element
+names, blocks that stand on at least half of the host's pages go, too.  A host
 with a single page has no constant text; all its nodes are slots.
 
 Templates are learned from all pages, per task first, then merged FAN at a time,
@@ -41,7 +41,6 @@ from .html import BLOCKS, RAW, Node, parse
 from .texts import sliced
 
 TEXTS = 64
-REGION = 0.7
 FAN = 64
 NODES = 400
 #: Hosts that a task holds before it hands their templates on.
@@ -205,15 +204,8 @@ def region(template: list) -> tuple[tuple[str, ...], bool]:
         if best := max(found, default=(0, ())):
             if best[0] > 0:
                 return best[1], True
-    node, path = template, (template[0],)
-    while True:
-        whole = varying(node, pages)
-        # A node whose text is mostly its own is a block of the region, not the region.
-        heavy = [c for c in node[5] if whole and varying(c, pages) >= REGION * whole and 2 * sum(varying(x, pages) for x in c[5]) >= varying(c, pages)]
-        if not heavy:
-            return path, False
-        node = heavy[0]
-        path = (*path, node[0])
+    # Any slot may be content: what is constant goes block by block.
+    return (template[0],), False
 
 
 def blocks(root: Node, path: tuple[str, ...], named: bool, template: list) -> list[str]:
@@ -221,9 +213,12 @@ def blocks(root: Node, path: tuple[str, ...], named: bool, template: list) -> li
     out: list[str] = []
     pages = template[1]
 
-    def collect(node: Node, inside: bool, aligned: list | None) -> None:
+    def below(aligned: list[list], s: str) -> list[list]:
+        return [x for t in aligned for x in t[5] if x[0] == s]
+
+    def collect(node: Node, inside: bool, aligned: list[list]) -> None:
         inside = inside or node.tag in ("article", "main")
-        fixed = constants(aligned, pages) if aligned is not None and not named else ()
+        fixed = set() if named else set().union(*(constants(t, pages) for t in aligned))
         pending: list[str] = []
 
         def flush():
@@ -242,13 +237,12 @@ def blocks(root: Node, path: tuple[str, ...], named: bool, template: list) -> li
             elif c.tag in BLOCKS or c.tag in DROPPED:
                 flush()
                 if not refused(c, inside):
-                    s = signature(c)
-                    collect(c, inside, next((x for x in aligned[5] if x[0] == s), None) if aligned is not None else None)
+                    collect(c, inside, below(aligned, signature(c)))
             elif not refused(c, inside):
                 todo += reversed(c.children)
         flush()
 
-    def descend(node: Node, at: int, inside: bool, aligned: list | None) -> bool:
+    def descend(node: Node, at: int, inside: bool, aligned: list[list]) -> bool:
         """Collects below every node on the region's path."""
         if signature(node) != path[at]:
             return False
@@ -261,12 +255,12 @@ def blocks(root: Node, path: tuple[str, ...], named: bool, template: list) -> li
             c = todo.pop()
             if c.tag != "#":
                 if c.tag in BLOCKS:
-                    hit |= not refused(c, inside) and descend(c, at + 1, inside or node.tag in ("article", "main"), next((x for x in aligned[5] if x[0] == path[at + 1]), None) if aligned is not None else None)
+                    hit |= not refused(c, inside) and descend(c, at + 1, inside or node.tag in ("article", "main"), below(aligned, path[at + 1]))
                 else:
                     todo += reversed(c.children)
         return hit
 
-    return out if descend(root, 0, False, template) else []
+    return out if descend(root, 0, False, [template]) else []
 
 
 def extracted(html: str | None, template: list | None) -> str:

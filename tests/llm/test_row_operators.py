@@ -259,6 +259,21 @@ def test_wrappers(spark):
     assert wrappers.main_texts(pages.limit(0)).count() == 0
 
 
+def test_wrappers_keep_all_slots():
+    rng = random.Random(6)
+    html, want = [], []
+    for i in range(20):
+        title, summary, paras = prose(rng, 4), prose(rng, 8), [prose(rng, 60) for _ in range(3)]
+        if i == 7:  # a page whose text is mainly in a sibling of the body
+            summary, paras = prose(rng, 90), [prose(rng, 3)]
+        html.append(f"<body><p>Welcome to the site</p><div class=post><h1>{title}</h1><div class=summary>{summary}</div><div class=body>{''.join(f'<p>{p}' for p in paras)}</div><div class=more>Read on</div></div></body>")
+        want.append("\n\n".join([title, summary, *paras]))
+    template = wrappers.skeleton(wrappers.parse(html[0]))
+    for page_ in html[1:]:
+        template = wrappers.merged(template, wrappers.skeleton(wrappers.parse(page_)))
+    assert [wrappers.extracted(page_, template) for page_ in html] == want
+
+
 def test_tree_matching():
     t = lambda tag, *children: [tag, 1, 0, 0, {}, list(children)]
     a, b = t("body", t("nav"), t("div", t("p"), t("ul")), t("footer")), t("body", t("div", t("p")), t("aside"), t("footer"))
