@@ -152,8 +152,9 @@ def write_bitplanes(docs: DataFrame, folder: str, planes: str = "byte", end_id:
 
 def read_bitplanes(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids): from the files, ``start`` counted over all shards before."""
-    shards = manifest.rdd.getNumPartitions()
+    shards = manifest.count()
     placed = manifest.join(small(exclusive_offsets(manifest.select("shard", "total"), "shard", "total").select("shard", "base"), shards), "shard")
+    placed = placed.repartitionByRange(max(1, shards), "shard")  # one shard a task
 
     def run(batches):
         for batch in batches:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
+import re
 import tempfile
 import uuid
 
@@ -22,26 +25,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    local one of our own where that is unset (one machine, as in tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary
+    one of our own where that is unset and the master is this machine alone, as in tests."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='quarterlight-')}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{_machine_local_dir()}"
+    return where.rstrip("/")
+
+
+@functools.lru_cache(maxsize=1)
+def _machine_local_dir() -> str:
+    return tempfile.mkdtemp(prefix="quarterlight-")
+
+
+def _delete(context, path: str) -> None:
+    with contextlib.suppress(Exception):  # what stays behind is only disk
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
+@functools.lru_cache(maxsize=8)
+def _session_dir(shared: str, context) -> str:
+    path = f"{shared}/quarterlight-{uuid.uuid4().hex}"
+    atexit.register(_delete, context, path)
+    return path
 
 
 def own_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one, which goes when the driver's Python ends."""
+    return f"{_session_dir(shared_dir(spark), spark.sparkContext)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder; its lineage ends there.
-    Spark removes the files when no plan refers to them any more."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df``, computed once and kept as Parquet in the shared folder; its lineage ends
+    there.  ``removed`` deletes it; else it stays until the driver's Python ends."""
+    path = own_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def removed(*frames: DataFrame) -> None:
+    """Deletes what ``saved`` wrote; no later plan may read these frames."""
+    for f in frames:
+        _delete(f.sparkSession.sparkContext, f.saved_at)
 
 
 def exclusive_offsets(totals: DataFrame, order: str, value: str, within: tuple[str, ...] = ()) -> DataFrame:

@@ -6,21 +6,23 @@ over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
    runs of SHINGLE words (all words if there are fewer; texts without words are
    one node by themselves, null like empty).
 2. A shingle weighs (1 + ln tf) * idf.  Document frequencies are counted over all
-   documents in a hashed array of fixed size (2 ** DF_BITS counters, never too low),
-   idf = 1 + DAMP * ln((N + 1) / (df + 1)) / ln(N + 1): damped, so that the text
-   shared by a large group of copies still outweighs their differences.
+   documents in a hashed array of fixed size (2 ** DF_BITS counters); what the other
+   shingles of a counter add on average is taken off, so that rare shingles look rare
+   however many there are.  idf = 1 + DAMP * ln((N + 1) / (df + 1)) / ln(N + 1): damped,
+   so that the text shared by a large group of copies still outweighs their differences.
 3. BANDS x ROWS consistent weighted samples (Ioffe, 2010) of each node; random
-   draws are looked up by shingle hash in a fixed table.
-4. Candidates.  Each node of a bucket is paired with the bucket's least node, then
-   with its best linked node where the two are not yet in one class; then all pairs of
-   nodes in different classes that share two bands are candidates.  (At a similarity of
-   0.8 two nodes share two of the bands with probability 0.997, at 0.85 with 0.9999.)  A
-   bucket with more than FULL x FULL pairs is cut by every later band first.  No pairs inside a
-   class are made, so a group of n near copies costs about n candidates.
-5. A candidate is a link if the weighted Jaccard similarity of the full texts is
-   at least SIMILARITY, or, where rare differences weigh more than frequent common
-   text, the similarity with all weights equal.  Classes are the connected components of links, found by
-   alternating large-star and small-star steps (Kiveris et al., 2014).
+   draws are looked up by shingle hash in a fixed table.  Nodes with an equal band
+   share a bucket; two of similarity 0.8 miss each other with probability 0.0002.
+4. All pairs of a bucket that are not known to be in one class are compared: linked if
+   the weighted Jaccard similarity of the full texts is at least SIMILARITY.
+   Classes are the connected components of links.
+
+Pairs are compared inside tasks, as tiles of at most CELL x CELL nodes, and never
+become rows; a tile gives no more links than connect its classes.  First the buckets of FIRST
+bands, each dealt into tiles of its own parts; then, by the classes so found, in all
+buckets that hold more than one class the nodes outside the largest class with all nodes.  So a group of n
+near copies takes about n * CELL comparisons, and only nodes that agree in a band
+and stay in different classes are compared each with each.
 
 A class is named by its least doc_id (a null doc_id sorts first).  Repeated rows
 are copies.  An empty table gives no rows.  ``distinct`` keeps all columns.
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small, table
+from .common import removed, saved, small, table
 from .texts import sliced, split_words
 
 SHINGLE = 5
@@ -47,13 +49,16 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 DF_BITS = 20
 DF_CHUNK = 1 << 12
-DAMP = 0.25
+DAMP = 0.1
 SLOT_BITS = 15
-#: Buckets with more pairs than FULL x FULL are cut by a second band before their pairs are
-#: made; pairs are counted as nodes outside the largest class times all nodes.
-FULL = 64
-#: Nodes of a large bucket that one task pairs with as many others.
-CELL = 512
+#: Bands whose buckets are compared first.
+FIRST = 4
+#: Nodes, and shingles, of a bucket that one side of a tile holds.
+CELL = 256
+CELL_SHINGLES = 1 << 21
+#: Bytes of vectors that are compared at a time, and numbers in a matrix.
+COMPARED_BYTES = 8 << 20
+MATRIX = 1 << 21
 #: Shingles sampled at a time; sketches merged by one task.
 CHUNK = 1 << 13
 #: Bytes of text worked on at a time; shingles take about ten times as much.
@@ -116,7 +121,7 @@ def df_slot(shingle: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln-damped idf of each hashed counter: an array of fixed size, over all documents."""
+    """Damped idf of each hashed counter: an array of fixed size, over all documents."""
 
     def count(batches):
         total, docs = np.zeros(1 << DF_BITS, np.int64), 0
@@ -149,8 +154,14 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
             docs = int(unpacked(bytes(r["counts"]))[0])
         else:
             total[r["chunk"] * DF_CHUNK : (r["chunk"] + 1) * DF_CHUNK] = unpacked(bytes(r["counts"]))
-    top = np.log(docs + 1) or 1.0
-    return (1 + DAMP * np.maximum(0, np.log(docs + 1) - np.log(total + 1)) / max(top, 1e-9)).astype(np.float32)
+    return damped_idf(total, docs)
+
+
+def damped_idf(counters: np.ndarray, docs: int) -> np.ndarray:
+    """``counters``: documents with a shingle, summed over all shingles of the counter."""
+    others = (counters.sum() - counters) / max(1, len(counters) - 1)
+    df = np.clip(counters - others, 1, max(docs, 1))
+    return (1 + DAMP * (np.log(docs + 1) - np.log(df + 1)) / max(np.log(docs + 1), 1e-9)).astype(np.float32)
 
 
 @functools.lru_cache(maxsize=1)
@@ -198,12 +209,13 @@ def samples(shingle: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, ha
 
 
 def sketched(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, tie, node, bands): node is the 128-bit digest of the words."""
+    """(doc_id, tie, node, size, bands): node is the 128-bit digest of the words, size the number of shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         for batch in sliced(batches, most=SLICE_BYTES):
             s, row, digests = shingles(batch.column("text"))
+            size = np.bincount(row, minlength=len(batch)).astype(np.int32)
             s, row, tf = counted(s, row)
             got = samples(s, row, (1 + np.log(tf)) * shared.value[df_slot(s)], len(batch), BANDS * ROWS).reshape(len(batch), BANDS, ROWS)
             key = np.zeros((len(batch), BANDS), np.uint64)
@@ -211,9 +223,9 @@ def sketched(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 for i in range(ROWS):
                     key = mixed(key * M1 + got[:, :, i] + np.arange(1, BANDS + 1, dtype=np.uint64))
             offsets = np.arange(len(batch) + 1, dtype=np.int32) * BANDS
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64).ravel()))], names=["doc_id", "tie", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(digests, pa.binary()), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64).ravel()))], names=["doc_id", "tie", "node", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, tie long, node binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, tie long, node binary, size int, bands array<long>")
 
 
 def vectors(docs: DataFrame) -> DataFrame:
@@ -229,154 +241,209 @@ def vectors(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, vector binary")
 
 
-def verified(pairs: DataFrame, vector: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
-
-    def weighed(blob: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-        s, tf = np.unique(np.frombuffer(blob, np.uint32), return_counts=True)
-        w = (1 + np.log(tf)) * shared.value[(s >> np.uint32(32 - DF_BITS)).astype(np.int64)]
-        return s, w, float(w.sum())
-
-    def alike(x, y) -> bool:
-        (s, v, a), (t, w, b) = x, y
-        if len(s) > len(t):
-            s, v, t, w = t, w, s, v
-        if not len(s):
-            return not len(t)
-        at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-        both = t[at] == s
-        common = float(np.minimum(v[both], w[at[both]]).sum())
-        alone = int(both.sum())
-        return common >= similarity * (a + b - common) - 1e-9 or alone >= similarity * (len(s) + len(t) - alone)
-
-    def judge(batch):
-        blob, x, out = None, None, []
-        for p, q in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True):
-            if p != blob:  # one node's pairs often follow one another
-                blob, x = p, weighed(p)
-            out.append(alike(x, weighed(q)))
-        return batch.filter(pa.array(out, pa.bool_())).select(["a", "b"])
-
-    def run(batches):
-        yield from map(judge, batches)
-
-    left = pairs.join(vector.withColumnsRenamed({"node": "a", "vector": "va"}), "a")
-    both = left.join(vector.withColumnsRenamed({"node": "b", "vector": "vb"}), "b")
-    return both.select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary")
+def entries(blobs: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, weight) of vectors.  The k-th occurrence of a shingle is a feature of its own
+    that weighs what it adds to (1 + ln tf) * idf, so two texts have in common just the sum of
+    the weights of common features."""
+    sizes = pc.binary_length(blobs).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    s, row = np.frombuffer(b"".join(blobs.to_pylist()), np.uint32), np.repeat(np.arange(len(blobs)), sizes)
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
+    starts = np.flatnonzero(new)
+    nth = np.arange(len(s)) - np.repeat(starts, np.diff(np.r_[starts, len(s)]))
+    adds = np.where(nth == 0, 1.0, np.log1p(nth) - np.log(np.maximum(nth, 1)))
+    return row, (s.astype(np.uint64) << np.uint64(32)) | nth.astype(np.uint64), adds * idf[(s >> np.uint32(32 - DF_BITS)).astype(np.int64)]
+
+
+def common_weights(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, xs: np.ndarray, ys: np.ndarray, rows: int) -> np.ndarray:
+    """For each two rows x and y of a tile: the weight of their common features."""
+    known, code, often = np.unique(feature, return_inverse=True, return_counts=True)
+    value = np.zeros(len(known))
+    value[code] = weight
+    shared = often > 1
+    number = np.cumsum(shared) - 1
+    kept = shared[code]
+    row, code, value = row[kept], number[code[kept]], value[shared]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out, step = np.zeros((len(xs), len(ys))), max(1, MATRIX // max(rows, 1))
+    for a in range(0, len(value), step):
+        lo, hi = np.searchsorted(code, [a, a + step])
+        there = np.zeros((rows, min(step, len(value) - a)))
+        there[row[lo:hi], code[lo:hi] - a] = 1
+        out += (there[xs] * value[a : a + step]) @ there[ys].T
+    return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node of each linked node's component."""
-    edges, mark = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")), None
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links from the least member of each component to its others, for a matrix of links."""
+    near = near | near.T
+    label = np.arange(len(near))
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, before = saved(down.union(low.select("u", F.col("m").alias("v"))).distinct()), mark
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-
-
-def shared_bands(x: str, y: str):
-    """For two band arrays: whether each band is the same."""
-    return F.zip_with(x, y, lambda p, q: p == q)
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes of different classes that share two bands.  ``nodes``: node,
-    label, links so far, bands.
-
-    A bucket of up to FULL x FULL pairs gives each in the first band that it shares.  A larger
-    one is cut by each later band and gives it in the first two, whatever their size."""
-    level = mixed_buckets(nodes.select("node", "label", "links", "bands", F.posexplode("bands").alias("at", "key")))
-    few, many = level.filter(F.col("rest") * F.col("n") <= FULL * FULL), level.filter(F.col("rest") * F.col("n") > FULL * FULL)
-    same = shared_bands("bp", "bq")
-    first = F.array_position(same, True) == F.col("at") + 1
-    pairs = crossed(few, ["at"], first & (F.size(F.filter(same, lambda e: e)) >= 2))
+        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return [(int(a), b) for b, a in enumerate(label.tolist()) if a != b]
+        label = least
+
+
+def tile_links(tiles: pa.Table, idf: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """The links (a, b) between classes of each tile: rows of one tile follow one another; those
+    with ``x`` are compared with those with ``y`` if their classes, ``label``, differ."""
+    tiles = tiles.combine_chunks()
+    row, feature, weight = entries(tiles.column("vector").combine_chunks(), idf)
+    total = np.bincount(row, weight, len(tiles))
+    label = tiles.column("label").to_pylist()
+    x, y = (tiles.column(c).to_numpy() for c in ("x", "y"))
+    starts = np.flatnonzero(changes(tiles))
+    sizes = np.diff(np.r_[starts, len(tiles)])
+    found: list[tuple[bytes, bytes]] = []
+
+    # Tiles of two rows, all at once.
+    tile = np.repeat(np.arange(len(starts)), sizes)
+    mine = sizes[tile[row]] == 2
+    t, f, w = tile[row[mine]], feature[mine], weight[mine]
+    order = np.lexsort((f, t))
+    t, f, w = t[order], f[order], w[order]
+    again = (t[1:] == t[:-1]) & (f[1:] == f[:-1])
+    both = np.bincount(t[1:][again], w[1:][again], len(starts))
+    for k in np.flatnonzero(sizes == 2).tolist():
+        a = int(starts[k])
+        if alike(both[k], total[a], total[a + 1], similarity) and label[a] != label[a + 1]:
+            found.append((min(label[a : a + 2]), max(label[a : a + 2])))
+
+    at = np.searchsorted(row, starts)
+    for k in np.flatnonzero(sizes > 2).tolist():
+        a, n = int(starts[k]), int(sizes[k])
+        part = slice(at[k], at[k + 1] if k + 1 < len(at) else len(row))
+        xs, ys = np.flatnonzero(x[a : a + n]), np.flatnonzero(y[a : a + n])
+        got = common_weights(row[part] - a, feature[part], weight[part], xs, ys, n)
+        near = alike(got, total[a + xs][:, None], total[a + ys][None, :], similarity)
+        names = sorted(set(label[a : a + n]))
+        number = {c: i for i, c in enumerate(names)}
+        own = np.array([number[c] for c in label[a : a + n]])
+        i, j = np.nonzero(near)
+        links = np.zeros((len(names), len(names)), bool)
+        links[own[xs[i]], own[ys[j]]] = True
+        found += [(names[p], names[q]) for p, q in spanning(links)]
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], names=["a", "b"])
+
+
+def alike(common, a, b, similarity: float):
+    return common >= similarity * (a + b - common) - 1e-9
+
+
+def changes(tiles: pa.Table) -> np.ndarray:
+    """Where a row is of another tile than the row before; the first one is."""
+    new = np.ones(len(tiles), bool)
+    if len(tiles):
+        new[1:] = functools.reduce(np.logical_or, [np.diff(tiles.column(c).to_numpy()) != 0 for c in ("key", "i", "j")])
+    return new
+
+
+def compared(cells: DataFrame, vector: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b): links between classes.  ``cells``: key, i, j (the tile), node, label, x, y."""
+    shared = cells.sparkSession.sparkContext.broadcast(idf)
 
-    # Only later bands that the node shares with a node of another class can matter.
-    later = many.select("node", "label", "links", "bands", "key", "at").join(level.select("node", F.col("at").alias("later"), F.col("key").alias("next")), "node").filter("later > at")
-    level = mixed_buckets(later.select("node", "label", "links", "bands", "at", "later", F.xxhash64("key", "next").alias("key")))
-    second = F.array_position(F.slice(same, F.col("at") + 2, BANDS), True) == F.col("later") - F.col("at")
-    return pairs.union(crossed(level, ["at", "later"], first & second)).distinct()
-
-
-def crossed(level: DataFrame, of: list[str], once) -> DataFrame:
-    """(a, b): all pairs of nodes of one bucket that are of different classes and for which
-    ``once`` holds, whatever the bucket's size: the nodes outside its largest class with all
-    nodes, a large bucket dealt over cells of about CELL x CELL nodes."""
-
-    def dealt(n):
-        return F.pmod(F.xxhash64("node"), F.ceil(n / CELL)).cast("int"), F.explode(F.sequence(F.lit(0), F.ceil(n / CELL).cast("int") - 1))
-
-    (i, all_i), (j, all_j) = dealt(F.col("rest")), dealt(F.col("n"))
-    x = level.filter("label <> top").select("key", *of, "top", i.alias("i"), all_j.alias("j"), F.col("node").alias("p"), F.col("label").alias("lp"), F.col("bands").alias("bp"))
-    y = level.select("key", all_i.alias("i"), j.alias("j"), F.col("node").alias("q"), F.col("label").alias("lq"), F.col("bands").alias("bq"))
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
-    other = (F.col("lq") == F.col("top")) | (F.col("lp") < F.col("lq"))
-    return x.alias("x").join(y.alias("y"), [*on, other & once]).select(*pairs_of("p", "q"))
-
-
-def mixed_buckets(level: DataFrame) -> DataFrame:
-    """The rows of buckets with nodes of different classes, ``n``, their number of nodes,
-    ``top``, their largest class, and ``rest``, the number of nodes outside it."""
-    sizes = level.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most"))
-    return saved(level.join(sizes.filter("n > most.c").select("key", "n", F.col("most.label").alias("top"), (F.col("n") - F.col("most.c")).alias("rest")), "key"))
-
-
-def degrees(links: DataFrame) -> DataFrame:
-    """(node, links)"""
-    return links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
+    def run(batches):
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.column("vector").nbytes
+            if size > COMPARED_BYTES:
+                tiles = pa.concat_tables(held)
+                last = int(np.flatnonzero(changes(tiles))[-1])
+                if last:
+                    yield tile_links(tiles.slice(0, last), shared.value, similarity)
+                held = [tiles.slice(last)]
+                size = held[0].column("vector").nbytes
+        if held and (tiles := pa.concat_tables(held)).num_rows:
+            yield tile_links(tiles, shared.value, similarity)
+
+    rows = cells.join(vector, "node").select("key", "i", "j", "node", "label", "x", "y", "vector")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").drop("node").mapInArrow(run, "a binary, b binary")
 
 
-def pairs_of(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the least node of each linked node's component.  Each round, a node
+    takes the least label of itself and its neighbours, then that label's own label."""
+    links = links.filter("a <> b")
+    edges = saved(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = saved(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        near = edges.join(state, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+        near = state.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        root = state.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        after = saved(near.join(root, "label").select("node", F.least("label", "root").alias("label"), (F.least("label", "root") != F.col("old")).alias("moved")))
+        removed(state)
+        state = after.select("node", "label")
+        state.saved_at = after.saved_at
+        if after.filter("moved").isEmpty():
+            removed(edges)
+            return state
+
+
+def deal(n, shingles):
+    """The number of parts into which n nodes with so many shingles are dealt."""
+    return F.greatest(F.ceil(n / CELL), F.ceil(shingles / CELL_SHINGLES)).cast("int")
+
+
+def part_of(parts):
+    return F.pmod(F.xxhash64("node"), parts).cast("int")
+
+
+def first_cells(member: DataFrame) -> DataFrame:
+    """Each bucket of the first bands in parts, each compared with itself."""
+    i = part_of(deal(F.col("n"), F.col("shingles")))
+    return member.filter(F.col("band") < FIRST).select("key", i.alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"), F.lit(True).alias("x"), F.lit(True).alias("y"))
+
+
+def later_cells(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each bucket with nodes of different classes, but those of the first bands that were compared
+    as a whole: its nodes outside the largest class with all its nodes."""
+    parts = deal(F.col("n"), F.col("shingles"))
+    left = member.filter((F.col("band") >= FIRST) | (parts > 1)).join(labels, "node", "left").select("node", "size", "key", "n", "shingles", F.coalesce("label", "node").alias("label"))
+    left = saved(left)
+    by_class = left.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    top = by_class.groupBy("key").agg(F.sum("c").alias("all"), F.sum("s").alias("all_s"), F.max(F.struct("c", "label", "s")).alias("top")).filter("all > top.c")
+    top = saved(top.select("key", F.col("top.label").alias("top"), (F.col("all") - F.col("top.c")).alias("rest"), (F.col("all_s") - F.col("top.s")).alias("rest_shingles")))
+    rows = left.join(top, "key").withColumns({"is": deal(F.col("rest"), F.col("rest_shingles")), "js": parts, "other": F.col("label") != F.col("top")})
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    single = rows.filter("`is` = 1 and js = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "label", F.col("other").alias("x"), F.lit(True).alias("y"))
+    many = rows.filter("`is` > 1 or js > 1")
+    x = many.filter("other").select("key", part_of(F.col("is")).alias("i"), each("js").alias("j"), "node", "label", F.lit(True).alias("x"), F.lit(False).alias("y"))
+    y = many.select("key", each("is").alias("i"), part_of(F.col("js")).alias("j"), "node", "label", F.lit(False).alias("x"), F.lit(True).alias("y"))
+    return single.union(x).union(y)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, tie, node, label, links): ``label`` names the class, ``links`` counts
-    the confirmed links of the row's text; ``tie`` is a hash of the text as it stands."""
+    """(doc_id, tie, node, first): ``first`` is the least (doc_id, tie) of the row's class,
+    ``tie`` a hash of the text as it stands."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     idf = document_frequencies(rows)
     sketch = saved(sketched(rows, idf))
-    nodes = saved(sketch.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("bands").alias("bands")))
-
-    # First each bucket's nodes with its least node.
-    member = nodes.select("node", F.explode("bands").alias("key"))
-    least = member.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    member = saved(member.join(least, "key"))
-    stars = saved(member.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    busy = saved(member.select("node").distinct().join(nodes, "node"))
-    wanted = busy.select("least.doc_id", "least.tie")
-    picked = rows.join(small(wanted.alias("w"), wanted.count()), rows["doc_id"].eqNullSafe(F.col("w.doc_id")) & (rows["tie"] == F.col("w.tie"))).select("text")
+    nodes = saved(sketch.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+
+    # Buckets of more than one node, and those nodes' vectors.
+    member = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    buckets = saved(member.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).filter("n > 1"))
+    member = saved(member.join(buckets, "key"))
+    busy = saved(nodes.select("node", "least").join(member.select("node").distinct(), "node"))
+    picked = rows.join(small(busy.select("least.doc_id", "least.tie").alias("w"), busy.count()), rows["doc_id"].eqNullSafe(F.col("w.doc_id")) & (rows["tie"] == F.col("w.tie"))).select("text")
     vector = saved(vectors(picked).dropDuplicates(["node"]))
-    links = saved(verified(stars, vector, idf, similarity))
-
-    # Then each bucket's nodes with its best linked node, where they are in different classes.
-    def now(label: DataFrame) -> DataFrame:
-        return busy.join(label, "node", "left").join(degrees(links), "node", "left").select("node", "bands", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-
-    # One step of labels will do here: two names for one class only cost a comparison.
-    state = now(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
-    member = state.select("node", "label", "links", F.explode("bands").alias("key"))
-    hub = member.groupBy("key").agg(F.max(F.struct("links", "node", "label")).alias("hub")).filter("hub.links > 0")
-    hubs = member.join(hub, "key").filter("label <> hub.label").select(*pairs_of("node", "hub.node")).distinct()
-    hubs = saved(hubs.join(stars, ["a", "b"], "left_anti"))
-    links = links.union(saved(verified(hubs, vector, idf, similarity)))
-
-    # Then all that share two bands and are not yet in one class.
-    pairs = candidates(saved(now(components(links)))).join(stars.union(hubs), ["a", "b"], "left_anti")
-    links = links.union(saved(verified(saved(pairs), vector, idf, similarity)))
-    label = components(links)
-    degree = degrees(links)
-    named = nodes.select("node", "least").join(label, "node", "left").join(degree, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    first = named.groupBy("label").agg(F.min("least").alias("first"))
-    named = named.join(first, "label").select("node", "first", "links")
-    return sketch.select("doc_id", "tie", "node").join(named, "node")
+
+    links = saved(compared(first_cells(member), vector, idf, similarity))
+    labels = components(links)
+    links = saved(compared(later_cells(member, labels), vector, idf, similarity))
+    roots = components(links)
+    roots = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    named = saved(busy.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")).join(roots, "label", "left").select("node", "least", F.coalesce("root", "label").alias("label")))
+    first = saved(named.groupBy("label").agg(F.min("least").alias("first")))
+    named = named.join(first, "label").select("node", "first")
+    final = saved(nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("first", "least").alias("first")))
+    removed(nodes, buckets, member, busy, vector, links, first)
+    return sketch.select("doc_id", "tie", "node").join(final, "node")
 
 
 def distinct(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -401,4 +468,4 @@ def distinct(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their near-duplicate class: the least doc_id in it."""
     found = classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), (F.struct("doc_id", "tie") == F.col("first")).alias("kept"), "links")
+    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), (F.struct("doc_id", "tie") == F.col("first")).alias("kept"))

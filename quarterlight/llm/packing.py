@@ -65,8 +65,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
     path = tokenizer_path(path=tokenizer)
     tokens = saved(encoded(docs, end_id, path))
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    bases = exclusive_offsets(totals, "part", "total").select("part", "base")
-    placed = tokens.join(small(bases, tokens.rdd.getNumPartitions()), "part")
+    bases = saved(exclusive_offsets(totals, "part", "total").select("part", "base"))
+    placed = tokens.join(small(bases, bases.count()), "part")
     dtype = word_encoder(path).dtype
 
     def cut(batches):

@@ -143,11 +143,6 @@ def test_mix(spark):
 
 # near-duplicates
 
-def shingle_set(text):
-    words = [w for w in (re.sub(r"[\W_]+", "", x) for x in (text or "").lower().split()) if w]
-    return frozenset(zip(*[words[i:] for i in range(5)], strict=False)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
-
-
 def test_near_duplicates(spark):
     rng = random.Random(11)
     texts, want = [], []
@@ -186,44 +181,96 @@ def test_near_duplicates(spark):
     assert near_dedup.classes(docs.limit(0)).count() == 0 and near_dedup.distinct(docs.limit(0)).count() == 0
 
 
-def banded(spark, rows):
-    """A frame of nodes as ``candidates`` takes them, from (label, the bands that are not the node's own)."""
-    keys = [[own.get(b, -(b + 16 * i) - 1) for b in range(16)] for i, (_, own) in enumerate(rows)]
-    nodes = [(bytes([0, i // 256, i % 256]), bytes([1, label // 256, label % 256]), 0, k) for i, ((label, _), k) in enumerate(zip(rows, keys, strict=True))]
-    want = {(a[0], b[0]) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if a[1] != b[1] and sum(p == q for p, q in zip(a[3], b[3], strict=True)) >= 2}
-    return spark.createDataFrame(nodes, "node binary, label binary, links long, bands array<long>").repartition(3), want
-
-
-def paired(nodes):
-    rows = [(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.candidates(nodes).collect()]
-    assert len(rows) == len(set(rows))
-    return set(rows)
-
+def weights(texts):
+    """Each text's shingles with their weights, from exact document frequencies."""
+    bags = [near_bag(t) for t in texts]
+    df, n = Counter(s for bag in bags for s in bag), len(texts)
+    idf = {s: 1 + near_dedup.DAMP * (np.log(n + 1) - np.log(c + 1)) / np.log(n + 1) for s, c in df.items()}
+    return [{s: (1 + np.log(c)) * idf[s] for s, c in bag.items()} for bag in bags]
 
-@pytest.mark.parametrize("cell", [16, 512])
-def test_candidates_of_large_buckets(spark, monkeypatch, cell):
-    monkeypatch.setattr(near_dedup, "CELL", cell, raising=False)
-    # 100 nodes agree in bands 0 and 1; two of them, neither hub nor least, in band 7, too.
-    nodes, want = banded(spark, [(i, {0: 5, 1: 6} | ({7: 8} if i in (40, 60) else {})) for i in range(100)])
-    got = paired(nodes)
-    assert (bytes([0, 0, 40]), bytes([0, 0, 60])) in got and got == want
 
-
-def test_candidates_that_no_band_cuts(spark):
-    # Two classes of 45 nodes that agree in three bands: no further band makes the bucket small.
-    nodes, want = banded(spark, [(i % 2, {2: 5, 3: 6, 9: 7}) for i in range(90)])
-    assert len(want) == 45 * 45 and paired(nodes) == want
-
-
-@pytest.mark.parametrize("cell", [16, 512])
-def test_candidates_of_an_outlier(spark, monkeypatch, cell):
-    monkeypatch.setattr(near_dedup, "CELL", cell, raising=False)
-    # A finished class of 70 and an outlier, then with two smaller classes: with all members, not two.
-    nodes, want = banded(spark, [(9 if i == 33 else 3, {0: 5, 1: 6}) for i in range(71)])
-    assert len(want) == 70 and paired(nodes) == want
-    assert set(map(tuple, near_dedup.mixed_buckets(nodes.selectExpr("node", "label", "bands[0] AS key")).select("n", "rest").collect())) == {(71, 1)}
-    nodes, want = banded(spark, [(i if i < 8 else 5, {4: 5, 6: 6} | {i % 3: i % 5}) for i in range(120)])
-    assert paired(nodes) == want
+def near_bag(text):
+    words = [w for w in (re.sub(r"[\W_]+", "", x) for x in (text or "").lower().split()) if w]
+    return Counter(zip(*[words[i:] for i in range(5)], strict=False)) if len(words) >= 5 else Counter([tuple(words)] if words else [])
+
+
+def weighted_jaccard(a, b):
+    low = sum(min(w, b[s]) for s, w in a.items() if s in b)
+    return low / (sum(a.values()) + sum(b.values()) - low) if a or b else 1.0
+
+
+def united(names, links):
+    first = {n: n for n in names}
+
+    def find(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        first[y] = x
+    return {n: find(n) for n in names}
+
+
+def node(i):
+    return b"%06d" % i
+
+
+def groups_of_copies(rng, sizes, words=60):
+    """Texts in groups around a common one, with one to many changed words, some runs repeated."""
+    for size in sizes:
+        base = [f"w{rng.randrange(300)}" for _ in range(words)]
+        base += base[:20]
+        for _ in range(size):
+            near = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+                near[rng.randrange(len(near))] = f"n{rng.randrange(10**5)}"
+            yield " ".join(near)
+
+
+@pytest.mark.parametrize("cell", [3, 256])
+def test_tiles_leave_no_link_out(spark, monkeypatch, cell):
+    """Buckets of any size: the classes are those of all pairs, by weighted Jaccard similarity."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    texts = list(dict.fromkeys(groups_of_copies(random.Random(1), [1, 2, 2, 3, 7, 30, 45])))
+    bucket = [0 if len(t.split()) % 2 else i % 5 for i, t in enumerate(texts)]
+    vectors_, idf = near_dedup.vectors(spark.createDataFrame([(t,) for t in texts], "text string")), np.ones(1 << near_dedup.DF_BITS, np.float32)
+    digests = near_dedup.shingles(pa.array(texts))[2]
+    sets = [{s: 1 + np.log(c) for s, c in near_bag(t).items()} for t in texts]
+    # Every text stands in the bucket of band 0 and in one of band 9.
+    rows = [(digests[i], len(sets[i]), band, key) for i in range(len(texts)) for band, key in ((0, -1), (9, bucket[i]))]
+    member = spark.createDataFrame(rows, "node binary, size int, band int, key long")
+    sizes = member.groupBy("key").agg({"node": "count", "size": "sum"}).toDF("key", "n", "shingles").filter("n > 1")
+    member = near_dedup.saved(member.join(sizes, "key"))
+    labels = near_dedup.components(near_dedup.saved(near_dedup.compared(near_dedup.first_cells(member), vectors_, idf, 0.8)))
+    links = near_dedup.saved(near_dedup.compared(near_dedup.later_cells(member, labels), vectors_, idf, 0.8))
+    roots = near_dedup.components(links)
+    label = {d: d for d in digests} | {bytes(r["node"]): bytes(r["label"]) for r in labels.collect()}
+    root = {bytes(r["node"]): bytes(r["label"]) for r in roots.collect()}
+    want = united(digests, [(digests[i], digests[j]) for i in range(len(texts)) for j in range(i) if weighted_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9])
+    assert {d: root.get(x, x) for d, x in label.items()} == want and 5 < len(set(want.values())) < len(texts)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(node(i), node(i + 1)) for i in range(60) if i % 20 != 19]  # chains
+    links += [(node(100), node(i)) for i in range(101, 160)]  # a hub
+    links += [(node(rng.randrange(200, 300)), node(rng.randrange(200, 300))) for _ in range(60)] + [(node(7), node(7))]
+    got = {bytes(r["node"]): bytes(r["label"]) for r in near_dedup.components(spark.createDataFrame(links, "a binary, b binary").repartition(3)).collect()}
+    want = united({x for p in links if p[0] != p[1] for x in p}, links)
+    assert got == want
+    assert near_dedup.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_idf_of_crowded_counters():
+    """A counter that many rare shingles share still looks rare, a frequent shingle frequent."""
+    rng = np.random.default_rng(2)
+    crowded = rng.poisson(500, 1 << 12)
+    crowded[5] += 100_000
+    idf = near_dedup.damped_idf(crowded, 1_000_000)
+    alone = near_dedup.damped_idf(np.r_[np.ones(10, np.int64), 100_000], 1_000_000)
+    assert abs(idf[5] - alone[10]) < 0.001 and np.median(idf) > alone[0] - 0.035 and idf.max() <= 1 + near_dedup.DAMP
 
 
 def test_samples_estimate_weighted_jaccard():
