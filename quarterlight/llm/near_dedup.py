@@ -54,7 +54,7 @@ SLOT_BITS = 15
 #: Bands whose buckets are compared first.
 FIRST = 4
 #: Nodes, and shingles, of a bucket that one side of a tile holds.
-CELL = 256
+CELL = 128
 CELL_SHINGLES = 1 << 21
 #: Bytes of vectors that are compared at a time, and numbers in a matrix.
 COMPARED_BYTES = 8 << 20

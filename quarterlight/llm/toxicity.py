@@ -5,7 +5,8 @@ subsequence of three letters counts DECAY ** (letters it spans), up to SPAN
 letters, normalised (Lodhi et al., 2002).  Inserted or replaced letters only
 weaken an insult's subsequences, they don't remove them.
 
-Training reads a bounded sample of labelled rows (SAMPLE).  Each sentence takes
+Training reads a bounded sample of labelled rows (SAMPLE rows and SAMPLE_BYTES of whole texts) in
+one task; only the machine goes to the driver.  Each sentence takes
 its document's label; its witness is the word that looks most toxic: at first
 by its log-odds over the training documents, then by the machine itself, which
 is trained again (multiple-instance learning).  LANDMARKS witnesses span the
@@ -14,10 +15,16 @@ decision on a word is then a weighted sum over its own subsequences, so scoring
 needs no landmark at all.  A document's score is the logistic of its most toxic
 word's decision, calibrated on the training documents.
 
-Every word of every whole text is scored.  Words longer than WIDE letters are
-read through overlapping windows; runs of single letters ("s p a c e d") count as
-one word.  Null or empty text has no word: it gets the score of the least
-decision.  Without labels of both kinds all scores are the share of toxic rows
+Letters are numbered by an alphabet learned from the training words (the ALPHABET - 1 most
+frequent ones); any other letter matches nothing.
+
+Every word of every whole text is scored.  Words longer than WIDE letters are read
+through windows that overlap by all but STEP letters; runs of single letters
+("s p a c e d") count as one word, and so do two neighbours that are the first
+and the last part of toxic witnesses, three letters each, unless clean training documents
+have them side by side, too ("spa ced").  Words of one or two letters have no
+subsequence and count only in these joins.  Null or empty text has no word: it gets the
+score of the least decision.  Without labels of both kinds all scores are the share of toxic rows
 (0 if there is none).  Repeated rows score alike; an empty table stays empty.
 ``accepted`` keeps all columns as they are.
 """
@@ -25,8 +32,10 @@ decision.  Without labels of both kinds all scores are the share of toxic rows
 from __future__ import annotations
 
 import functools
+import pickle
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,16 +47,18 @@ from pyspark.sql import functions as F
 from .common import table
 from .texts import sliced, split_words
 
-SAMPLE = 5000
+SAMPLE = 12000
+SAMPLE_BYTES = 64 << 20
 LANDMARKS = 192
 DECAY = 0.6
 SPAN = 7
 WIDE = 14
+STEP = 2
 ROUNDS = 3
 #: A word seen in so many toxic documents stays a witness.
 SEEN = 3
 REJECT = 0.7
-#: Letters are numbered modulo this.
+#: Letters that are told apart, with one number for all others.
 ALPHABET = 64
 SPACED = re.compile(r"(?:(?<=\s)|^)\w(?:\s+\w){2,}(?=\s|$)")
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -60,10 +71,22 @@ def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at, np.int64).reshape(-1, 3).T, np.array([k - i - 2 for i, _, k in at], np.int64)
 
 
-def letters(words: pa.Array, n: int) -> np.ndarray:
+def letter_table(alphabet: str) -> np.ndarray:
+    """The number of each code point: from 1 by its place in the alphabet, else 0."""
+    table = np.zeros(0x110000, np.uint8)
+    table[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+    return table
+
+
+def letters(words: pa.Array, n: int, table: np.ndarray) -> np.ndarray:
     """Letter numbers of words of n letters, one row each."""
     joined = "".join(words.to_pylist())
-    return (np.frombuffer(joined.encode("utf-32-le"), "<u4").reshape(-1, n) % ALPHABET).astype(np.int64)
+    return table[np.frombuffer(joined.encode("utf-32-le"), "<u4").reshape(-1, n)].astype(np.int64)
+
+
+def known_letters(sub: np.ndarray) -> np.ndarray:
+    """Whether all three letters of a subsequence are in the alphabet."""
+    return (sub % ALPHABET > 0) & (sub // ALPHABET % ALPHABET > 0) & (sub // ALPHABET**2 > 0)
 
 
 def subsequences(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,22 +102,24 @@ def subsequences(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, (key.ravel() >> 3)[starts], weight / norm[word]
 
 
-def by_length(words: pa.Array):
-    """Yields (places, words) for each length; longer words as windows of WIDE letters."""
+def by_length(words: pa.Array, table: np.ndarray, whole: bool = False):
+    """Yields (places, words) for each length; unless ``whole``, longer words as windows of WIDE letters."""
     sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    for n in range(3, WIDE + 1):
+    for n in np.unique(sizes[(sizes >= 3) & (whole | (sizes <= WIDE))]).tolist():
         at = np.flatnonzero(sizes == n)
-        if len(at):
-            yield at, letters(words.take(pa.array(at)), n)
+        yield at, letters(words.take(pa.array(at)), n, table)
     at = np.flatnonzero(sizes > WIDE)
-    if len(at):
+    if len(at) and not whole:
         place, parts = [], []
         for p, w in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), strict=True):
-            cuts = [w[a : a + WIDE] for a in range(0, len(w) - WIDE, WIDE // 2)] + [w[-WIDE:]]
+            cuts = [w[a : a + WIDE] for a in range(0, len(w) - WIDE, STEP)] + [w[-WIDE:]]
             place += [p] * len(cuts)
             parts += cuts
-        for a in range(0, len(parts), 1 << 15):
-            yield np.array(place[a : a + (1 << 15)]), letters(pa.array(parts[a : a + (1 << 15)]), WIDE)
+            if len(parts) >= 1 << 15:
+                yield np.array(place), letters(pa.array(parts), WIDE, table)
+                place, parts = [], []
+        if parts:
+            yield np.array(place), letters(pa.array(parts), WIDE, table)
 
 
 def normal(words: pa.Array) -> pa.Array:
@@ -110,11 +135,21 @@ class Machine:
     bias: float
     slope: float
     offset: float
+    alphabet: str = ""
+    #: First and last parts of toxic witnesses.
+    heads: tuple[str, ...] = ()
+    tails: tuple[str, ...] = ()
+    #: Joined neighbours that clean training documents have, too.
+    innocent: tuple[str, ...] = ()
+
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        return letter_table(self.alphabet)
 
     def decide(self, words: pa.Array) -> np.ndarray:
         out = np.full(len(words), self.bias)
         seen = np.full(len(words), -np.inf)
-        for at, code in by_length(words):
+        for at, code in by_length(words, self.table):
             for a in range(0, len(code), 1 << 13):
                 word, sub, w = subsequences(code[a : a + (1 << 13)])
                 np.maximum.at(seen, at[a : a + (1 << 13)], np.bincount(word, w * self.weight[sub], len(code[a : a + (1 << 13)])))
@@ -125,17 +160,23 @@ class Machine:
     def score(self, texts: pa.Array) -> np.ndarray:
         """Each text's score."""
         best = np.full(len(texts), self.bias)
-        for words, row in documents_words(texts):
+        for words, row in documents_words(texts, self.heads, self.tails, self.innocent):
             decision = self.decide(words.dictionary)[words.indices.to_numpy()]
             np.maximum.at(best, row, decision)
         return 1 / (1 + np.exp(-(self.slope * best + self.offset)))
 
 
-def documents_words(texts: pa.Array):
-    """(dictionary-coded normal words, their rows), for the words and for runs of spaced single letters."""
+def documents_words(texts: pa.Array, heads: tuple[str, ...] = (), tails: tuple[str, ...] = (), innocent: tuple[str, ...] = ()):
+    """(dictionary-coded normal words, their rows): the words, neighbours that belong
+    together (``neighbours``) as one word, and runs of spaced single letters."""
     words, row = split_words(texts)
     plain = normal(words.dictionary).dictionary_encode()
-    yield pa.DictionaryArray.from_arrays(plain.indices.take(words.indices), plain.dictionary), row
+    code = plain.indices.take(words.indices)
+    yield pa.DictionaryArray.from_arrays(code, plain.dictionary), row
+    joined, at = neighbours(plain.dictionary, code.to_numpy(), row, heads, tails)
+    some = pc.invert(pc.is_in(joined, value_set=pa.array(innocent, pa.string())))
+    if pc.any(some).as_py():
+        yield joined.filter(some).dictionary_encode(), at[some.to_numpy(zero_copy_only=False)]
     runs, at = [], []
     spaced = pc.match_substring_regex(pc.fill_null(texts, ""), r"(^|\s)\w\s+\w\s+\w(\s|$)")
     for i in np.flatnonzero(spaced.to_numpy(zero_copy_only=False)).tolist():
@@ -146,6 +187,15 @@ def documents_words(texts: pa.Array):
         yield normal(pa.array(runs)).dictionary_encode(), np.array(at)
 
 
+def neighbours(names: pa.Array, code: np.ndarray, row: np.ndarray, heads: tuple[str, ...], tails: tuple[str, ...]) -> tuple[pa.Array, np.ndarray]:
+    """Two words side by side, joined, where the first is one of ``heads`` and the second one of ``tails``; their rows."""
+    if not len(code) or not heads:
+        return pa.array([], pa.string()), row[:0]
+    first, last = (pc.is_in(names, value_set=pa.array(x, pa.string())).to_numpy(zero_copy_only=False)[code] for x in (heads, tails))
+    pair = np.flatnonzero(first[:-1] & last[1:] & (row[:-1] == row[1:]))
+    return pc.binary_join_element_wise(names.take(pa.array(code[pair])), names.take(pa.array(code[pair + 1])), ""), row[pair]
+
+
 def solve(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear SVM, squared hinge, by Newton steps on the rows inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -175,12 +225,13 @@ def logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def dense(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(subsequences that occur, a row of weights for each word); long words by their first window."""
+def dense(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(subsequences that occur, a row of weights for each whole word)"""
     word, sub, weight = [], [], []
-    for at, code in by_length(pa.array([w[:WIDE] for w in words], pa.string())):
+    for at, code in by_length(pa.array(words, pa.string()), table, whole=True):
         i, u, w = subsequences(code)
-        word.append(at[i]), sub.append(u), weight.append(w)
+        some = known_letters(u)
+        word.append(at[i[some]]), sub.append(u[some]), weight.append(w[some])
     word, sub, weight = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (word, sub, weight))
     known, column = np.unique(sub, return_inverse=True)
     out = np.zeros((len(words), len(known)), np.float32)
@@ -188,16 +239,32 @@ def dense(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return known, out
 
 
-def against(words: list[str], subs: np.ndarray, z: np.ndarray, rows: int = 512) -> np.ndarray:
+def against(words: list[str], subs: np.ndarray, z: np.ndarray, table: np.ndarray, rows: int = 512) -> np.ndarray:
     """The kernel of each word with the landmarks, whose subsequences are ``subs`` and weights ``z``."""
     out = np.zeros((len(words), len(z)))
     for a in range(0, len(words), rows):
-        mine, x = dense(words[a : a + rows])
+        mine, x = dense(words[a : a + rows], table)
         common, i, j = np.intersect1d(mine, subs, assume_unique=True, return_indices=True)
         out[a : a + rows] = x[:, i] @ z[:, j].T
     return out
 
 
+def parts(words: list[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """First and last parts, of three letters at least, of words cut in two."""
+    cuts = [(w[:k], w[k:]) for w in words for k in range(3, len(w) - 2)]
+    return tuple(sorted({a for a, _ in cuts})), tuple(sorted({b for _, b in cuts}))
+
+
+def beside(texts: list[str], machine: Machine) -> tuple[str, ...]:
+    """The neighbours that the machine would join in these texts."""
+    out: set[str] = set()
+    for batch in sliced([pa.record_batch([pa.array(texts, pa.string())], names=["text"])]):
+        words, row = split_words(batch.column("text"))
+        plain = normal(words.dictionary).dictionary_encode()
+        out.update(neighbours(plain.dictionary, plain.indices.take(words.indices).to_numpy(), row, machine.heads, machine.tails)[0].unique().to_pylist())
+    return tuple(sorted(out))
+
+
 def inserted(word: str) -> list[str]:
     """The word with a letter put in or replaced, as insults are disguised."""
     if len(word) < 4:
@@ -234,6 +301,9 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     if not bags:
         return constant
     vocabulary = list(number)
+    often = Counter("".join(vocabulary))
+    alphabet = "".join(sorted(sorted(often, key=lambda c: (-often[c], c))[: ALPHABET - 1]))
+    table = letter_table(alphabet)
     flat = np.concatenate(bags).astype(np.int64)
     sizes = np.array([len(b) for b in bags])
     ends = np.cumsum(sizes)
@@ -266,8 +336,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         rest = np.setdiff1d(negative, rows)
         chosen = np.r_[rows[np.argsort(-count, kind="stable")][: landmarks // 2], rest[np.argsort(-value[rest], kind="stable")][: landmarks // 2]]
         gapped = [g for i in rows for g in inserted(vocabulary[i])]
-        subs, z = dense([vocabulary[i] for i in chosen])
-        kernel = against([*(vocabulary[i] for i in np.r_[rows, rest]), *gapped], subs, z)
+        subs, z = dense([vocabulary[i] for i in chosen], table)
+        kernel = against([*(vocabulary[i] for i in np.r_[rows, rest]), *gapped], subs, z, table)
         # Nystroem: features k(x, z) K^(-1/2), small eigenvalues left out.
         values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
         some = values > 1e-6 * values.max()
@@ -277,11 +347,13 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         w, bias = solve(kernel @ root, y, cost)
         weight = np.zeros(ALPHABET**3)
         weight[subs] = z.T @ (root @ w)
-        machine = Machine(weight, bias, 1.0, 0.0)
+        machine = Machine(weight, bias, 1.0, 0.0, alphabet)
         value = machine.decide(words_pa)
     f = np.full(len(texts), machine.bias)
     np.maximum.at(f, doc, value[flat])
     machine.slope, machine.offset = logistic(f, toxic)
+    machine.heads, machine.tails = parts([vocabulary[i] for i in np.unique(seeds)])
+    machine.innocent = beside([t for t, y in zip(texts, toxic.tolist(), strict=True) if not y], machine)
     return machine
 
 
@@ -290,13 +362,26 @@ def fold(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learns from at most ``sample`` labelled rows that are not held out (those whose
-    doc_id hashes lowest, so the same rows each time)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Machine:
+    """Learns, in one task, from at most ``sample`` labelled rows that are not held out (those
+    whose doc_id hashes lowest, so the same rows each time), and no more than ``most_bytes`` of text."""
     chosen = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic in (0, 1) and doc_id is not null").filter(fold(F.col("doc_id")) != 1)
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
-    return train([t or "" for t in got["text"]], got["toxic"].to_numpy() == 1)
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample)
+    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        texts, toxic, size = [], [], 0
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                size += len((text or "").encode())
+                if size <= most_bytes:
+                    texts.append(text or "")
+                    toxic.append(y == 1)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(toxic, bool)))], pa.binary())], names=["machine"])
+
+    learned = got.repartition(1).sortWithinPartitions("place", "doc_id").select("text", "toxic").mapInArrow(run, "machine binary")
+    row = learned.first()  # none if Spark knows that there are no rows
+    return pickle.loads(bytes(row["machine"])) if row else train([], np.zeros(0, bool))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

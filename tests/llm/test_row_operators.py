@@ -75,6 +75,8 @@ def test_toxicity_held_out():
     assert ((got[:100] >= 0.7) == y[300:]).all()
     assert (got >= 0).all() and (got <= 1).all() and (got[100:102] < 0.5).all() and (got[102:104] >= 0.7).all()
     assert got[104] > got[:100][~y[300:]].max()
+    split = machine.score(pa.array(["what a block head", "a num skull he is", "you di mwit", "alpha beta"]))
+    assert (split[:3] >= 0.7).all() and (split[3:] < 0.7).all()
 
 
 def test_toxicity_edges(spark):
@@ -95,8 +97,8 @@ def test_kernel_by_definition():
                     out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i - 1)
         return out
 
-    words = ["idiot", "idxiot", "aaaaaa", "abcabc"]
-    _, x = toxicity.dense(words)
+    words = ["idiot", "idxiot", "aaaaaa", "abcabc", "a" + "longwords" * 4]
+    _, x = toxicity.dense(words, toxicity.letter_table("abcdefghijklmnopqrstuvwxyz"))
     for a, p in enumerate(words):
         for b, q in enumerate(words):
             f, g = features(p), features(q)
