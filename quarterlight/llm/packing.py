@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import exclusive_offsets, saved, small, table
+from .texts import give_back
 from .tokens import slices, tokenizer_path, word_encoder
 
 WINDOW = 4096
@@ -53,6 +54,7 @@ def encoded(docs: DataFrame, end_id: int, path: str) -> DataFrame:
                 starts = at + np.cumsum(counts) - counts
                 at += int(counts.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), cut.column("doc_id"), pa.array(starts), pa.array(counts), binaries(ids, counts)], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
 

@@ -6,14 +6,14 @@ letters, normalised (Lodhi et al., 2002).  Inserted or replaced letters only
 weaken an insult's subsequences, they don't remove them.
 
 Training reads a bounded sample of labelled rows (SAMPLE rows and SAMPLE_BYTES of whole texts) in
-one task; only the machine goes to the driver.  Each sentence takes
-its document's label; its witness is the word that looks most toxic: at first
-by its log-odds over the training documents, then by the machine itself, which
-is trained again (multiple-instance learning).  LANDMARKS witnesses span the
+one task; only the machine goes to the driver.  A toxic document's witness is its word that looks
+most toxic and that clean documents don't have: at first by its log-odds over the training documents,
+then by the machine itself, which is trained again with the clean words that it takes for most
+toxic added to the others (multiple-instance learning).  LANDMARKS witnesses span the
 Nystroem feature space, in which a linear SVM (squared hinge) is solved.  The
 decision on a word is then a weighted sum over its own subsequences, so scoring
 needs no landmark at all.  A document's score is the logistic of its most toxic
-word's decision, calibrated on the training documents.
+word's decision, calibrated on one labelled document of CALIBRATE that the machine has not seen.
 
 Letters are numbered by an alphabet learned from the training words (the ALPHABET - 1 most
 frequent ones); any other letter matches nothing.
@@ -45,18 +45,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .texts import sliced, split_words
+from .texts import give_back, sliced, split_words
 
-SAMPLE = 12000
+SAMPLE = 5000
 SAMPLE_BYTES = 64 << 20
 LANDMARKS = 192
 DECAY = 0.6
 SPAN = 7
 WIDE = 14
 STEP = 2
-ROUNDS = 3
-#: A word seen in so many toxic documents stays a witness.
+ROUNDS = 4
+#: Words seen in so many toxic documents, and in no more than WRONG clean ones for each, are witnesses from the
+#: start, if EXPLAINED of the toxic documents can be explained by words that are seen as often.
 SEEN = 3
+WRONG = 0.1
+EXPLAINED = 0.98
+#: Clean words that each round adds, by landmark.
+HARD = 4
+#: One document of so many only calibrates the score.
+CALIBRATE = 5
 REJECT = 0.7
 #: Letters that are told apart, with one number for all others.
 ALPHABET = 64
@@ -255,6 +262,18 @@ def parts(words: list[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(sorted({a for a, _ in cuts})), tuple(sorted({b for _, b in cuts}))
 
 
+def explaining(word: np.ndarray, doc: np.ndarray, often: np.ndarray) -> int:
+    """How often a word must be seen to be a witness: the most frequent words are taken until
+    EXPLAINED of the documents hold one of them; rarer words come from chance or copies."""
+    left, at = set(doc.tolist()), np.argsort(-often[word], kind="stable")
+    few = (1 - EXPLAINED) * len(left)
+    for w, d in zip(word[at].tolist(), doc[at].tolist(), strict=True):
+        left.discard(d)
+        if len(left) <= few:
+            return int(often[w])
+    return 0
+
+
 def beside(texts: list[str], machine: Machine) -> tuple[str, ...]:
     """The neighbours that the machine would join in these texts."""
     out: set[str] = set()
@@ -281,10 +300,9 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     if not toxic.any() or toxic.all():
         return constant
 
-    # Distinct words of each sentence (line, or part of one up to a full stop), as numbers, by document.
+    # Each document's distinct words, as numbers.
     number: dict[str, int] = {}
     known: dict[str, int] = {}
-    bags, owner = [], []
 
     def of(raw: str) -> int:
         if (n := known.get(raw)) is None:
@@ -292,48 +310,45 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
             n = known[raw] = number.setdefault(word, len(number)) if len(word) > 2 else -1
         return n
 
-    for d, text in enumerate(texts):
-        for sentence in re.split(r"(?<=[.!?])\s+|\n", text or ""):
-            if got := {of(w) for w in sentence.split()} - {-1}:
-                bags.append(np.array(sorted(got), np.int32))
-                owner.append(d)
+    bags = [np.array(sorted({of(w) for w in set(text.split())} - {-1}), np.int32) for text in texts]
     del known
-    if not bags:
+    if not number:
         return constant
     vocabulary = list(number)
     often = Counter("".join(vocabulary))
     alphabet = "".join(sorted(sorted(often, key=lambda c: (-often[c], c))[: ALPHABET - 1]))
     table = letter_table(alphabet)
-    flat = np.concatenate(bags).astype(np.int64)
-    sizes = np.array([len(b) for b in bags])
-    ends = np.cumsum(sizes)
-    doc = np.repeat(np.array(owner), sizes)
+    word, doc = np.concatenate(bags), np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
     del bags, number
-    once = np.unique(doc * len(vocabulary) + flat)
-    label = toxic[once // len(vocabulary)]
-    pos = np.bincount((once % len(vocabulary))[label], minlength=len(vocabulary))
-    neg = np.bincount((once % len(vocabulary))[~label], minlength=len(vocabulary))
+
+    # Every CALIBRATE-th document only calibrates, if that leaves both kinds on both sides.
+    learn = np.arange(len(texts)) % CALIBRATE != CALIBRATE - 1
+    if not all(toxic[x].any() and not toxic[x].all() for x in (learn, ~learn)):
+        learn[:] = True
+    used = learn[doc]
+    pos = np.bincount(word[used & toxic[doc]], minlength=len(vocabulary))
+    neg = np.bincount(word[used & ~toxic[doc]], minlength=len(vocabulary))
     # Log-odds of the toxic label, less what chance allows for a word seen this often.
-    value = np.log((pos + 0.1) / (toxic.sum() + 1)) - np.log((neg + 0.1) / ((~toxic).sum() + 1)) - 2 / np.sqrt(pos + neg)
-    in_toxic = toxic[np.array(owner)]
-    machine, words_pa, seeds = constant, pa.array(vocabulary, pa.string()), np.zeros(0, np.int64)
-    for turn in range(rounds):
-        best = np.array([flat[a:b][np.argmax(value[flat[a:b]])] for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)])
-        # The witness of each toxic document, and of each of its sentences that looks as toxic as most of those.
-        top = np.full(len(texts), -np.inf)
-        np.maximum.at(top, np.array(owner)[in_toxic], value[best[in_toxic]])
-        top = top[top > 0]
-        if not len(top):
-            return constant
-        level = np.quantile(top, 0.1)
-        positive = best[in_toxic][value[best[in_toxic]] >= level]
-        if turn == 0:
-            seeds = positive[pos[positive] >= SEEN]
-        positive = np.r_[positive, seeds]
-        negative = np.unique(best[~in_toxic])
-        negative = negative[np.argsort(-value[negative], kind="stable")][: 6 * landmarks]
-        rows, count = np.unique(positive, return_counts=True)
-        rest = np.setdiff1d(negative, rows)
+    value = np.log((pos + 0.1) / (toxic[learn].sum() + 1)) - np.log((neg + 0.1) / ((~toxic[learn]).sum() + 1)) - 2 / np.sqrt(np.maximum(pos + neg, 1))
+    # Clean documents hold no toxic word, but for a few wrong labels.
+    may_be = (pos > 0) & (neg <= WRONG * pos)
+    bag = used & toxic[doc] & may_be[word]
+    least = explaining(word[bag], doc[bag], pos)
+    seeds = np.flatnonzero(may_be & (pos >= max(SEEN, least)))
+    if not bag.any() or not len(seeds):
+        return constant
+    machine, words_pa, rest = constant, pa.array(vocabulary, pa.string()), np.zeros(0, np.int64)
+    in_clean = neg > WRONG * pos
+    for _ in range(rounds):
+        # The witness of each toxic document, if it looks as toxic as most of the witnesses that are seen often.
+        order = np.lexsort((-value[word[bag]], doc[bag]))
+        first = np.r_[True, np.diff(doc[bag][order]) != 0]
+        witness = word[bag][order][first].astype(np.int64)
+        witness = witness[value[witness] >= np.quantile(value[seeds], 0.1)]
+        rows, count = np.unique(np.r_[witness, np.repeat(seeds, np.minimum(pos[seeds], 5))], return_counts=True)
+        hard = np.flatnonzero(in_clean)
+        hard = hard[np.argsort(-value[hard], kind="stable")][: HARD * landmarks]
+        rest = np.setdiff1d(np.union1d(rest, hard), rows)
         chosen = np.r_[rows[np.argsort(-count, kind="stable")][: landmarks // 2], rest[np.argsort(-value[rest], kind="stable")][: landmarks // 2]]
         gapped = [g for i in rows for g in inserted(vocabulary[i])]
         subs, z = dense([vocabulary[i] for i in chosen], table)
@@ -349,10 +364,11 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         weight[subs] = z.T @ (root @ w)
         machine = Machine(weight, bias, 1.0, 0.0, alphabet)
         value = machine.decide(words_pa)
+    held = ~learn if (~learn).any() else learn
     f = np.full(len(texts), machine.bias)
-    np.maximum.at(f, doc, value[flat])
-    machine.slope, machine.offset = logistic(f, toxic)
-    machine.heads, machine.tails = parts([vocabulary[i] for i in np.unique(seeds)])
+    np.maximum.at(f, doc, value[word])
+    machine.slope, machine.offset = logistic(f[held], toxic[held])
+    machine.heads, machine.tails = parts([vocabulary[i] for i in seeds])
     machine.innocent = beside([t for t, y in zip(texts, toxic.tolist(), strict=True) if not y], machine)
     return machine
 
@@ -377,7 +393,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: in
                 if size <= most_bytes:
                     texts.append(text or "")
                     toxic.append(y == 1)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(toxic, bool)))], pa.binary())], names=["machine"])
+        learned = pickle.dumps(train(texts, np.array(toxic, bool)))
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([learned], pa.binary())], names=["machine"])
 
     learned = got.repartition(1).sortWithinPartitions("place", "doc_id").select("text", "toxic").mapInArrow(run, "machine binary")
     row = learned.first()  # none if Spark knows that there are no rows
