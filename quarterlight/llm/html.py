@@ -11,6 +11,10 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 #: Elements that stand as blocks of their own; their start ends an open paragraph.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object canvas".split())
+#: Elements that are never main text.
+DROPPED = RAW | frozenset("nav footer aside form button select input dialog menu head audio video embed map".split())
+#: Elements nested deeper than this are read as if they stood one after another.
+DEPTH = 150
 
 
 class Node:
@@ -27,6 +31,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.deeper: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -36,7 +41,10 @@ class _Builder(HTMLParser):
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            if len(self.open) < DEPTH or tag in DROPPED:
+                self.open.append(node)
+            else:
+                self.deeper.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -48,14 +56,22 @@ class _Builder(HTMLParser):
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
                 del self.open[k:]
+                self.deeper.clear()
                 return
             if self.open[k].tag in stop:
                 return
 
     def handle_endtag(self, tag):
+        if tag in self.deeper:
+            while self.deeper.pop() != tag:
+                pass
+            if tag in BLOCKS:  # what follows is another block
+                self.open[-1].children.append(Node(tag))
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
+                self.deeper.clear()
                 return
             # An end tag of an inline element doesn't reach beyond its block.
             if tag not in BLOCKS and self.open[k].tag in BLOCKS:

@@ -9,16 +9,22 @@ again (a Misra-Gries summary of TEXTS counters, which never loses a text on
 more than a 1 / TEXTS share of its node's).  Nodes whose texts stay the same are
 template, nodes whose texts vary are slots.
 
-A page is aligned to its host's template.  Its content region is the template's
-<article> (else <main>) if that is a slot there; else the whole page, with all its
-slots.  Of the region, all blocks are kept but those
-of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments, known by their element, role, class or id; in a region that no element
-names, blocks that stand on at least half of the host's pages go, too.  A host
-with a single page has no constant text; all its nodes are slots.
+A page is aligned to its host's template.  Its content is all its slots: every block but
+those whose text is constant in the aligned template node.  Where <article> or <main>
+slots hold at least PLACED of a host's varying characters (any, if the host has fewer than CONSTANT_PAGES
+pages), the content is what is in them, and a text there is constant if nearly all pages have it.  Menus, footers, sidebars, forms, scripts and
+styles go by their element or role.  Notices, adverts, headers and the like known only by
+class or id go, too, where they stand outside an article, unless such a node holds more varying
+characters than all the rest of the template: then the name lies, and the slot is content.  Reader comments always go.
+A host with few pages has no constant text; all its nodes are slots.
 
 Templates are learned from all pages, per task first, then merged FAN at a time,
-so no task holds more than FAN templates of a host; a template has at most NODES nodes.
+so no task holds more than FAN templates of a host.  A template keeps at most NODES nodes, the best
+supported ones; a block without a template node is a slot.  Templates of up to SHIPPED bytes in
+all go to the tasks as a broadcast, so that pages stay where they are; beyond that, pages are
+dealt by host and a salt, and each host's template goes to SALTS places.
+
+Elements nested deeper than html.DEPTH are read as if they stood one after another.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are joined by an empty line.  Null html: empty text; null or odd url: the
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .html import BLOCKS, RAW, Node, parse
+from .html import BLOCKS, DROPPED, Node, parse
 from .texts import sliced
 
 TEXTS = 64
@@ -45,31 +51,47 @@ FAN = 64
 NODES = 400
 #: Hosts that a task holds before it hands their templates on.
 HOSTS = 2000
-#: A text is constant if it stands on this share of the pages, of CONSTANT_PAGES at least.
-CONSTANT, CONSTANT_PAGES = 0.5, 4
+#: A text is constant if it stands on this share of the pages (inside an article, of its pages), of CONSTANT_PAGES at least.
+CONSTANT, CONSTANT_INSIDE, CONSTANT_PAGES = 0.5, 0.95, 4
+#: Articles are the content if they hold this share of a host's varying characters.
+PLACED = 0.2
+#: Bytes of templates that are broadcast; places that a host's pages are dealt to beyond that.
+SHIPPED, SALTS = 32 << 20, 64
 
-DROPPED = RAW | frozenset("nav footer aside form button select input dialog menu head audio video embed map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMED = frozenset(
     "ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
     "sidebar side widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter "
-    "subscribe subscription signup login comment comments reply replies disqus pagination pager tags toolbar".split()
+    "subscribe subscription signup login pagination pager tags toolbar".split()
 )
+COMMENTS = frozenset("comment comments reply replies disqus".split())
 
 
-def refused(node: Node, inside: bool) -> bool:
-    """Whether a node is no part of the main text, by its element, role, class or id."""
+def dropped(node: Node, inside: bool) -> bool:
+    """Whether a node is no part of the main text by its element, role or style, or holds readers' comments."""
     a = node.attrs
     if node.tag in DROPPED or node.tag == "header" and not inside or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    if node.tag in ("html", "body", "article", "main", "#root"):
-        return False
-    return any(w in NAMED for v in (a.get("class", ""), a.get("id", "")) for w in re.split(r"[\s_-]+", v.lower()))
+    return node.tag not in PLACES and bool(COMMENTS & names_of(node))
+
+
+PLACES = ("html", "body", "article", "main", "#root")
+
+
+def names_of(node: Node) -> set[str]:
+    return {w for v in (node.attrs.get("class", ""), node.attrs.get("id", "")) if v for w in re.split(r"[\s_-]+", v.lower())}
+
 
+def doubtful(node: Node, inside: bool) -> bool:
+    """Whether a node's class or id alone says that it is no part of the main text."""
+    return not inside and node.tag not in PLACES and bool(NAMED & names_of(node))
 
-def signature(node: Node) -> str:
+
+def signature(node: Node, inside: bool) -> str:
+    """Element and first class (else id) without digits; doubtful nodes start with "!"."""
     names = (node.attrs.get("class", "").split() or [node.attrs.get("id", "")])[0]
-    return f"{node.tag}.{re.sub('[0-9]+', '', names)}" if names else node.tag
+    s = f"{node.tag}.{re.sub('[0-9]+', '', names)}" if names else node.tag
+    return f"!{s}" if doubtful(node, inside) else s
 
 
 def mark(text: str) -> str:
@@ -92,6 +114,7 @@ def summed(a: dict, b: dict) -> dict:
 
 def skeleton(node: Node, inside: bool = False) -> list:
     """The template of one page's subtree: blocks only, inline text with its block."""
+    own = signature(node, inside)
     inside = inside or node.tag in ("article", "main")
     texts: dict[str, int] = {}
     chars = 0
@@ -102,7 +125,7 @@ def skeleton(node: Node, inside: bool = False) -> list:
         nonlocal chars
         if t := " ".join("".join(pending).split()):
             chars += len(t)
-            texts[mark(t)] = texts.get(mark(t), 0) + 1
+            texts[mark(t)] = 1  # a page counts once
         pending.clear()
 
     todo = list(reversed(node.children))
@@ -114,15 +137,15 @@ def skeleton(node: Node, inside: bool = False) -> list:
             pending.append(" ")
         elif c.tag in BLOCKS or c.tag in DROPPED:
             flush()
-            if not refused(c, inside):
+            if not dropped(c, inside):
                 children.append(skeleton(c, inside))
-        else:
+        elif not dropped(c, inside) and not doubtful(c, inside):
             todo += reversed(c.children)
     flush()
     folded: dict[str, list] = {}
     for c in children:
         folded[c[0]] = merged(folded[c[0]], c, 0) if c[0] in folded else c
-    return [signature(node), 1, chars, sum(texts.values()), summed({}, texts), list(folded.values())]
+    return [own, 1, chars, len(texts), texts, list(folded.values())]
 
 
 def matched(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
@@ -157,7 +180,10 @@ def merged(a: list, b: list, pages: int = 1) -> list:
         if p < len(a[5]) and q < len(b[5]):
             children.append(merged(a[5][p], b[5][q], pages))
         i, j = p + 1, q + 1
-    return [a[0], a[1] + b[1] if pages else max(a[1], b[1]), a[2] + b[2], a[3] + b[3], summed(a[4], b[4]), children]
+    if not pages:
+        texts = a[4] | b[4]
+        return [a[0], 1, a[2] + b[2], len(texts), texts, children]
+    return [a[0], a[1] + b[1], a[2] + b[2], a[3] + b[3], summed(a[4], b[4]), children]
 
 
 def size(t: list) -> int:
@@ -165,112 +191,109 @@ def size(t: list) -> int:
 
 
 def pruned(t: list) -> list:
-    """Without the least supported nodes, if there are too many."""
+    """Without the least supported nodes, if there are too many, and with bounded summaries."""
     least = 2
+    bounded = lambda n: [*n[:4], summed({}, n[4]), [bounded(c) for c in n[5]]]
+    t = bounded(t)
     while size(t) > NODES:
         cut = lambda n, k: [*n[:5], [cut(c, k) for c in n[5] if c[1] >= k]]
         t, least = cut(t, least), least * 2
     return t
 
 
-def constants(t: list, pages: int) -> set[str]:
+def constants(t: list, pages: int, inside: bool) -> set[str]:
     """Texts of a node that stand on most pages."""
     if pages < CONSTANT_PAGES:
         return set()
-    return {k for k, n in t[4].items() if n + t[3] / (TEXTS + 1) * (len(t[4]) >= TEXTS) >= CONSTANT * pages}
+    least = max(CONSTANT_PAGES, (CONSTANT_INSIDE if inside else CONSTANT) * pages)
+    return {k for k, n in t[4].items() if n + t[3] / (TEXTS + 1) * (len(t[4]) >= TEXTS) >= least}
 
 
-def varying(t: list, pages: int) -> float:
-    """Characters of a subtree that are not constant text (by number of texts)."""
-    fixed = sum(t[4][k] for k in constants(t, pages))
-    return t[2] * (1 - fixed / max(t[3], 1)) + sum(varying(c, pages) for c in t[5])
+def is_place(t: list) -> bool:
+    return t[0].split(".")[0] in ("article", "main")
 
 
-def region(template: list) -> tuple[tuple[str, ...], bool]:
-    """The path of the content region, and whether an element names it."""
-    pages = template[1]
-    found: list[tuple[float, tuple[str, ...]]] = []
+class Wrapper:
+    """What a template says: its constant texts, its content nodes and the doubtful nodes that are content."""
 
-    def look(t, path, tag):
-        path = (*path, t[0])
-        if t[0].split(".")[0] == tag:
-            found.append((varying(t, pages), path))
-        else:
+    def __init__(self, template: list):
+        self.root, pages = template, template[1]
+        self.fixed: dict[int, set[str]] = {}
+        self.slots: dict[int, float] = {}
+        self.opened: set[int] = set()
+        places: list[list] = []
+        closed: list[list] = []
+
+        def look(t: list, inside: bool, within: int, shut: bool) -> float:
+            """Varying characters of a subtree, without those of doubtful nodes."""
+            if is_place(t) and not inside and not shut:
+                places.append(t)
+                inside, within = True, t[1]
+            fixed = self.fixed[id(t)] = constants(t, within, inside)
+            own = t[2] * (1 - sum(t[4][k] for k in fixed) / max(t[3], 1))
+            below = 0.0
             for c in t[5]:
-                look(c, path, tag)
-
-    for tag in ("article", "main"):
-        look(template, (), tag)
-        if best := max(found, default=(0, ())):
-            if best[0] > 0:
-                return best[1], True
-    # Any slot may be content: what is constant goes block by block.
-    return (template[0],), False
-
-
-def blocks(root: Node, path: tuple[str, ...], named: bool, template: list) -> list[str]:
-    """The texts of the region's blocks, in page order."""
-    out: list[str] = []
-    pages = template[1]
-
-    def below(aligned: list[list], s: str) -> list[list]:
-        return [x for t in aligned for x in t[5] if x[0] == s]
-
-    def collect(node: Node, inside: bool, aligned: list[list]) -> None:
-        inside = inside or node.tag in ("article", "main")
-        fixed = set() if named else set().union(*(constants(t, pages) for t in aligned))
-        pending: list[str] = []
-
-        def flush():
-            t = " ".join("".join(pending).split())
-            if t and mark(t) not in fixed:
-                out.append(t)
-            pending.clear()
-
-        todo = list(reversed(node.children))
-        while todo:
-            c = todo.pop()
-            if c.tag == "#":
-                pending.append(c.text)
-            elif c.tag == "br":
-                pending.append(" ")
-            elif c.tag in BLOCKS or c.tag in DROPPED:
-                flush()
-                if not refused(c, inside):
-                    collect(c, inside, below(aligned, signature(c)))
-            elif not refused(c, inside):
-                todo += reversed(c.children)
-        flush()
-
-    def descend(node: Node, at: int, inside: bool, aligned: list[list]) -> bool:
-        """Collects below every node on the region's path."""
-        if signature(node) != path[at]:
-            return False
-        if at == len(path) - 1:
-            collect(node, inside, aligned)
-            return True
-        hit = False
-        todo = list(reversed(node.children))
-        while todo:
-            c = todo.pop()
-            if c.tag != "#":
-                if c.tag in BLOCKS:
-                    hit |= not refused(c, inside) and descend(c, at + 1, inside or node.tag in ("article", "main"), below(aligned, path[at + 1]))
+                v = look(c, inside, within, shut or c[0][0] == "!")
+                if c[0][0] == "!" and not shut:
+                    closed.append(c)
                 else:
+                    below += v
+            self.slots[id(t)] = own + below
+            return own + below
+
+        everything = look(template, False, pages, False)
+        least = PLACED * everything if pages >= CONSTANT_PAGES else 0
+        self.places: set[int] = set()
+        if (share := sum(self.slots[id(t)] for t in places)) > 0 and share >= least:
+            self.places = {id(t) for t in places}
+        elif pages >= CONSTANT_PAGES:
+            whole = everything + sum(self.slots[id(c)] for c in closed)
+            self.opened = {id(c) for c in closed if self.slots[id(c)] > 0.5 * whole}
+
+    def blocks(self, root: Node) -> list[str]:
+        """The texts of a page's content blocks, in page order."""
+        out: list[str] = []
+
+        def walk(node: Node, inside: bool, aligned: list[list], taken: bool) -> None:
+            inside = inside or node.tag in ("article", "main")
+            taken = taken or any(id(t) in self.places for t in aligned)
+            fixed = set().union(*(self.fixed[id(t)] for t in aligned))
+            pending: list[str] = []
+
+            def flush():
+                t = " ".join("".join(pending).split())
+                if taken and t and mark(t) not in fixed:
+                    out.append(t)
+                pending.clear()
+
+            todo = list(reversed(node.children))
+            while todo:
+                c = todo.pop()
+                if c.tag == "#":
+                    pending.append(c.text)
+                elif c.tag == "br":
+                    pending.append(" ")
+                elif c.tag in BLOCKS or c.tag in DROPPED:
+                    flush()
+                    if not dropped(c, inside):
+                        s = signature(c, inside)
+                        found = [x for t in aligned for x in t[5] if x[0] == s]
+                        if s[0] != "!" or any(id(t) in self.opened for t in found):
+                            walk(c, inside, found, taken)
+                elif not dropped(c, inside) and not doubtful(c, inside):
                     todo += reversed(c.children)
-        return hit
+            flush()
 
-    return out if descend(root, 0, False, [template]) else []
+        walk(root, False, [self.root], not self.places)
+        return out
 
 
-def extracted(html: str | None, template: list | None) -> str:
-    """The main text of a page by its host's template, or by its own where that doesn't fit."""
+def extracted(html: str | None, wrapper: Wrapper | None) -> str:
+    """The main text of a page by its host's wrapper, or by its own where that finds nothing."""
     root = parse(html)
-    for t in (template, None):
-        t = t or skeleton(root)
-        if got := blocks(root, *region(t), t):
-            return "\n\n".join(got)
-    return ""
+    if wrapper and (got := wrapper.blocks(root)):
+        return "\n\n".join(got)
+    return "\n\n".join(Wrapper(skeleton(root)).blocks(root))
 
 
 def host_of(url):
@@ -314,21 +337,30 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host_of(F.col("url")))
-    joined = rows.join(saved(templates(rows)), "host", "left")
+    known = saved(templates(rows))
+    size = known.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
+    shared = None
+    if size <= SHIPPED:
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["template"] for r in known.toLocalIterator()})
+        rows = rows.withColumn("template", F.lit(None).cast("string"))
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches):
-        known: dict[str, list] = {}
+        wrappers: dict[str, Wrapper] = {}
         for batch in sliced(batches, "html"):
             texts = []
-            for html, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
-                if t is not None and t not in known:
-                    if len(known) >= 256:
-                        known.clear()
-                    known[t] = json.loads(t)
-                texts.append(extracted(html, known.get(t)))
+            for host, html, t in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template")), strict=True):
+                if host not in wrappers:
+                    t = shared.value.get(host) if shared else t
+                    if len(wrappers) >= 256:
+                        wrappers.clear()
+                    wrappers[host] = Wrapper(json.loads(t)) if t else None
+                texts.append(extracted(html, wrappers[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "host", "html", "template").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,7 +320,49 @@ def test_wrappers_keep_all_slots():
     template = wrappers.skeleton(wrappers.parse(html[0]))
     for page_ in html[1:]:
         template = wrappers.merged(template, wrappers.skeleton(wrappers.parse(page_)))
-    assert [wrappers.extracted(page_, template) for page_ in html] == want
+    assert [wrappers.extracted(page_, wrappers.Wrapper(template)) for page_ in html] == want
+    # The template decides: by itself, a page keeps what the others have, too.
+    assert all(t.startswith("Welcome to the site") and t.endswith("Read on") for t in (wrappers.extracted(p, None) for p in html))
+
+
+def learned(html):
+    template = wrappers.skeleton(wrappers.parse(html[0]))
+    for page_ in html[1:]:
+        template = wrappers.merged(template, wrappers.skeleton(wrappers.parse(page_)))
+    return wrappers.Wrapper(wrappers.pruned(template))
+
+
+def test_wrappers_names_do_not_decide():
+    rng = random.Random(7)
+    # Content under names of boilerplate: kept inside an article, and elsewhere where it holds most of what varies.
+    inside = [(prose(rng, 30), prose(rng, 20)) for _ in range(12)]
+    html = [f"<body><div class=ad>{prose(rng, 9)}</div><article><p>Share this</p><p>{a}</p><p class=notice>{b}</p><section class=related-work><p>end {i}</p></section></article><div id=comments><p>{prose(rng, 80)}</p></div></body>" for i, (a, b) in enumerate(inside)]
+    wrapper = learned(html)
+    assert [wrapper.blocks(wrappers.parse(h)) for h in html] == [[a, b, f"end {i}"] for i, (a, b) in enumerate(inside)]
+    html = [f"<body><div class=sidebar>{prose(rng, 5)}</div><div class='social post'><h2>{a}</h2><p>{b}</p></div><div class=comments>{prose(rng, 90)}</div><p>Contact us</p></body>" for a, b in inside]
+    wrapper = learned(html)
+    assert [wrapper.blocks(wrappers.parse(h)) for h in html] == [[a, b] for a, b in inside]
+    # A text that one page has many times is no template.
+    html = [f"<body><article><p>{prose(rng, 9)}</p></article></body>" for _ in range(20)] + ["<body><article>" + "<p>again</p>" * 60 + "</article></body>"]
+    assert learned(html).blocks(wrappers.parse(html[-1])) == ["again"] * 60
+
+
+def test_wrappers_of_deep_and_long_pages(spark):
+    deep = "<div>" * 5000 + "<p>in the deep" + "</div>" * 5000 + "<p>after it<nav><div>menu</div></nav><script>no()</script>"
+    spans = ("<p>" + "<span>" * 3000 + "inline" + "</span>" * 3000 + " text</p><ul>") * 2
+    long = "<article>" + "".join(f"<p>{i} words" for i in range(20000)) + "</article>"
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}/", h) for i, h in enumerate((deep, spans, long, deep, None))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(pages).collect()}
+    assert got[0] == got[3] == "in the deep\n\nafter it" and got[1] == "inline text\n\ninline text" and got[4] == ""
+    assert got[2].split("\n\n") == [f"{i} words" for i in range(20000)]
+
+
+def test_wrappers_beyond_the_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    pages = spark.createDataFrame([(i, "http://one/" if i % 3 else None, f"<body><p>Menu</p><div>{prose(rng, 20)}</div></body>") for i in range(60)] * 2, "page_id long, url string, html string")
+    want = sorted(map(tuple, wrappers.main_texts(pages).collect()), key=str)
+    monkeypatch.setattr(wrappers, "SHIPPED", 0)
+    assert sorted(map(tuple, wrappers.main_texts(pages).collect()), key=str) == want and not any("Menu" in r[2] for r in want)
 
 
 def test_tree_matching():
