@@ -12,9 +12,12 @@ nothing.
     index   := JSON {"width", "planes", "block", "blocks": [[ids, [bytes of each plane]]], "documents": [rows, bytes]}
     length  := uint32, bytes of index;  magic := b"QLBP"
 
-A shard is written under a name of its own attempt and then renamed, so a task
-that runs again, or twice, leaves the same file.  Null or empty text: the end
-id alone.  Documents that share a doc_id stand side by side, ordered by text.
+A shard is written under a name of its own attempt, and the manifest names the file of the
+attempt that counts: nothing is renamed, so a task that runs again, or twice, never meets
+another's file (files of lost attempts stay unread).  Null or empty text: the end
+id alone.  Documents that share a doc_id stand side by side, ordered by text; a null doc_id
+comes first and is kept in the file as the least 64-bit number, which no document may have.
+A document longer than memory cannot be encoded.
 An empty table gives shards without documents, or none.  Other columns are ignored.
 """
 
@@ -26,6 +29,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import exclusive_offsets, own_dir, saved, small, table
 from .packing import binaries, with_end
+from .texts import give_back
 from .tokens import slices, tokenizer_path, word_encoder
 
 BLOCK_IDS = 1 << 16
 END_ID = 1
 MAGIC = b"QLBP"
+#: Stands for a null doc_id in the files.
+NO_ID = -(1 << 63)
 MANIFEST = "shard int, path string, n_docs long, total long, n_bytes long"
 
 
@@ -68,8 +75,8 @@ class ShardWriter:
     def __init__(self, folder: str, name: str, dtype: np.dtype, planes: str, block: int):
         self.fs, where = filesystem(folder)
         self.fs.create_dir(where)
-        self.final, self.temp = f"{where}/{name}", f"{where}/_{uuid.uuid4().hex}"
-        self.out, self.dtype, self.planes, self.block = self.fs.open_output_stream(self.temp), dtype, planes, block
+        self.name = f"{name}-{uuid.uuid4().hex}.qlbp"
+        self.out, self.dtype, self.planes, self.block = self.fs.open_output_stream(f"{where}/{self.name}"), dtype, planes, block
         self.zstd, self.rest, self.index, self.docs, self.n_ids, self.n_bytes = zstandard.ZstdCompressor(3), np.zeros(0, dtype), [], [], 0, 0
 
     def put(self, data: bytes) -> int:
@@ -80,11 +87,11 @@ class ShardWriter:
     def add(self, doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         self.docs.append(np.stack([doc_ids, counts]))
         self.n_ids += len(ids)
-        self.rest = np.concatenate([self.rest, ids.astype(self.dtype, copy=False)])
-        whole = len(self.rest) // self.block * self.block
+        held = np.concatenate([self.rest, ids.astype(self.dtype, copy=False)])
+        whole = len(held) // self.block * self.block
         for at in range(0, whole, self.block):
-            self.flush(self.rest[at : at + self.block])
-        self.rest = self.rest[whole:]
+            self.flush(held[at : at + self.block])
+        self.rest = held[whole:].copy()
 
     def flush(self, ids: np.ndarray) -> None:
         self.index.append([len(ids), [self.put(self.zstd.compress(p)) for p in to_planes(ids, self.planes)]])
@@ -97,7 +104,6 @@ class ShardWriter:
         index = json.dumps({"width": self.dtype.itemsize, "planes": self.planes, "block": self.block, "blocks": self.index, "documents": [docs.shape[1], size]}).encode()
         self.put(index + struct.pack("<I", len(index)) + MAGIC)
         self.out.close()
-        self.fs.move(self.temp, self.final)
         return docs.shape[1], self.n_ids, self.n_bytes
 
 
@@ -113,7 +119,7 @@ def read_shard(path: str):
         n_docs, doc_bytes = index["documents"]
         unpack = zstandard.ZstdDecompressor().decompress
         docs = np.frombuffer(unpack(f.read_at(doc_bytes, size - 8 - length - doc_bytes)), "<i8").reshape(2, n_docs)
-        dtype, at, done, rest, most = np.dtype(f"<u{index['width']}"), 0, 0, np.zeros(0, f"<u{index['width']}"), index["block"] * index["width"]
+        dtype, at, done, rest, most = np.dtype(f"<u{index['width']}"), 0, 0, [], index["block"] * index["width"]
         ends = np.cumsum(docs[1])
         read = 0
         for n, sizes in index["blocks"]:
@@ -122,13 +128,13 @@ def read_shard(path: str):
             for s in sizes:
                 planes.append(unpack(data[:s], max_output_size=most))
                 data = data[s:]
-            rest = np.concatenate([rest, from_planes(planes, n, dtype, index["planes"])])
+            rest.append(from_planes(planes, n, dtype, index["planes"]))
             read += n
             upto = int(np.searchsorted(ends, read, "right"))
             if upto > done:
-                counts = docs[1][done:upto]
-                yield docs[0][done:upto], rest[: counts.sum()], counts
-                rest, done = rest[counts.sum() :], upto
+                counts, held = docs[1][done:upto], np.concatenate(rest)
+                yield docs[0][done:upto], held[: counts.sum()], counts
+                rest, done = [held[counts.sum() :].copy()], upto
 
 
 def write_bitplanes(docs: DataFrame, folder: str, planes: str = "byte", end_id: int = END_ID, block: int = BLOCK_IDS, tokenizer: str | None = None) -> DataFrame:
@@ -137,13 +143,14 @@ def write_bitplanes(docs: DataFrame, folder: str, planes: str = "byte", end_id:
 
     def run(batches):
         shard, encoder = TaskContext.get().partitionId(), word_encoder(path)
-        writer = ShardWriter(folder, name := f"shard-{shard:06d}.qlbp", encoder.dtype, planes, block)
+        writer = ShardWriter(folder, f"shard-{shard:06d}", encoder.dtype, planes, block)
         for batch in batches:
             for a, n in slices(batch.column("text")):
                 cut = batch.slice(a, n)
                 ids, counts = with_end(*encoder.encode(cut.column("text")), end_id)
-                writer.add(cut.column("doc_id").to_numpy(), ids, counts)
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{name}"} | dict(zip(("n_docs", "total", "n_bytes"), writer.close(), strict=True))], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("total", pa.int64()), ("n_bytes", pa.int64())]))
+                writer.add(pc.fill_null(cut.column("doc_id"), NO_ID).to_numpy(), ids, counts)
+            give_back()
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{writer.name}"} | dict(zip(("n_docs", "total", "n_bytes"), writer.close(), strict=True))], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("total", pa.int64()), ("n_bytes", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -162,7 +169,7 @@ def read_bitplanes(manifest: DataFrame) -> DataFrame:
                 for doc_ids, ids, counts in read_shard(path):
                     starts = at + np.cumsum(counts) - counts
                     at += int(counts.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts), pa.array(counts), binaries(ids.astype("<u4"), counts)], names=["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(starts), pa.array(counts), binaries(ids.astype("<u4"), counts)], names=["doc_id", "start", "n_tokens", "ids"])
 
     return placed.select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

@@ -11,8 +11,9 @@ and stored as an 8-bit grey PNG of WIDTH columns, which is lossless.
 
 Media are shown by <img>, <video>, <audio>, <source>, <embed> and <object>; a
 reference is "media:sha256/<hex>", any other address has a null digest and stays
-unresolved.  The caption is the <figcaption> of the reference's figure, else its alt
-or title text, else empty.  Null html is an empty sequence, null payload an
+unresolved.  The caption is the <figcaption> of the reference's figure, at any depth there: the
+next one after it, else the last before it; without one its alt or title text, else empty.  A
+<figcaption> of a figure without media is text.  Null html is an empty sequence, null payload an
 empty one.  Repeated references resolve each time; a digest that is missing in the
 store leaves nulls.  Other columns of pages are ignored.
 """
@@ -143,16 +144,47 @@ def items_of(html: str | None) -> list[dict]:
         pending.clear()
 
     def plain(node: Node) -> str:
-        return node.text if node.tag == "#" else "".join(map(plain, node.children))
-
-    def caption_of(figure: Node | None, node: Node) -> str:
-        found = [c for c in figure.children if c.tag == "figcaption"] if figure else []
-        text = plain(found[0]) if found else node.attrs.get("alt") or node.attrs.get("title") or ""
-        return " ".join(text.split())
-
-    todo = [(parse(html), None, False)]
+        out, todo = [], [node]
+        while todo:
+            n = todo.pop()
+            out.append(n.text if n.tag == "#" else " " if n.tag in BLOCKS or n.tag == "br" else "")
+            todo += reversed(n.children)
+        return "".join(out)
+
+    def below(node: Node) -> list[Node]:
+        """The media and captions of a figure, in order, without those of figures inside."""
+        out, todo = [], list(reversed(node.children))
+        while todo:
+            c = todo.pop()
+            if c.tag in SHOWS and c.attrs.get(SHOWS[c.tag]) or c.tag == "figcaption":
+                out.append(c)
+            if c.tag not in RAW and c.tag not in ("figcaption", "figure"):
+                todo += reversed(c.children)
+        return out
+
+    captions: dict[int, str] = {}  # of media, by their figure's caption
+    spent: set[int] = set()  # captions that belong to media
+
+    def assign(figure: Node) -> None:
+        """Each medium takes the next caption after it, else the last one before it."""
+        found = below(figure)
+        media = [c for c in found if c.tag != "figcaption"]
+        marks = [k for k, c in enumerate(found) if c.tag == "figcaption"]
+        if media and marks:
+            for k, c in enumerate(found):
+                if c.tag == "figcaption":
+                    spent.add(id(c))
+                else:
+                    captions[id(c)] = plain(found[next((m for m in marks if m > k), marks[-1])])
+
+    def caption_of(node: Node) -> str:
+        return " ".join((captions.get(id(node)) or node.attrs.get("alt") or node.attrs.get("title") or "").split())
+
+    todo = [(parse(html), False)]
     while todo:
-        node, figure, done = todo.pop()
+        node, done = todo.pop()
+        if node.tag == "figure" and not done:
+            assign(node)
         if done:
             flush()
         elif node.tag == "#":
@@ -160,12 +192,12 @@ def items_of(html: str | None) -> list[dict]:
         elif node.tag in SHOWS and node.attrs.get(SHOWS[node.tag]):
             flush()
             found = REFERENCE.fullmatch(node.attrs[SHOWS[node.tag]].strip())
-            items.append({"position": len(items), "kind": "media", "text": None, "digest": found[1] if found else None, "caption": caption_of(figure, node)})
-        elif node.tag not in RAW and not (node.tag == "figcaption" and figure is not None):
+            items.append({"position": len(items), "kind": "media", "text": None, "digest": found[1] if found else None, "caption": caption_of(node)})
+        elif node.tag not in RAW and id(node) not in spent:
             if node.tag in BLOCKS or node.tag == "br":
                 flush()
-                todo.append((node, figure, True))
-            todo += [(c, node if node.tag == "figure" else figure, False) for c in reversed(node.children)]
+                todo.append((node, True))
+            todo += [(c, False) for c in reversed(node.children)]
     flush()
     return items
 

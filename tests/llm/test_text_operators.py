@@ -68,10 +68,11 @@ def test_pack_nothing(docs):
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_shards_round_trip(spark, docs, planes):
-    manifest = bitplanes.write_bitplanes(docs.filter("doc_id is not null"), own_dir(spark, "t"), planes, block=256)
+    manifest = bitplanes.write_bitplanes(docs, own_dir(spark, "t"), planes, block=256)
     rows = bitplanes.read_bitplanes(manifest).collect()
     rows.sort(key=lambda r: r["start"])
-    source = sorted(((r["doc_id"], r["text"] or "") for r in docs.filter("doc_id is not null").collect()))
+    source = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert source[0][0] is None
     assert [r["doc_id"] for r in rows] == [i for i, _ in source]
     at = 0
     for r, (_, text) in zip(rows, source, strict=True):
@@ -158,3 +159,25 @@ def test_sequences(spark):
     described = spark.createDataFrame([(d, 5)], "digest string, payload_bytes long")
     rows = {(r["page_id"], r["position"]): r["payload_bytes"] for r in interleaved.resolved(interleaved.sequences(pages), described).collect()}
     assert rows[(1, 2)] == 5 and rows[(1, 4)] is None and len(rows) == 6
+
+
+def test_captions_stay_with_their_media():
+    def of(html):
+        return [(i["kind"], i["text"] or i["caption"]) for i in interleaved.items_of(html)]
+
+    two = '<figure><div><img src="a"><p><figcaption>first</figcaption></div><video src="b"></video><figcaption>second <b>one</b></figcaption><img src="c" alt="x"></figure>'
+    assert of(two) == [("media", "first"), ("media", "second one"), ("media", "second one")]
+    assert of("one<figure><blockquote>said</blockquote><figcaption>by whom</figcaption></figure>two") == [("text", "one"), ("text", "said"), ("text", "by whom"), ("text", "two")]
+    assert of('<figure><figure><img src="in"><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>') == [("media", "inner"), ("text", "outer")]
+    deep = '<figure><img src="a"><figcaption>' + "<span>" * 5000 + "deep" + "</span>" * 5000 + "</figcaption></figure>" + "<div>" * 3000 + "end"
+    assert of(deep) == [("media", "deep"), ("text", "end")]
+
+
+def test_pages_of_several_items(spark):
+    """Texts and figures of a page resolve in order, the payloads from the store."""
+    data = [b"one", b"", b"three" * 50]
+    store = interleaved.features(interleaved.media_store(spark.createDataFrame([(bytearray(d),) for d in [*data, data[0]]], "payload binary")))
+    digest = [hashlib.sha256(interleaved.padded(d)).hexdigest() for d in data]
+    html = "".join(f'<p>text {k}</p><figure><img src="media:sha256/{d}"><figcaption>caption {k}</figcaption></figure>' for k, d in enumerate([*digest, digest[0]]))
+    rows = sorted(interleaved.resolved(interleaved.sequences(spark.createDataFrame([(1, html)], "page_id long, html string")), store).collect(), key=lambda r: r["position"])
+    assert [(r["text"] or r["caption"], r["payload_bytes"]) for r in rows] == [x for k, n in enumerate((64, 64, 256, 64)) for x in ((f"text {k}", None), (f"caption {k}", n))]
