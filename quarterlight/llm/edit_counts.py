@@ -1,12 +1,15 @@
 """Token counts that follow edits.
 
 A document is kept as a tree over pre-token segments: leaves are runs of whole
-segments (about LEAF characters, cut after white space), and two binary indexed
-trees hold the subtree sums of characters and tokens.  An edit finds its leaves by
-descent, re-encodes only the segments that it touches, from the white space before it
-to the white space after it (the boundary context, as the tokenizer never
-looks across it), and adds the difference to the sums above.  A leaf whose last
-white space is deleted is joined with the next.
+segments (about LEAF characters), and two binary indexed trees hold the subtree sums of
+characters and tokens.  Leaves begin after white space or where the tokenizer is bound to
+begin a new pre-token: between an ASCII letter, digit or mark and an ASCII character of another kind
+(JOINED marks apart), and after each ASCII digit.  An edit finds its leaves by descent and re-encodes them
+alone; the boundary context is the rest of these leaves, and the neighbour that the edit touches.  Their stored
+count is taken off, so nothing old is encoded again.  Leaves that grow are cut again.
+
+``edited_counts`` can return the leaves with their counts (``keep``) and take them in place of a text
+(``leaves``), so that a later round of edits encodes no text that did not change.
 
 Edits are (start, end, replacement) in characters of the document as the earlier
 edits left it; ends outside are clipped, an end before its start deletes nothing, a
@@ -28,10 +31,16 @@ from .common import table
 from .texts import sliced
 from .tokens import tokenizer_path, word_encoder
 
-LEAF = 512
+LEAF = 128
 SPACE = re.compile("[ \n]")
+#: Marks that can belong to the letters beside them: contractions and special tokens.
+JOINED = "'<>|"
+_MARK = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in JOINED)
+#: Where a leaf can begin.
+CUT = re.compile(rf"(?<=[ \n])|(?<=[A-Za-z])(?=[0-9{_MARK}])|(?<=[0-9])(?=[A-Za-z0-9{_MARK}])|(?<=[{_MARK}])(?=[A-Za-z0-9])")
 EDIT = "struct<start:long,end:long,replacement:string>"
 SCHEMA = "doc_id long, n_tokens long, versions array<long>, n_leaves int, n_chars long, encoded_chars long"
+LEAVES = "array<struct<text:string,tokens:long>>"
 #: What the query's edits put in.
 INSERTS = ("", "x", " and", "token ", " \n", "é", "2024", "...")
 
@@ -73,8 +82,8 @@ class Sums:
 def leaves_of(text: str) -> list[str]:
     out, at = [], 0
     while at < len(text):
-        m = SPACE.search(text, at + LEAF)
-        end = m.end() if m else len(text)
+        m = CUT.search(text, at + LEAF)
+        end = m.start() if m else len(text)
         out.append(text[at:end])
         at = end
     return out or [""]
@@ -104,35 +113,30 @@ class CountTree:
         while before > 0 and not self.leaves[before]:
             before -= 1
         if start == base and before >= 0 and self.leaves[before] and self.leaves[before][-1] not in " \n":
-            first, base = before, base - len(self.leaves[before])  # the text's end, with empty leaves after it
+            first, base = before, base - len(self.leaves[before])  # the edit touches the leaf before
         last, text, tokens = first, self.leaves[first], self.tokens[first]
-
-        def join_next() -> None:
-            nonlocal last, text, tokens
+        while end - base >= len(text) and last + 1 < len(self.leaves):  # so the last character stays
             last += 1
             text, tokens = text + self.leaves[last], tokens + self.tokens[last]
-
-        while base + len(text) < end and last + 1 < len(self.leaves):
-            join_next()
-        a, b = start - base, end - base
-        # The boundary context: whole segments on both sides of the edit.
-        lo = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a)) + 1
-        while not (m := SPACE.search(text, b)) and last + 1 < len(self.leaves):
-            join_next()
-        hi = m.start() if m else len(text)
-        old, new = text[lo:hi], text[lo:a] + replacement + text[b:hi]
+        new = text[: start - base] + replacement + text[end - base :]
+        now = self.count(new)
         self.encoded += len(new)
-        self.n_chars += len(new) - len(old)
-        change = self.count(new) - self.count(old)
-        self.n_tokens += change
+        self.n_chars += len(new) - len(text)
+        self.n_tokens += now - tokens
+        if len(new) > 8 * LEAF and len(parts := leaves_of(new)) > 1:
+            self.encoded += len(new)
+            self.leaves[first : last + 1], self.tokens[first : last + 1] = parts, [self.count(x) for x in parts]
+            self.char_sums, self.token_sums = Sums([len(x) for x in self.leaves]), Sums(self.tokens)
+            return
         for k in range(first + 1, last + 1):
             self.put(k, "", 0)
-        self.put(first, text[:lo] + new + text[hi:], tokens + change)
+        self.put(first, new, now)
 
 
-def edited_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def edited_counts(docs: DataFrame, tokenizer: str | None = None, leaves: str | None = None, keep: bool = False) -> DataFrame:
     """``docs`` with doc_id, text and edits (an array of structs): the tokens of the
-    text as it stands, after each edit, and how many characters were encoded for all edits."""
+    text as it stands, after each edit, and how many characters were encoded for all edits.
+    ``leaves`` names a column of kept leaves that stands for the text; ``keep`` returns the leaves."""
     path = tokenizer_path(path=tokenizer)
 
     def run(batches):
@@ -141,24 +145,32 @@ def edited_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         def count(text: str) -> int:
             return sum(len(encoder.chunk(c)) for c in SPACE.split(text)) // encoder.dtype.itemsize
 
-        for batch in sliced(batches):
-            leaves = [leaves_of(t or "") for t in batch.column("text").to_pylist()]
-            sizes = np.cumsum([0, *map(len, leaves)])
-            tokens = encoder.encode(pa.array([x for d in leaves for x in d], pa.string()))[1].tolist()
+        def trees(batch):
+            if leaves:
+                kept = [d or [{"text": "", "tokens": 0}] for d in batch.column("leaves").to_pylist()]
+                return [CountTree([x["text"] for x in d], [x["tokens"] for x in d], count) for d in kept]
+            cut = [leaves_of(t or "") for t in batch.column("text").to_pylist()]
+            sizes = np.cumsum([0, *map(len, cut)])
+            tokens = encoder.encode(pa.array([x for d in cut for x in d], pa.string()))[1].tolist()
+            return [CountTree(d, tokens[sizes[i] : sizes[i + 1]], count) for i, d in enumerate(cut)]
+
+        for batch in batches if leaves else sliced(batches):
             rows = []
-            for i, edits in enumerate(batch.column("edits").to_pylist()):
-                tree = CountTree(leaves[i], tokens[sizes[i] : sizes[i + 1]], count)
+            for tree, edits in zip(trees(batch), batch.column("edits").to_pylist(), strict=True):
                 first, versions, n_leaves = tree.n_tokens, [], len(tree.leaves)
                 for e in edits or []:
                     if e is not None and e["start"] is not None:
                         tree.edit(e["start"], e["end"] if e["end"] is not None else e["start"], e["replacement"] or "")
                     versions.append(tree.n_tokens)
-                rows.append((first, versions, n_leaves, tree.n_chars, tree.encoded))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "n_tokens", "versions", "n_leaves", "n_chars", "encoded_chars"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast(f"array<{EDIT}>")).mapInArrow(run, SCHEMA)
+                held = [{"text": x, "tokens": n} for x, n in zip(tree.leaves, tree.tokens, strict=True) if x] if keep else None
+                rows.append((first, versions, n_leaves, tree.n_chars, tree.encoded, held))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int64())])))
+            names = ["doc_id", "n_tokens", "versions", "n_leaves", "n_chars", "encoded_chars", "leaves"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]][: 6 + keep], names=names[: 6 + keep])
+
+    text = F.col(leaves).cast(LEAVES).alias("leaves") if leaves else F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.col("edits").cast(f"array<{EDIT}>")).mapInArrow(run, SCHEMA + (f", leaves {LEAVES}" if keep else ""))
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -44,8 +44,21 @@ def test_op1(spark, sf_dir, documents):
         assert r["base_failed"] == (n < 50 or 100 * again > 50 * n) and not (r["kept"] and r["base_failed"])
 
 
-def test_op3(spark, sf_dir, ids):
-    assert {r["doc_id"]: r["n_tokens"] for r in rows(spark, sf_dir, "op3_edit_aware_counts")} == {i: len(x) for i, x in ids.items()}
+def test_op3(spark, sf_dir, documents, ids):
+    from test_text_operators import leaves_by_hand
+
+    from quarterlight.llm.edit_counts import drawn_edits
+
+    edits = {r["doc_id"]: r["edits"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", drawn_edits().alias("edits")).collect()}
+    want = {}
+    for i, text in documents.items():
+        after = text or ""
+        for e in edits[i]:
+            after = after[: e["start"]] + e["replacement"] + after[max(e["start"], e["end"]) :]
+        n = len(library_tokenizer(tokenizer_path()).encode(after, add_special_tokens=False).ids)
+        want[i] = (len(ids[i]), n, len(after), *leaves_by_hand(text or "", edits[i]))
+    got = rows(spark, sf_dir, "op3_edit_aware_counts")
+    assert {r["doc_id"]: (r["n_tokens"], r["n_tokens_edited"], r["n_chars"], r["n_leaves"], r["encoded_chars"]) for r in got} == want
 
 
 def test_op4(spark, sf_dir, ids):

@@ -92,7 +92,7 @@ def test_planes(data, kind):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from("ab .,\né'1"), max_size=1500), st.lists(st.tuples(st.integers(-2, 1600), st.integers(-2, 1600), st.text(st.sampled_from("x \né."), max_size=6)), max_size=12))
+@given(st.lists(st.sampled_from([*"ab .,\né'1-\u0301Σ<|>", "'s", "<|endoftext|>", "word", "42"]), max_size=900).map("".join), st.lists(st.tuples(st.integers(-2, 1600), st.integers(-2, 1600), st.text(st.sampled_from("x \né.'s\u0301"), max_size=6)), max_size=12))
 def test_edits(text, edits):
     encoder = word_encoder(tokenizer_path())
     count = lambda s: sum(len(encoder.chunk(c)) for c in edit_counts.SPACE.split(s)) // 2
@@ -107,6 +107,41 @@ def test_edits(text, edits):
         assert tree.n_tokens == full(text) == tree.token_sums.before(len(tree.leaves))
 
 
+def leaves_by_hand(text, edits):
+    """(leaves at first, characters encoded): the leaves in a plain list, counted from its start."""
+    leaves, n, encoded = edit_counts.leaves_of(text), 0, 0
+    n = len(leaves)
+    for e in edits:
+        size = sum(map(len, leaves))
+        a = min(max(e["start"], 0), size)
+        b = min(max(e["end"], a), size)
+        ends = np.cumsum([len(x) for x in leaves])
+        first = min(int(np.searchsorted(ends, a, "right")), len(leaves) - 1)
+        base = int(ends[first]) - len(leaves[first])
+        if a == base and (k := max((i for i in range(first) if leaves[i]), default=None)) is not None and leaves[k][-1] not in " \n":
+            first, base = k, int(ends[k]) - len(leaves[k])
+        last = first
+        while b >= ends[last] and last + 1 < len(leaves):
+            last += 1
+        joined = "".join(leaves[first : last + 1])
+        leaves[first : last + 1] = [joined[: a - base] + e["replacement"] + joined[b - base :], *[""] * (last - first)]
+        encoded += len(leaves[first])
+    return n, encoded
+
+
+def test_leaves_of_text_without_spaces(spark):
+    rows = [(1, "a.b," * 5000, [(10000, 10001, "x")]), (2, "7" * 9000, [(0, 0, "1"), (8000, 8100, "")]), (3, None, [(0, 5, "new")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:long,end:long,replacement:string>>")
+    got = {r["doc_id"]: r for r in edit_counts.edited_counts(docs, keep=True).collect()}
+    assert got[1]["n_leaves"] > 150 and got[1]["encoded_chars"] < 300 and got[2]["encoded_chars"] < 900
+    # A second round on the kept leaves encodes no whole text.
+    again = spark.createDataFrame([(i, [tuple(x) for x in r["leaves"]], [(3, 4, "z")]) for i, r in got.items()], f"doc_id long, kept {edit_counts.LEAVES}, edits array<struct<start:long,end:long,replacement:string>>")
+    for r in edit_counts.edited_counts(again, leaves="kept").collect():
+        text = "".join(x["text"] for x in got[r["doc_id"]]["leaves"])
+        assert r["n_tokens"] == got[r["doc_id"]]["versions"][-1] == len(library(text, 0)) - 1
+        assert r["versions"] == [len(library(text[:3] + "z" + text[4:], 0)) - 1] and r["encoded_chars"] < 300
+
+
 def test_edit_query_form(spark, docs):
     from quarterlight.llm.edit_counts import drawn_edits, edited_counts, with_edits
 
