@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The mark of an unknown period, the file-name pattern and its months.
 UNKNOWN = "未知"
+NAME_PATTERN = r"^(\d{4}|\d{2})(\d{2})_(\d{4})_AI1\.pdf"
+MONTHS = {"03": "Q1", "06": "Q2", "09": "Q3", "12": "Q4"}
 
 
 def bare(season: Column) -> Column:
@@ -60,9 +63,8 @@ def calendar_period(name: Column) -> Column:
 def parse_name(name: Column) -> Column:
     """struct(year, season, stock_code) of YYYYMM_CODE_AI1.pdf or YYMM_CODE_AI1.pdf; null if it is neither.
     Months 03, 06, 09 and 12 are Q1 to Q4, any other is Q1."""
-    pattern = r"^(\d{4}|\d{2})(\d{2})_(\d{4})_AI1\.pdf"
-    year = F.regexp_extract(name, pattern, 1)
+    year = F.regexp_extract(name, NAME_PATTERN, 1)
     full = F.when(F.length(year) == 2, year.try_cast("int") + 2000).otherwise(year.try_cast("int"))
-    month = F.regexp_extract(name, pattern, 2)
-    season = F.when(month == "06", "Q2").when(month == "09", "Q3").when(month == "12", "Q4").otherwise("Q1")
-    return F.when(year != "", F.struct(full.alias("year"), season.alias("season"), F.regexp_extract(name, pattern, 3).alias("stock_code")))
+    month = F.regexp_extract(name, NAME_PATTERN, 2)
+    season = F.coalesce(*[F.when(month == m, q) for m, q in MONTHS.items()], F.lit("Q1"))
+    return F.when(year != "", F.struct(full.alias("year"), season.alias("season"), F.regexp_extract(name, NAME_PATTERN, 3).alias("stock_code")))

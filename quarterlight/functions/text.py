@@ -84,10 +84,10 @@ def unwrap(value: Column) -> Column:
 
 
 def links(html: Column, suffix: str) -> Column:
-    """Array of struct(url, text, size) of the anchors whose href holds ``suffix``; the size is
-    the N of "N bytes" in the text, else 0."""
+    """Array of struct(url, text, size) of the anchors without markup inside whose href, in any
+    case of letters, holds ``suffix``; the size is the N of "N byte" or "N bytes" in the text, else 0."""
     quoted = suffix.replace(".", r"\.")
-    pattern = rf"""(?is)<a[^>]*href=["']([^"']*{quoted}[^"']*)["'][^>]*>(.*?)</a>"""
+    pattern = rf"""(?i)<a[^>]+href=["']([^"']*{quoted}[^"']*)["'][^>]*>([^<]*)</a>"""
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("url"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("text"))
-    size = lambda t: F.coalesce(F.replace(F.regexp_extract(t, r"(?i)([\d,]+)\s*bytes", 1), F.lit(","), F.lit("")).try_cast("long"), F.lit(0).cast("long"))
-    return F.transform(pairs, lambda p: F.struct(p["url"].alias("url"), F.trim(p["text"]).alias("text"), size(p["text"]).alias("size")))
+    size = lambda t: F.coalesce(F.translate(F.regexp_extract(t, r"(?U)(\d+(?:,\d+)*)\s*bytes?", 1), f"{WIDE_DIGITS},", "0123456789").try_cast("long"), F.lit(0).cast("long"))
+    return F.transform(pairs, lambda p: F.struct(p["url"].alias("url"), strip(p["text"]).alias("text"), size(p["text"]).alias("size")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import periods as P
@@ -36,9 +36,10 @@ def searched(index: DataFrame, stock_code: str | None = None, company_name: str
     return index.filter(functools.reduce(Column.__and__, tests)) if tests else index
 
 
-def stats(index: DataFrame, code: str = "stock_code") -> DataFrame:
-    """One row: reports, distinct codes and their sorted list."""
-    return index.agg(F.count("*").alias("total_reports"), F.count_distinct(code).alias("n_codes"), F.array_sort(F.collect_set(code)).alias("codes"))
+def stats(index: DataFrame, code: str = "stock_code", updated: str | None = None) -> DataFrame:
+    """One row: reports, distinct codes and their sorted list; with ``updated``, the latest of that column."""
+    last = [F.max(updated).alias("last_updated")] if updated else []
+    return index.agg(F.count("*").alias("total_reports"), F.count_distinct(code).alias("n_codes"), F.array_sort(F.collect_set(code)).alias("codes"), *last)
 
 
 def counts(rows: DataFrame, *keys: str) -> DataFrame:
@@ -57,5 +58,21 @@ def newest(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n"), F.max_by("name", F.struct("modified", "name")).alias("newest"))
 
 
-def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+def by_crawl(index: DataFrame) -> DataFrame:
+    """The catalog, crawled last first; times compare as text."""
+    return index.orderBy(F.col("crawled_at").desc_nulls_last(), "id")
+
+
+def files_named(files: DataFrame, part: str, name: str = "name") -> DataFrame:
+    """Files with ``part`` in their name, whatever the case of letters."""
+    return files.filter(F.contains(F.lower(name), F.lit(part.lower())))
+
+
+def shown(rows: DataFrame, order: list, most: int = 10) -> DataFrame:
+    """The first ``most`` rows by ``order``, each with ``n_more``, the number of rows that are left out."""
+    return rows.orderBy(*order).limit(most).crossJoin(F.broadcast(rows.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("n_more"))))
+
+
+def remaining_seconds(elapsed: Column, current: Column, total: Column) -> Column:
+    """Elapsed time carried on to the total, less what has passed; null before the first item."""
+    return F.when(current > 0, elapsed * (total.cast("double") / current) - elapsed)

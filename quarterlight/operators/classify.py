@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 SAMPLED_PAGES = 5
+# Notes of the strategies.
+SCANNED_NOTE = "Scanned PDF - requires manual review or OCR"
+NO_TEXT_NOTE = "No text content extracted from PDF"
+NO_CONTENT_NOTE = "Mixed PDF processing failed - no content"
 
 
 def document_type(chars: Column, ratio: Column) -> Column:
@@ -37,6 +41,21 @@ def strategy(doc_type: Column, n_combined: Column, has_text: Column) -> Column:
     )
 
 
+def note(doc_type: Column, n_combined: Column, n_lines: Column, has_text: Column) -> Column:
+    """What the chosen strategy did."""
+    text, mixed = doc_type == "text_based", doc_type == "mixed"
+    said = lambda head, n, tail="": F.concat(F.lit(head), n.cast("string"), F.lit(tail))
+    return (
+        F.when(doc_type == "scanned", SCANNED_NOTE)
+        .when(text & (n_combined > 0), said("Text-based PDF processed with ", n_combined, " financial fields"))
+        .when(text & has_text, said("Text-based PDF processed with smart extraction: ", n_lines, " fields"))
+        .when(text, NO_TEXT_NOTE)
+        .when(mixed & (n_combined > 0), said("Mixed PDF processed with PDF extractor: ", n_combined, " fields"))
+        .when(mixed & has_text, said("Mixed PDF processed with smart extraction: ", n_lines, " fields"))
+        .otherwise(NO_CONTENT_NOTE)
+    )
+
+
 def recognised_text(words: DataFrame, least: float = 0.4) -> DataFrame:
     """(doc_id, page_no, text) of recognised words (doc_id, page_no, position, word, confidence) that are sure enough."""
     kept = words.filter(F.col("confidence") >= least).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("position", "word"))).alias("w"))

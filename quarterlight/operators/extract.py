@@ -41,6 +41,10 @@ LABELS = {
 }
 
 
+#: More than any field has patterns.
+PATTERNS = 1 << 10
+
+
 @dataclass(frozen=True)
 class Catalog:
     """Ordered patterns by field; ``keywords`` are the cheap test of a line (empty: none)."""
@@ -80,8 +84,10 @@ def by_line(docs: DataFrame, catalog: Catalog, doc_id: str = "doc_id", text: str
     hits = lines.select("doc_id", "line_no", F.explode(F.filter(F.array(*tries), lambda t: t["hit"].isNotNull())).alias("t"))
     hits = hits.select("doc_id", "line_no", "t.field", "t.pattern_no", parse(F.col("t.hit")).alias("value"))
     good = hits.filter(F.col("value").isNotNull() & accept(F.col("value"), F.col("field")))
-    first = good.groupBy("doc_id", "field").agg(F.min(F.struct("line_no", "pattern_no", "value")).alias("first"))
-    return first.select("doc_id", "field", "first.value", "first.line_no", "first.pattern_no")
+    # The place as one number: buffers of fixed width are aggregated by hash, without sorts.
+    good = good.withColumn("place", F.col("line_no").cast("long") * PATTERNS + F.col("pattern_no"))
+    first = good.groupBy("doc_id", "field").agg(F.min_by("value", "place").alias("value"), F.min("place").alias("place"))
+    return first.select("doc_id", "field", "value", F.floor(F.col("place") / PATTERNS).cast("int").alias("line_no"), (F.col("place") % PATTERNS).cast("int").alias("pattern_no"))
 
 
 def with_source(found: DataFrame, confidence: float, source: str) -> DataFrame:
@@ -111,8 +117,9 @@ def by_document(docs: DataFrame, catalog: Catalog | None = None, doc_id: str = "
 
 
 def last_match(rows: DataFrame, order: list[str], value: str = "value") -> DataFrame:
-    """(doc_id, field, value): later rows win."""
-    return rows.groupBy("doc_id", "field").agg(F.max_by(value, F.struct(*order)).alias("value"))
+    """(doc_id, field, value): later rows win, by up to three whole numbers from 0 to 2^31."""
+    place = functools.reduce(lambda a, b: a * F.lit(10**10).cast("decimal(11,0)") + b, [F.col(c).cast("decimal(10,0)") for c in order]).cast("decimal(38,0)")
+    return rows.groupBy("doc_id", "field").agg(F.max_by(value, place).alias("value"))
 
 
 def by_table(tables: DataFrame, labels: dict[str, list[str]] = LABELS) -> DataFrame:
@@ -142,8 +149,27 @@ def field_summary(found: DataFrame, docs: DataFrame, fields: tuple[str, ...] = F
     return docs.select("doc_id").join(got, "doc_id", "left").select("doc_id", F.size(have).cast("long").alias("n_found"), F.array_except(every, have).alias("missing"))
 
 
+def extraction_summary(found: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One row for each document with values (doc_id, field, value, confidence, source):
+    fields_found, total_possible_fields, field_confidence, field_source (maps of all found fields, known or
+    not) and missing_fields."""
+    every = F.array(*map(F.lit, fields))
+    listed = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("source", F.lit("text")).alias("source")))).alias("f"))
+    return listed.select(
+        "doc_id", F.size(F.array_intersect(F.col("f.field"), every)).cast("long").alias("fields_found"), F.lit(len(fields)).cast("long").alias("total_possible_fields"),
+        F.map_from_arrays("f.field", "f.confidence").alias("field_confidence"), F.map_from_arrays("f.field", "f.source").alias("field_source"), F.array_except(every, F.col("f.field")).alias("missing_fields"),
+    )
+
+
 def document_links(pages: DataFrame, target: str, suffix: str = ".pdf") -> DataFrame:
-    """(page_id, position, url, text, size): links to ``target``, by address or by its stem in the text."""
-    stem = target.rsplit(".", 1)[0]
+    """(page_id, position, url, text, size, filename): links to ``target``, by address or by its stem
+    (the name without ``suffix``) in the text."""
+    stem = target.replace(suffix, "")
     rows = pages.select("page_id", F.posexplode(T.links(F.col("html"), suffix)).alias("position", "a")).select("page_id", "position", "a.*")
-    return rows.filter(F.contains("url", F.lit(target)) | F.contains("text", F.lit(stem)))
+    return rows.filter(F.contains("url", F.lit(target)) | F.contains("text", F.lit(stem))).withColumn("filename", F.lit(target))
+
+
+def first_links(links: DataFrame) -> DataFrame:
+    """Each page's first link, the one that is downloaded."""
+    first = links.groupBy("page_id").agg(F.min("position").alias("position"))
+    return links.join(first, ["page_id", "position"], "left_semi")

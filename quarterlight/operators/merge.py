@@ -12,6 +12,12 @@ from ..functions import text as T
 from ..schemas import CURRENCY, FIELDS, FINANCIALS, INCOME_STATEMENT, UNIT
 
 
+# The source stamp and the messages of a backfill.
+BACKFILL_SOURCE = "smart_processor_enhanced"
+BACKFILLED = "成功回填財務數據"
+NO_ORIGINAL = "找不到原始檔案: "
+
+
 def paired(documents: DataFrame, records: DataFrame, key: str = "stem") -> DataFrame:
     return documents.join(records, key, "inner")
 
@@ -58,9 +64,11 @@ def wide(found: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 def changes(before: DataFrame, after: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """(key, field, old, new) where the two differ or one has no value: a true before and after."""
-    old = before.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("old")) for f in fields])).alias("v")).select(key, "v.*")
-    new = after.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("new")) for f in fields])).alias("v")).select(key, "v.*")
-    return old.join(new, [key, "field"]).filter(~F.col("old").eqNullSafe(F.col("new")))
+    old = before.select(key, *[F.col(f).cast("double").alias(f"_old_{f}") for f in fields])
+    new = after.select(key, *[F.col(f).cast("double").alias(f"_new_{f}") for f in fields])
+    both = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_old_{f}").alias("old"), F.col(f"_new_{f}").alias("new")) for f in fields])
+    differ = F.filter(both, lambda v: ~v["old"].eqNullSafe(v["new"]))
+    return old.join(new, key).select(key, F.explode(differ).alias("v")).select(key, "v.*")
 
 
 def complete(records: DataFrame, name: str = "file_name") -> DataFrame:
@@ -87,6 +95,34 @@ def enhanced_metadata(metadata: Column, confidence: Column, as_of: str, version:
     return present_wins(metadata, F.create_map(F.lit("enhanced_at"), F.lit(as_of), F.lit("processor_version"), F.lit(version), F.lit("confidence"), confidence))
 
 
+def record_backfill(originals: DataFrame, enhanced: DataFrame, as_of: str, key: str = "stem") -> DataFrame:
+    """Originals (in map form) with the values of their enhanced records: financial_data, then income_statement,
+    then financials, then the maps of ``page_data``, a key that is present later winning even with a null; a null
+    keeps the old value.  Only the eleven fields are written; metadata gets last_backfill (``as_of``), its source
+    and the number of values.  ``before_financials`` and ``before_income_statement`` keep the old sections."""
+    merged = present_wins("financial_data", "income_statement", "financials", F.aggregate(F.coalesce("page_data", F.array().cast("array<map<string,string>>")), F.create_map().cast("map<string,string>"), lambda a, m: present_wins(a, m)))
+    new = enhanced.select(key, merged.alias("_new"))
+    rows = originals.join(new, key)
+
+    def section(name: str, fields: tuple[str, ...]) -> Column:
+        written = F.map_filter(F.transform_values("_new", lambda k, v: T.unwrap(v)), lambda k, v: v.isNotNull() & k.isin(*fields))
+        return present_wins(name, written)
+
+    stamps = F.create_map(F.lit("last_backfill"), F.lit(as_of), F.lit("backfill_source"), F.lit(BACKFILL_SOURCE), F.lit("enhanced_fields_count"), non_null_count(F.col("_new")).cast("string"))
+    return rows.withColumns({
+        "before_financials": F.col("financials"), "before_income_statement": F.col("income_statement"),
+        "financials": section("financials", FINANCIALS), "income_statement": section("income_statement", INCOME_STATEMENT), "metadata": present_wins("metadata", stamps),
+    }).drop("_new")
+
+
+def backfill_results(enhanced: DataFrame, originals: DataFrame, key: str = "stem") -> DataFrame:
+    """(enhanced_file, original_file, success, message), one row for each enhanced record."""
+    rows = pair_status(enhanced.select(key), originals, key)
+    ready, original = F.col("status") == "ready", F.concat(F.col(key), F.lit(".json"))
+    message = F.when(ready, F.lit(BACKFILLED)).otherwise(F.concat(F.lit(NO_ORIGINAL), original))
+    return rows.select(F.concat(F.col(key), F.lit("_enhanced.json")).alias("enhanced_file"), original.alias("original_file"), ready.alias("success"), message.alias("message"))
+
+
 def batch_result(rows: DataFrame, success: str = "success") -> DataFrame:
     """One row: total, succeeded, and whether any did."""
     return rows.agg(F.count("*").alias("total"), F.count_if(success).alias("succeeded"), F.coalesce(F.bool_or(success), F.lit(False)).alias("any_success"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import TASK_COLUMNS
+from ..schemas import STATUSES, TASK_COLUMNS
 
 PATHS = ("pdf_path", "json_path", "processed_path", "enhanced_path")
 RETRIES = 3
@@ -36,6 +36,11 @@ def folded(events: DataFrame, key: str = "id", seq: str = "seq", status: str = "
     return rows.groupBy(key).agg(*aggregates)
 
 
+def known_statuses(tasks: DataFrame, status: str = "status") -> DataFrame:
+    """``tasks``; a row with a status that is none of the eight stops the query."""
+    return tasks.withColumn(status, F.when(F.col(status).isin(*STATUSES), F.col(status)).otherwise(F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce(F.col(status), F.lit("null")))).cast("string")))
+
+
 def by_status(tasks: DataFrame, status: str, order: str = "created_at") -> DataFrame:
     return tasks.filter(F.col("status") == status).orderBy(order)
 

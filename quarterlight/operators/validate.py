@@ -1,5 +1,8 @@
 """The rule engine: rules compile to one pass of Column expressions.
 
+A column with companions _raw (its JSON text) and _type (its JSON type by its Python name) is
+judged by these, as ``readers.reports`` gives them for report_year.
+
 Records are judged in map form, for a key with a null differs from no key:
 stock_code, company_name, report_year, report_season, the four sections and metadata as maps."""
 
@@ -28,11 +31,11 @@ class Rule:
 # The rules and their messages, in order.
 RULES = (
     Rule("stock_code", "required", "股票代碼為必要欄位"),
-    Rule("stock_code", "format", "股票代碼應為4位數字", parameters={"pattern": r"^\d{4}$"}),
+    Rule("stock_code", "format", "股票代碼應為4位數字", parameters={"pattern": r"(?U)^\d{4}\n?\z"}),
     Rule("company_name", "required", "公司名稱為必要欄位"),
     Rule("report_year", "type", "報告年度應為整數", parameters={"type": "int"}),
     Rule("report_year", "range", "報告年度應在合理範圍內(2000-2030)", parameters={"min": 2000, "max": 2030}),
-    Rule("report_season", "format", "報告季度應為Q1-Q4格式", parameters={"pattern": r"^Q[1-4]$"}),
+    Rule("report_season", "format", "報告季度應為Q1-Q4格式", parameters={"pattern": r"^Q[1-4]\n?\z"}),
     Rule("financials", "required", "財務數據欄位為必要", "warning"),
     Rule("income_statement", "required", "損益表數據為必要", "warning"),
     Rule("balance_sheet", "required", "資產負債表數據為必要", "warning"),
@@ -49,6 +52,7 @@ SUGGEST_FIGURES = "建議重新處理PDF以提取更完整的財務數據"
 SUGGEST_EMPTY = "財務數據為空，建議：1) 檢查PDF是否為掃描版 2) 啟用OCR處理 3) 手動驗證數據提取"
 SUGGEST_LARGE = "PDF檔案較大，建議檢查是否包含不必要的圖片或內容"
 SUGGEST_SMALL = "PDF檔案較小，可能內容不完整"
+RULE_FAILED = "驗證規則執行錯誤"
 TOLERANCE = 0.01
 
 
@@ -69,12 +73,22 @@ def message_of(df: DataFrame, rule: Rule) -> Column:
     if rule.kind == "required":
         out = F.when(value.isNull(), text)
         return out.when(F.size(value) == 0, F.concat(text, F.lit(" (欄位為空)"))) if kind in ("map", "array") else out
+    typed = F.col(f"{rule.column}_type") if f"{rule.column}_type" in df.columns else None
+    if typed is not None and rule.kind in ("type", "range"):
+        value = F.col(f"{rule.column}_raw")
+    if rule.kind == "type" and typed is not None:
+        fits = {"int": ("int", "bool"), "str": ("str",), "float": ("float",)}[p["type"]]
+        return F.when(typed.isNotNull() & ~typed.isin(*fits), F.concat(text, F.lit(" (實際類型: "), typed, F.lit(")")))
     if rule.kind == "type":
         whole = {"int": ("integer", "long", "short", "byte"), "str": ("string",), "float": ("double", "float")}[p["type"]]
         return F.lit(None).cast("string") if kind in whole else F.when(value.isNotNull(), F.concat(text, F.lit(f" (實際類型: {kind})")))
     if rule.kind == "range":
         number = value.try_cast("double")
-        out = F.when(value.isNotNull() & number.isNull(), F.lit("驗證規則執行錯誤"))
+        out = F.when(value.isNotNull() & number.isNull(), F.lit(RULE_FAILED))
+        if typed is not None:
+            number = F.when(typed == "bool", (value == "true").cast("double")).otherwise(number)
+            value = F.when(typed == "bool", F.initcap(value)).otherwise(value)
+            out = F.when(typed.isin("str", "dict", "list"), F.concat(F.lit(f"{RULE_FAILED}: '<' not supported between instances of '"), typed, F.lit("' and 'int'")))
         if "min" in p:
             out = out.when(number < p["min"], said("值太小"))
         return out.when(number > p["max"], said("值太大")) if "max" in p else out

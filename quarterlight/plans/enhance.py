@@ -10,17 +10,23 @@ from ..schemas import FIELDS
 
 
 def extracted(pages: DataFrame, tables: DataFrame) -> DataFrame:
-    """(doc_id, doc_type, confidence, field, value): the label cascade and tables where they find
-    anything, else the line cascade; nothing for scanned documents.  All strategies share one scan."""
+    """(doc_id, doc_type, confidence, note, field, value): the label cascade and tables where they find
+    anything, else the line cascade.  A document without values, as a scanned one is, has one row
+    without a field.  All strategies share one scan."""
     types = classify.document_types(pages)
     text = classify.joined_text(pages)
     labelled = extract.combined(extract.by_document(text), extract.by_table(tables)).withColumn("way", F.lit(0))
     lines = extract.smart_fields(text).select("doc_id", "field", "value", F.lit(1).alias("way"))
     both = labelled.unionByName(lines)
-    best = both.groupBy("doc_id").agg(F.min("way").alias("way"), F.count_if(F.col("way") == 0).alias("n_combined"))
-    chosen = both.join(best, ["doc_id", "way"], "inner")
-    kinds = types.join(best.select("doc_id", "n_combined"), "doc_id", "left").withColumn("confidence", classify.strategy(F.col("doc_type"), F.coalesce("n_combined", F.lit(0)), F.col("meaningful_chars") > 0))
-    return kinds.filter("doc_type <> 'scanned'").join(chosen.drop("n_combined"), "doc_id", "left").select("doc_id", "doc_type", "confidence", "field", "value")
+    # A document has at most one value a field and way, so its list is short.
+    listed = both.groupBy("doc_id").agg(F.collect_list(F.struct("way", "field", "value")).alias("found"))
+    way = lambda k: F.filter("found", lambda v: v["way"] == k)
+    listed = listed.select("doc_id", F.size(way(0)).alias("n_combined"), F.size(way(1)).alias("n_lines"), F.when(F.size(way(0)) > 0, way(0)).otherwise(way(1)).alias("found"))
+    kinds = types.join(listed, "doc_id", "left").withColumns({"n_combined": F.coalesce("n_combined", F.lit(0)), "n_lines": F.coalesce("n_lines", F.lit(0))})
+    kinds = kinds.withColumn("confidence", classify.strategy(F.col("doc_type"), F.col("n_combined"), F.col("meaningful_chars") > 0))
+    kinds = kinds.withColumn("note", classify.note(F.col("doc_type"), F.col("n_combined"), F.col("n_lines"), F.col("meaningful_chars") > 0))
+    found = F.when(F.col("doc_type") != "scanned", F.col("found"))
+    return kinds.select("doc_id", "doc_type", "confidence", "note", F.explode_outer(found).alias("v")).select("doc_id", "doc_type", "confidence", "note", "v.field", "v.value")
 
 
 def backfill(records: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -29,7 +35,24 @@ def backfill(records: DataFrame, found: DataFrame, key: str = "doc_id") -> DataF
     return merge.backfilled(records, values, key)
 
 
+def batch_backfill(enhanced: DataFrame, originals: DataFrame, as_of: str, key: str = "stem") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(updated records, one result row for each enhanced record, one row of totals)."""
+    results = merge.backfill_results(enhanced, originals, key)
+    return merge.record_backfill(originals, enhanced, as_of, key), results, merge.batch_result(results)
+
+
 def quality_report(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(details, summary, issues) of records in map form."""
     details = validate.validated(records)
     return details, validate.quality_summary(details), validate.common_issues(details)
+
+
+def save_quality_report(records: DataFrame, folder: str, version: str) -> DataFrame:
+    """Writes the report as a new version below ``folder``: details first, and both summaries from
+    what was written, so the rules run once.  Returns the one-row summary."""
+    path = f"{folder.rstrip('/')}/version={version}"
+    validate.validated(records).write.parquet(f"{path}/details")
+    details = records.sparkSession.read.parquet(f"{path}/details")
+    validate.quality_summary(details).write.parquet(f"{path}/summary")
+    validate.common_issues(details).write.parquet(f"{path}/issues")
+    return records.sparkSession.read.parquet(f"{path}/summary")

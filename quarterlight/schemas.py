@@ -14,7 +14,13 @@ CURRENCY, UNIT = "TWD", "千元"
 # Task states.
 STATUSES = ("pending", "downloading", "downloaded", "processing", "processed", "enhanced", "failed", "skipped")
 
-# Error codes' families are open; these are the metadata keys that completeness counts.
+# Error codes.
+ERROR_CODES = (
+    "UNKNOWN_ERROR", "CONFIG_ERROR", "VALIDATION_ERROR", "FILE_NOT_FOUND", "FILE_READ_ERROR", "FILE_WRITE_ERROR", "PDF_PARSE_ERROR", "PDF_CORRUPTION", "PDF_PASSWORD_PROTECTED",
+    "OCR_ENGINE_ERROR", "OCR_RECOGNITION_FAILED", "DATA_EXTRACTION_ERROR", "DATA_VALIDATION_ERROR", "DATA_CONVERSION_ERROR", "NETWORK_ERROR", "CRAWLER_ERROR", "TIMEOUT_ERROR",
+)
+
+# The metadata keys that completeness counts.
 METADATA_KEYS = ("source", "file_name", "file_path", "file_size", "created_at")
 
 # Figures that completeness and the missing-figures warning look for.

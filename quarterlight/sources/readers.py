@@ -24,15 +24,19 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 def reports(spark: SparkSession, folder: str, pattern: str = REPORTS) -> DataFrame:
     """Records of both generations in map form: a key with a null differs from no key.
 
-    ``corrupt`` marks files that are not JSON objects; their fields are null."""
+    ``corrupt`` marks files that are not JSON objects; their fields are null.  report_year_raw and
+    report_year_type keep the year as it stands and its type, for the rules that judge them."""
     raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("json"))
     top = raw.withColumn("top", F.from_json("json", "map<string,string>"))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), "$.report_year", "variant"))
+    kind = F.regexp_extract(kind, "^[A-Z]+", 0)
+    python = F.when(kind == "BIGINT", "int").when(kind == "STRING", "str").when(kind == "BOOLEAN", "bool").when(kind.isin("DOUBLE", "DECIMAL", "FLOAT"), "float").when(kind == "OBJECT", "dict").when(kind == "ARRAY", "list")
     get = lambda k: F.try_element_at("top", F.lit(k))
     as_map = lambda c: F.from_json(c, "map<string,string>")
     return top.select(
         "name", "bytes", (F.col("top").isNull() | (F.size("top") == 0)).alias("corrupt"), get("stock_code").alias("stock_code"), get("company_name").alias("company_name"),
         get("report_year").try_cast("int").alias("report_year"), get("report_season").alias("report_season"),
-        *[as_map(get(s)).alias(s) for s in SECTIONS], F.coalesce(as_map(get("metadata")), F.create_map().cast("map<string,string>")).alias("metadata"),
+        get("report_year").alias("report_year_raw"), python.alias("report_year_type"), *[as_map(get(s)).alias(s) for s in SECTIONS], F.coalesce(as_map(get("metadata")), F.create_map().cast("map<string,string>")).alias("metadata"),
     )
 
 
@@ -58,24 +62,47 @@ def tasks(df: DataFrame) -> DataFrame:
     return df.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
 
 
+def error_of(e: Exception) -> str:
+    """CODE: message of a decoder's failure."""
+    named = {"FileNotFoundError": "FILE_NOT_FOUND", "PermissionError": "FILE_READ_ERROR", "TimeoutError": "TIMEOUT_ERROR", "PDFPasswordIncorrect": "PDF_PASSWORD_PROTECTED"}
+    return f"{named.get(type(e).__name__, 'PDF_PARSE_ERROR')}: {e}"
+
+
+def decoded_tables(binary: DataFrame, decoder: Callable[[bytes], Iterable[tuple[int, int, list]]]) -> DataFrame:
+    """(doc_id, page, table_index, raw_data, error) of binaryFile rows by a table decoder, which
+    gives (page, place on the page, rows of cells); ``kept_tables`` makes tables of them."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    out = [(path, page, k, [[None if c is None else str(c) for c in r] for r in rows], None) for page, k, rows in decoder(content)]
+                except Exception as e:  # noqa: BLE001  any decoder may fail in its own way
+                    out = [(path, None, None, None, error_of(e))]
+                yield pd.DataFrame(out, columns=["doc_id", "page", "table_index", "raw_data", "error"])
+
+    return binary.select("path", "content").mapInPandas(run, "doc_id string, page int, table_index int, raw_data array<array<string>>, error string")
+
+
 def decoded(binary: DataFrame, decoder: Callable[[bytes], Iterable[tuple[int, str]]], retries: int = 1) -> DataFrame:
     """(path, page_no, text, error) of binaryFile rows by a page decoder, (page number, text) for each page.
 
-    Blank pages go; a file that can't be decoded is one row with an error."""
+    Blank pages go.  A decoder may give an exception in place of a page's text: that page is a row with an
+    error, the others stay.  A file that can't be decoded is one row with an error, after ``retries`` tries.
+    Each file's pages go out by themselves, so a task holds one file's pages."""
     import pandas as pd
 
     def run(batches):
         for batch in batches:
-            out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 for attempt in range(retries):
                     try:
-                        out += [(path, n, t, None) for n, t in decoder(content) if t and t.strip()]
+                        out = [(path, n, None, error_of(t)) if isinstance(t, Exception) else (path, n, t, None) for n, t in decoder(content) if isinstance(t, Exception) or t and t.strip()]
                         break
                     except Exception as e:  # noqa: BLE001  any decoder may fail in its own way
-                        if attempt == retries - 1:
-                            out.append((path, None, None, f"PDF_PARSE_ERROR: {e}"))
-            yield pd.DataFrame(out, columns=["path", "page_no", "text", "error"])
+                        out = [(path, None, None, error_of(e))]
+                yield pd.DataFrame(out, columns=["path", "page_no", "text", "error"])
 
     return binary.select("path", "content").mapInPandas(run, "path string, page_no int, text string, error string")
 
@@ -92,7 +119,11 @@ def pdf_decoder() -> Callable[[bytes], Iterable[tuple[int, str]]]:
     def decode(content: bytes):
         with pdfplumber.open(io.BytesIO(content)) as pdf:
             for n, page in enumerate(pdf.pages, 1):
-                yield n, page.extract_text() or ""
+                try:
+                    text = page.extract_text() or ""
+                except Exception as e:  # noqa: BLE001  the other pages can still be read
+                    text = e
+                yield n, text
 
     return decode
 

@@ -9,7 +9,7 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def test_without_the_corpus_part(tmp_path):
-    for name in ("quarterlight", "__spark_entry__.py", "bench.py"):
+    for name in ("quarterlight", "__spark_entry__.py", "bench.py", "corpus_pipeline.py"):
         (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name)
     shutil.rmtree(tmp_path / "quarterlight" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert q and set(s) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"

@@ -8,14 +8,14 @@ def found(df):
     return {(r["doc_id"], r["field"]): r["value"] for r in df.collect()}
 
 
-LINES = "財務報表\n營業收入淨額：1,234,567\n營業毛利（損）：987,654\n營業利益：456,789\n本期淨利：234,567\n基本每股盈餘：12.34\n" + "　" * 80
+LINES = "財務報表\n營業收入淨額：8,410,220\n營業毛利（損）：3,119,008\n營業利益：1,702,455\n本期淨利：905,310\n基本每股盈餘：3.07\n" + "　" * 80
 
 
 def test_line_cascade(spark):
-    codes = "會計項目\n營業收入淨額 4000 營業收入 $5,678,901\n營業毛利（毛損） 5900 營業毛利 2,222,112\n" + "x" * 90
+    codes = "科目\n營業收入淨額 4000 營業收入 $7,310,045\n營業毛利（毛損） 5900 營業毛利 1,604,871\n" + "x" * 90
     docs = spark.createDataFrame([("a", LINES), ("b", codes), ("short", "營業收入 1,234"), ("null", None), ("comma", "營業收入，　, 千元" + "\n" * 100 + "x")], "doc_id string, text string")
     got = found(extract.smart_fields(docs))
-    assert {f: v for (d, f), v in got.items() if d == "a"} == {"net_revenue": 1234567, "gross_profit": 987654, "operating_income": 456789, "net_income": 234567, "eps": 12.34}
+    assert {f: v for (d, f), v in got.items() if d == "a"} == {"net_revenue": 8410220, "gross_profit": 3119008, "operating_income": 1702455, "net_income": 905310, "eps": 3.07}
     # An account code behind the label wins.
     assert {f: v for (d, f), v in got.items() if d == "b"} == {"net_revenue": 4000, "gross_profit": 5900}
     assert not [d for d, _ in got if d in ("short", "null", "comma")]
@@ -66,6 +66,11 @@ def test_links_and_labels(spark):
     pages = spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")
     got = [(r["position"], r["url"], r["size"]) for r in extract.document_links(pages, "202401_2330_AI1.pdf").collect()]
     assert got == [(0, "/download/202401_2330_AI1.pdf", 0), (1, "x.pdf", 1234)]
+    # Markup inside an anchor hides it; "byte" and "bytes" count, "BYTES" doesn't; any number of attributes may stand before.
+    page = '<a class="x"\nhref=\'a.PDF?q=1\'>t 1 byte</a><a href="t.pdf"><b>t</b></a><a href="t.pdf">7 BYTES, 1,2 bytes</a><a href="u.pdf"> no </a><ahref="t.pdf">t</a>'
+    got = extract.document_links(spark.createDataFrame([(1, page)], "page_id int, html string"), "t.pdf")
+    assert [(r["position"], r["url"], r["text"], r["size"], r["filename"]) for r in got.collect()] == [(0, "a.PDF?q=1", "t 1 byte", 1, "t.pdf"), (1, "t.pdf", "7 BYTES, 1,2 bytes", 12, "t.pdf")]
+    assert [r["position"] for r in extract.first_links(got).collect()] == [0]
     sizes = spark.createDataFrame([(0,), (512,), (1536,), (1048576,), (1 << 40,), (-1,)], "n long").select(T.size_label(F.col("n")).alias("s")).collect()
     assert [r["s"] for r in sizes] == ["0 B", "512.0 B", "1.5 KB", "1.0 MB", None, None]
     urls = spark.createDataFrame([("http://a/b",), ("/c",), ("d",)], "u string").select(T.absolute_url(F.col("u"), "https://h.example/x/y").alias("u")).collect()

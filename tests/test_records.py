@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarterlight import config, registry
+from quarterlight import config, registry, schemas
 from quarterlight.functions import periods as P
 from quarterlight.operators import catalog, classify, merge, tracking, validate
 from quarterlight.plans import enhance
@@ -148,6 +148,59 @@ def test_enhance_plan(spark):
     tables = spark.createDataFrame([("text", 1, 0, ["h"], [["Total Assets", "9,000"]])], "doc_id string, page int, table_index int, headers array<string>, rows array<array<string>>")
     out = enhance.extracted(spark.createDataFrame(pages, "doc_id string, page_no int, text string"), tables)
     got = {(r["doc_id"], r["field"]): (r["value"], r["confidence"]) for r in out.collect()}
-    assert got == {("text", "net_revenue"): (5000.0, "high"), ("text", "total_assets"): (9000.0, "high"), ("lines", "net_revenue"): (6000.0, "medium"), ("none", None): (None, "medium")}
+    assert got == {("text", "net_revenue"): (5000.0, "high"), ("text", "total_assets"): (9000.0, "high"), ("lines", "net_revenue"): (6000.0, "medium"), ("none", None): (None, "medium"), ("scan", None): (None, "low")}
+    assert {r["doc_id"]: r["note"] for r in out.collect()}["scan"] == classify.SCANNED_NOTE
     words = spark.createDataFrame([("d", 1, 2, "b", 0.9), ("d", 1, 1, "a", 0.5), ("d", 1, 3, "c", 0.1)], "doc_id string, page_no int, position int, word string, confidence double")
     assert classify.recognised_text(words).first()["text"] == "a b"
+
+
+@pytest.mark.parametrize(("year", "errors"), [
+    ("2024", []), ("null", []), ("1999", ["報告年度應在合理範圍內(2000-2030) (值太小: 1999)"]), ("true", ["報告年度應在合理範圍內(2000-2030) (值太小: True)"]),
+    ('"2024"', ["報告年度應為整數 (實際類型: str)", "驗證規則執行錯誤: '<' not supported between instances of 'str' and 'int'"]), ("2024.5", ["報告年度應為整數 (實際類型: float)"]),
+    ("2030.5", ["報告年度應為整數 (實際類型: float)", "報告年度應在合理範圍內(2000-2030) (值太大: 2030.5)"]), ("[1]", ["報告年度應為整數 (實際類型: list)", "驗證規則執行錯誤: '<' not supported between instances of 'list' and 'int'"]),
+])
+def test_year_is_judged_as_it_stands_in_json(spark, tmp_path, year, errors):
+    (tmp_path / "x_AI1.json").write_text('{"stock_code": "２３３０", "company_name": "x", "report_season": "Q1", "report_year": ' + year + "}")
+    got = validate.validated(readers.reports(spark, str(tmp_path))).first()
+    assert got["errors"] == errors and got["is_valid"] == (not errors)
+
+
+def test_pages_and_tables_of_broken_files(spark):
+    def pages(content):
+        yield 1, "one"
+        yield 2, ValueError("no page")
+        yield 3, "three"
+
+    def tables(content):
+        if content == b"bad":
+            raise TimeoutError("late")
+        yield 1, 0, [["h"], ["a", 5, None]]
+        yield 1, 1, [["only a header"]]
+
+    binary = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"bad"))], "path string, content binary")
+    got = {(r["page_no"], r["text"], r["error"]) for r in readers.decoded(binary, pages).collect()}
+    assert got == {(1, "one", None), (2, None, "PDF_PARSE_ERROR: no page"), (3, "three", None)}
+    decoded = readers.decoded_tables(binary, tables)
+    assert [r["error"] for r in decoded.filter("error is not null").collect()] == ["TIMEOUT_ERROR: late"]
+    assert [(r["doc_id"], r["headers"], r["rows"]) for r in readers.kept_tables(decoded).collect()] == [("a", ["h"], [["a", "5", None]])]
+    assert {e.split(":")[0] for e in ("PDF_PARSE_ERROR: x", "TIMEOUT_ERROR: y")} <= set(schemas.ERROR_CODES)
+
+
+def test_statuses_and_files(spark):
+    rows = spark.createDataFrame([("a", "failed"), ("b", "unheard")], "id string, status string")
+    assert tracking.known_statuses(rows.filter("id = 'a'")).first()["status"] == "failed"
+    with pytest.raises(Exception, match="unknown status: unheard"):
+        tracking.known_statuses(rows).collect()
+    files = spark.createDataFrame([("a.PDF", 1001), ("b.pdf", 1000), ("c.txt", 5000)], "name string, size long")
+    assert [r["name"] for r in readers.acceptable_pdf(files).collect()] == ["a.PDF"]
+    assert [r["p"] for r in spark.createDataFrame([("a\\b.pdf",)], "p string").transform(readers.normal_paths, "p").collect()] == ["a/b.pdf"]
+    tasks = spark.createDataFrame([("a", '{"k": 1}'), ("b", None)], "id string, metadata string")
+    assert [r["metadata"] for r in readers.tasks(tasks).orderBy("id").collect()] == [{"k": "1"}, None]
+
+
+def test_quality_report_is_saved(spark, tmp_path):
+    records = spark.createDataFrame([("2330", "x", 2024, "Q1", {"equity": "1"}, {"eps": "1"}, {"a": "1"}, {"file_size": "500000"})], MAPS)
+    summary = enhance.save_quality_report(records, str(tmp_path), "v1")
+    assert summary.first()["total"] == 1 and spark.read.parquet(f"{tmp_path}/version=v1/issues").count() >= 1
+    with pytest.raises(Exception):  # a version is never overwritten
+        enhance.save_quality_report(records, str(tmp_path), "v1")
