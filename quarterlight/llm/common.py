@@ -74,19 +74,20 @@ def removed(*frames: DataFrame) -> None:
         _delete(f.sparkSession.sparkContext, f.saved_at)
 
 
-def exclusive_offsets(totals: DataFrame, order: str, value: str, within: tuple[str, ...] = ()) -> DataFrame:
+def exclusive_offsets(totals: DataFrame, order: str, value: str, within: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``base``: the sum of ``value`` over the rows of ``within`` with a lower ``order``
-    (a non-negative whole number, one row each).  Blocks of BLOCK numbers are summed first,
-    so no task sees more than BLOCK rows, or one row for each block."""
+    (a non-negative whole number, one row each), and the like as v_base for each v of ``more``.  Blocks
+    of BLOCK numbers are summed first, so no task sees more than BLOCK rows, or one row for each block."""
+    values = (value, *more)
     keyed = totals.withColumn("_block", F.floor(F.col(order) / BLOCK))
-    blocks = keyed.groupBy(*within, "_block").agg(F.sum(value).alias("_sum"))
+    blocks = keyed.groupBy(*within, "_block").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
     before = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*within, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    blocks = blocks.select(*within, "_block", *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
     inside = Window.partitionBy(*within, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    keyed = keyed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    keyed = keyed.withColumns({f"_inside_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
     on = functools.reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*within, "_block")])
     joined = keyed.alias("a").join(blocks.alias("b"), on)
-    return joined.select(*[F.col(f"a.{c}") for c in totals.columns], (F.col("_before") + F.col("_inside")).alias("base"))
+    return joined.select(*[F.col(f"a.{c}") for c in totals.columns], *[(F.col(f"_before_{v}") + F.col(f"_inside_{v}")).alias("base" if v == value else f"{v}_base") for v in values])
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

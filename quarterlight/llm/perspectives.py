@@ -11,7 +11,8 @@ rendering is the concatenation of its segments in order of ``position``.
     <|user|>{name}\\n{text}<|end|>\\n
     <|assistant|>\\n{text}<|end|>\\n
 
-Places are running sums in two levels, over spans of SPAN turn numbers.
+Places are running sums in two levels, over spans of SPAN turn numbers (turns that are null, or
+share a number, share a span and meet in one task), then of SPAN positions.
 Marks inside texts and names are broken up ("<|" becomes "< |"), so that no
 text can pose as another speaker; line ends in names become spaces.  Null text
 is empty, a null speaker is "unknown", null turns come first; turns with equal
@@ -22,10 +23,12 @@ an empty table, gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import exclusive_offsets, table
+from .common import exclusive_offsets, saved, table
 
 SPAN = 256
 SYSTEM = "system"
@@ -36,36 +39,51 @@ def safe(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def running(rows: DataFrame, key: tuple[str, ...], order: list[str], values: tuple[str, ...]) -> DataFrame:
+    """Adds v_before for each v of ``values``: its sum over the rows of ``key`` before, in order of ``span`` and
+    then ``order``.  Two levels: inside the spans, and over the spans that occur, numbered inside each key."""
+    spans = rows.groupBy(*key, "span").agg(*[F.sum(v).alias(v) for v in values])
+    spans = spans.withColumn("number", F.row_number().over(Window.partitionBy(*key).orderBy("span")) - 1)
+    bases = exclusive_offsets(spans, "number", values[0], key, values[1:]).withColumnRenamed("base", f"{values[0]}_base").drop("number", *values)
+    inside = Window.partitionBy(*key, "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{v}_upto": F.sum(v).over(inside) - F.col(v) for v in values})
+    on = functools.reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "span")])
+    joined = rows.alias("r").join(bases.alias("b"), on)
+    return joined.select("r.*", *[(F.col(f"{v}_upto") + F.col(f"{v}_base")).alias(f"{v}_before") for v in values]).drop(*[f"{v}_upto" for v in values])
+
+
 def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, perspective, position, turn, role, name, segment, start, mask_start, mask_end)."""
+    """(conv_id, perspective, position, turn, role, name, segment, start, mask_start, mask_end).
+
+    Turns are placed once, as if no participant were the assistant.  In a participant's own rendering each of
+    their turns is shorter by the same number of characters, so a place there only needs the
+    number of own turns before it; those are counted on rows without texts, and each text is joined once."""
     rows = turns.select(
         F.col(conversation).alias("conv_id"), F.coalesce(F.col(turn).cast("long"), F.lit(-(1 << 62))).alias("at"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("speaker"), safe(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("body"),
     )
-    rows = rows.withColumn("span", F.floor(F.col("at") / SPAN))
-    people = rows.filter(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    views = rows.alias("r").join(people.alias("p"), F.col("r.conv_id").eqNullSafe(F.col("p.conv_id"))).select("r.*", "perspective")
-    own = F.col("speaker") == F.col("perspective")
-    name = F.translate(safe(F.col("speaker")), "\r\n", "  ")
-    role = F.when(F.col("speaker") == SYSTEM, "system").when(own, "assistant").otherwise("user")
-    views = views.withColumns({"role": role, "own": own, "name": F.when(role == "user", name).otherwise("")})
-    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>"), F.col("name"), F.lit("\n"))
-    views = views.withColumns({"head": F.length(head), "segment": F.concat(head, F.col("body"), F.lit(END))})
-    views = views.withColumns({"chars": F.length("segment").cast("long"), "one": F.lit(1).cast("long")})
-
-    # Spans that occur, numbered inside each rendering, give the bases of chars and positions.
-    key = ("conv_id", "perspective")
-    spans = views.groupBy(*key, "span").agg(F.sum("chars").alias("chars"), F.count("*").alias("rows"))
-    spans = spans.withColumn("number", F.row_number().over(Window.partitionBy(*key).orderBy("span")) - 1)
-    bases = exclusive_offsets(spans, "number", "chars", key).withColumnRenamed("base", "chars_before")
-    bases = exclusive_offsets(bases, "number", "rows", key).withColumnRenamed("base", "rows_before").drop("chars", "rows", "number")
-    inside = Window.partitionBy(*key, "span").orderBy("at", "speaker", "body").rowsBetween(Window.unboundedPreceding, 0)
-    views = views.withColumns({"upto": F.sum("chars").over(inside), "nth": F.sum("one").over(inside)})
-    placed = views.alias("v").join(bases.alias("b"), F.col("v.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("v.perspective") == F.col("b.perspective")) & (F.col("v.span") == F.col("b.span")))
-    start = F.col("chars_before") + F.col("upto") - F.col("chars")
-    return placed.select(
-        "v.conv_id", "v.perspective", (F.col("rows_before") + F.col("nth") - 1).alias("position"), "turn", "role", "name", "segment", start.alias("start"),
-        F.when(F.col("own"), start + F.col("head")).otherwise(start).alias("mask_start"), F.when(F.col("own"), start + F.col("chars")).otherwise(start).alias("mask_end"),
+    rows = rows.withColumns({"span": F.floor(F.col("at") / SPAN), "name": F.translate(safe(F.col("speaker")), "\r\n", "  ")})
+    head = lambda role, name: F.concat(F.lit("<|"), role, F.lit("|>"), name, F.lit("\n"))
+    system = F.col("speaker") == SYSTEM
+    plain = F.when(system, head(F.lit("system"), F.lit(""))).otherwise(head(F.lit("user"), F.col("name")))
+    own_head = len("<|assistant|>\n")
+    rows = rows.withColumns({"one": F.lit(1).cast("long"), "chars": (F.length(plain) + F.length("body") + len(END)).cast("long"), "less": (F.length(plain) - own_head).cast("long")})
+    placed = saved(running(rows, ("conv_id",), ["at", "speaker", "body"], ("chars", "one")).withColumnRenamed("one_before", "position").drop("at", "span", "one"))
+
+    # Own turns before each place, of every participant: narrow rows.
+    narrow = placed.select("conv_id", "position", "speaker", "less", F.floor(F.col("position") / SPAN).alias("span"))
+    people = narrow.filter(~system).groupBy("conv_id", F.col("speaker").alias("perspective")).agg(F.first("less").alias("less_each"))
+    views = narrow.alias("n").join(people.alias("p"), F.col("n.conv_id").eqNullSafe(F.col("p.conv_id"))).select("n.conv_id", "position", "span", "perspective", "less_each", (F.col("speaker") == F.col("perspective")).cast("long").alias("own"))
+    views = running(views, ("conv_id", "perspective"), ["position"], ("own",))
+    out = views.alias("v").join(placed.alias("t"), F.col("v.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("v.position") == F.col("t.position")))
+
+    own = F.col("own") == 1
+    role = F.when(system, "system").when(own, "assistant").otherwise("user")
+    name = F.when(~system & ~own, F.col("name")).otherwise("")
+    start = F.col("chars_before") - F.col("own_before") * F.col("less_each")
+    return out.select(
+        "v.conv_id", "perspective", "v.position", "turn", role.alias("role"), name.alias("name"), F.concat(head(role, name), F.col("body"), F.lit(END)).alias("segment"), start.alias("start"),
+        F.when(own, start + own_head).otherwise(start).alias("mask_start"), F.when(own, start + F.col("chars") - F.col("less_each")).otherwise(start).alias("mask_end"),
     )
 
 
