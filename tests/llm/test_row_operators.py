@@ -54,6 +54,23 @@ def test_forest_tells_junk(spark):
     assert quality.judged(docs.limit(0), forest).count() == 0
 
 
+def test_scores_are_path_lengths():
+    """Each tree walked by hand; what lies outside the grown rows ends after few splits."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 6))
+    x[-1] = 9
+    forest = quality.Forest.grow(x[:-1], quality.ranges(x), trees=30, rows=64)
+
+    def depth(at, row, steps=0):
+        if not forest.left[at]:
+            return forest.depth[at]
+        return depth(forest.left[at] + int(row[forest.feature[at]] >= forest.split[at]), row, steps + 1)
+
+    lengths = np.array([np.mean([depth(r, row) for r in forest.roots]) for row in x])
+    assert np.allclose(forest.score(x), 2.0 ** (-lengths / quality.path_length(64)))
+    assert lengths[-1] < lengths[:-1].min()
+
+
 # toxicity
 
 INSULTS = ["blockhead", "numskull", "dimwit", "nitwit"]
