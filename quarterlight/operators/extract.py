@@ -1,7 +1,7 @@
 """Field extraction by ordered pattern cascades, as native expressions.
 
-A catalog is data: fields with ordered patterns.  Lines are filtered by one cheap
-alternation of all keywords before the patterns run, and the first plausible match of
+A catalog is data: fields with ordered patterns.  Lines are filtered by the letters that
+the patterns need before any pattern runs, and the first plausible match of
 each (document, field) is an aggregate, not a sort."""
 
 from __future__ import annotations
@@ -47,17 +47,21 @@ PATTERNS = 1 << 10
 
 @dataclass(frozen=True)
 class Catalog:
-    """Ordered patterns by field; ``keywords`` are the cheap test of a line (empty: none)."""
+    """Ordered patterns by field; ``keywords`` are the cheap test of a line (empty: none), and
+    ``needs`` has, for a pattern, letters without which it cannot match: cheaper to look for than the pattern."""
 
     patterns: dict[str, list[str]]
     keywords: list[str] = field(default_factory=list)
+    needs: dict[str, str] = field(default_factory=dict)
 
 
 def line_catalog() -> Catalog:
     dollar = {"net_revenue", "net_income"}
     amount = lambda f: r"([0-9]+\.[0-9]{1,3})" if f == "eps" else r"([0-9,]+)"
-    patterns = {f: [T.unicode_pattern(k + r"[^\d]*" + (r"\$?\s*" if f in dollar else "") + amount(f)) for k in ks] for f, ks in LINE_KEYWORDS.items()}
-    return Catalog(patterns, [k for ks in LINE_KEYWORDS.values() for k in ks])
+    pattern = lambda f, k: T.unicode_pattern(k + r"[^\d]*" + (r"\$?\s*" if f in dollar else "") + amount(f))
+    keywords = [(f, k) for f, ks in LINE_KEYWORDS.items() for k in ks]
+    needs = {pattern(f, k): k.split(r"[^\d]*")[-1].split(r"\s*")[0] for f, k in keywords}
+    return Catalog({f: [pattern(f, k) for k in ks] for f, ks in LINE_KEYWORDS.items()}, sorted(set(needs.values())), needs)
 
 
 def label_catalog() -> Catalog:
@@ -79,8 +83,12 @@ def by_line(docs: DataFrame, catalog: Catalog, doc_id: str = "doc_id", text: str
     lines = docs.filter(F.length(text) >= at_least).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
     lines = lines.withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
     if catalog.keywords:
-        lines = lines.filter(F.col("line").rlike(T.unicode_pattern("|".join(catalog.keywords))))
-    tries = [F.struct(F.lit(f).alias("field"), F.lit(i).alias("pattern_no"), T.found(F.col("line"), p).alias("hit")) for f, ps in catalog.patterns.items() for i, p in enumerate(ps)]
+        lines = lines.filter(functools.reduce(Column.__or__, [F.contains("line", F.lit(k)) for k in catalog.keywords]))
+
+    def hit(p: str) -> Column:
+        return F.when(F.contains("line", F.lit(catalog.needs[p])), T.found(F.col("line"), p)) if p in catalog.needs else T.found(F.col("line"), p)
+
+    tries = [F.struct(F.lit(f).alias("field"), F.lit(i).alias("pattern_no"), hit(p).alias("hit")) for f, ps in catalog.patterns.items() for i, p in enumerate(ps)]
     hits = lines.select("doc_id", "line_no", F.explode(F.filter(F.array(*tries), lambda t: t["hit"].isNotNull())).alias("t"))
     hits = hits.select("doc_id", "line_no", "t.field", "t.pattern_no", parse(F.col("t.hit")).alias("value"))
     good = hits.filter(F.col("value").isNotNull() & accept(F.col("value"), F.col("field")))
