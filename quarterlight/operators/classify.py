@@ -21,11 +21,14 @@ def document_type(chars: Column, ratio: Column) -> Column:
 
 def document_types(pages: DataFrame, doc_id: str = "doc_id", page_no: str = "page_no", text: str = "text", first: int = SAMPLED_PAGES, dropped: str = T.MEANINGLESS) -> DataFrame:
     """(doc_id, total_pages, meaningful_chars, text_ratio, doc_type).  Characters are counted
-    where the pages are read; only the counts are ranked and summed, no text is shuffled."""
-    counted = pages.select(doc_id, page_no, T.meaningful_chars(F.col(text), dropped).alias("_chars"))
-    ranked = counted.withColumn("_rank", F.row_number().over(Window.partitionBy(doc_id).orderBy(page_no)))
-    chars = F.when(F.col("_rank") <= first, F.col("_chars"))
-    out = ranked.groupBy(doc_id).agg(F.coalesce(F.sum(chars), F.lit(0)).alias("meaningful_chars"), F.count("*").alias("total_pages"))
+    where the pages are read and no text is shuffled.  Each task passes on at most ``first`` pages of a
+    document, and one count of its pages, so a document of very many pages is no hot key."""
+    chars = T.meaningful_chars(F.col(text), dropped).cast("long").alias("_chars")
+    order = Window.partitionBy(doc_id).orderBy(page_no, "_chars")
+    sampled = pages.select(doc_id, page_no, chars).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= first)
+    none = F.lit(0).cast("long")
+    counts = sampled.select(doc_id, "_chars", none.alias("_pages")).unionAll(pages.select(doc_id, none.alias("_chars"), F.lit(1).cast("long").alias("_pages")))
+    out = counts.groupBy(doc_id).agg(F.coalesce(F.sum("_chars"), F.lit(0)).alias("meaningful_chars"), F.sum("_pages").alias("total_pages"))
     out = out.withColumn("text_ratio", T.text_ratio(F.col("meaningful_chars"), F.least("total_pages", F.lit(first))))
     return out.select(F.col(doc_id).alias("doc_id"), "total_pages", "meaningful_chars", "text_ratio", document_type(F.col("meaningful_chars"), F.col("text_ratio")).alias("doc_type"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..schemas import STATUSES, TASK_COLUMNS
 
 PATHS = ("pdf_path", "json_path", "processed_path", "enhanced_path")
 RETRIES = 3
+#: Places that one task's failures are dealt to where they must be counted one by one.
+SALTS = 16
 # Recommendations.
 MANY_FAILURES = "失敗率較高，建議檢查PDF品質和OCR設定"
 SLOW = "處理時間較長，建議啟用並行處理或GPU加速"
@@ -22,18 +26,31 @@ def folded(events: DataFrame, key: str = "id", seq: str = "seq", status: str = "
     Only what follows the last create counts; tasks never created are ignored.  The last
     status holds; a message stays until a filled one follows; a failure with a message is a
     retry; a time of 0 or null is no time; each path is the last one given."""
-    created = events.filter(F.col(kind) == "create").groupBy(key).agg(F.max(seq).alias("_created"))
-    rows = events.join(created, key).filter(F.col(seq) >= F.col("_created"))
     said = F.coalesce(F.col(message), F.lit("")) != ""
-    last = lambda c, test: F.max_by(c, F.when(test, F.col(seq)))
-    aggregates = [
-        F.coalesce(last(status, F.col(kind) == "status"), F.lit("pending")).alias("status"),
-        last(message, said).alias("error_message"),
-        F.count_if((F.col(status) == "failed") & said & (F.col(kind) == "status")).alias("retry_count"),
-        last(seconds, F.coalesce(F.col(seconds), F.lit(0.0)) != 0).alias("processing_time"),
-        *[last(c, F.col(c).isNotNull()).alias(c) for c in PATHS if c in events.columns],
-    ]
-    return rows.groupBy(key).agg(*aggregates)
+    failure = (F.col(status) == "failed") & said & (F.col(kind) == "status") & F.col(seq).isNotNull()
+    created = F.max(F.when(F.col(kind) == "create", F.col(seq))).alias("_created")
+    first = F.min(F.when(failure, F.col(seq))).alias("_first")
+    events = events.filter(F.col(key).isNotNull())
+
+    # One pass, aggregated before the shuffle: each last value with its place, which must not be before the last create.
+    wanted = {
+        "status": (status, F.col(kind) == "status"), "error_message": (message, said), "processing_time": (seconds, F.coalesce(F.col(seconds), F.lit(0.0)) != 0),
+        **{c: (c, F.col(c).isNotNull()) for c in PATHS if c in events.columns},
+    }
+    lasts = [f(F.when(test, F.col(seq))).alias(f"_{name}{end}") for name, (c, test) in wanted.items() for f, end in ((functools.partial(F.max_by, c), ""), (F.max, "_at"))]
+    tasks = events.groupBy(key).agg(created, first, F.count_if(failure).alias("_failures"), *lasts).filter(F.col("_created").isNotNull())
+
+    # Failures are counted one by one only for tasks that were created again after one.
+    again = events.groupBy(key).agg(created, first).filter(F.col("_first") < F.col("_created")).select(key, "_created")
+    again = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    failures = events.filter(failure).select(key, F.col(seq).alias("_seq"), F.pmod(F.xxhash64(seq), F.lit(SALTS)).cast("int").alias("_salt"))
+    late = failures.join(again, [key, "_salt"]).filter(F.col("_seq") >= F.col("_created")).groupBy(key).agg(F.count("*").alias("_late"))
+
+    retries = F.when(F.col("_first") < F.col("_created"), F.coalesce("_late", F.lit(0))).otherwise(F.col("_failures")).alias("retry_count")
+    holds = {name: F.when(F.col(f"_{name}_at") >= F.col("_created"), F.col(f"_{name}")).alias(name) for name in wanted}
+    holds["status"] = F.coalesce(holds["status"], F.lit("pending")).alias("status")
+    paths = [holds[c] for c in PATHS if c in holds]
+    return tasks.join(late, key, "left").select(key, holds["status"], holds["error_message"], retries, holds["processing_time"], *paths)
 
 
 def known_statuses(tasks: DataFrame, status: str = "status") -> DataFrame:

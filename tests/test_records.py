@@ -73,9 +73,11 @@ def test_fold(spark):
         ("a", 1, "create", None, None, None, None), ("a", 2, "status", "failed", "boom", 0.0, None), ("a", 3, "status", "failed", "", 5.0, None), ("a", 4, "status", "processing", None, 0.0, None), ("a", 5, "paths", None, None, None, "p1"),
         ("b", 1, "create", None, None, None, None), ("b", 2, "status", "failed", "x", 1.0, None), ("b", 3, "create", None, None, None, None),
         ("ghost", 1, "status", "failed", "x", 1.0, None),
+        ("c", 1, "create", None, None, None, "old"), ("c", 2, "status", "failed", "x", 1.0, None), ("c", 3, "create", None, None, None, None), ("c", 4, "status", "failed", "y", 0.0, None), ("c", 5, "status", "failed", "z", 2.0, None),
+        ("d", 4, "create", None, None, None, None), (None, 1, "create", None, None, None, None), ("d", None, "status", "failed", "x", 1.0, None),
     ]
     got = {r["id"]: tuple(r)[1:] for r in tracking.folded(spark.createDataFrame(rows, EVENTS)).collect()}
-    assert got == {"a": ("processing", "boom", 1, 5.0, "p1"), "b": ("pending", None, 0, None, None)}
+    assert got == {"a": ("processing", "boom", 1, 5.0, "p1"), "b": ("pending", None, 0, None, None), "c": ("failed", "z", 2, 2.0, None), "d": ("pending", None, 0, None, None)}
 
 
 def test_reports_on_no_tasks(spark):
