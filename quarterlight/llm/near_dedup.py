@@ -435,6 +435,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     links = saved(compared(first_cells(member), vector, idf, similarity))
     labels = components(links)
+    removed(links)
     links = saved(compared(later_cells(member, labels), vector, idf, similarity))
     roots = components(links)
     roots = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
