@@ -4,7 +4,9 @@ Every source's documents are shuffled (by the MD5 of their doc_id and a seed)
 and queue up one after another, as often as the source may be repeated.  A copy
 finishes at virtual time (source words up to and with it) / (source target).
 All copies, in order of virtual time, are taken up to the total budget, so that
-all sources reach their targets at about the same virtual time, 1.
+all sources reach their targets at about the same virtual time, 1.  Only where a source
+waits for a document longer than its target do the others run on, and then no further than
+virtual time LATEST, twice their targets; the budget may stay unspent there.
 
 Targets: sources in code-point order, null last, take the weights in turn and
 share the budget by weight; a target stops at ``repeats`` times its source's
@@ -32,7 +34,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Rows of a bucket in the running sums.
 ROWS = 4096
-#: Copies later than this virtual time cannot be reached by the budget.
+#: Copies that finish later than this virtual time are not taken, even within the budget.
 LATEST = 2.0
 
 

@@ -380,7 +380,8 @@ def fold(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Machine:
     """Learns, in one task, from at most ``sample`` labelled rows that are not held out (those
-    whose doc_id hashes lowest, so the same rows each time), and no more than ``most_bytes`` of text."""
+    whose doc_id hashes lowest, so the same rows each time), and no more than ``most_bytes`` of text; a text
+    that no longer fits is left out, shorter ones after it are not."""
     chosen = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic in (0, 1) and doc_id is not null").filter(fold(F.col("doc_id")) != 1)
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample)
     got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
@@ -389,9 +390,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: in
         texts, toxic, size = [], [], 0
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                size += len((text or "").encode())
-                if size <= most_bytes:
-                    texts.append(text or "")
+                text = text or ""
+                n = len(text.encode())
+                if size + n <= most_bytes:
+                    size += n
+                    texts.append(text)
                     toxic.append(y == 1)
         learned = pickle.dumps(train(texts, np.array(toxic, bool)))
         give_back()

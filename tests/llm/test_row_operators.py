@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarterlight.llm import mixing, near_dedup, perspectives, quality, toxicity, wrappers
 
@@ -105,6 +106,18 @@ def test_toxicity_edges(spark):
     assert toxicity.scored(docs, machine).count() == 3 and toxicity.accepted(docs, machine).count() == 3 and toxicity.scored(docs.limit(0), machine).count() == 0
 
 
+def test_toxicity_sample_bytes(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join([prose(rng, 20), INSULTS[i // 4 % 4] if i % 4 == 0 else ""])) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    # The row that comes first is longer than all others may be together: it is left out, the others still teach.
+    first = labels.filter(toxicity.fold(F.col("doc_id")) != 1).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    docs = spark.createDataFrame([(i, "long " * 40000 if i == first else t) for i, t in rows], "doc_id long, text string")
+    machine = toxicity.fit(docs, labels, most_bytes=100_000)
+    score = machine.score(pa.array(["what a " + w for w in INSULTS] + [prose(rng, 20)]))
+    assert (score[:4] >= 0.7).all() and score[4] < 0.7
+
+
 def test_kernel_by_definition():
     def features(w):
         out = defaultdict(float)
@@ -160,6 +173,17 @@ def test_mix(spark):
     assert mixing.decisions(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_stops_at_latest(spark):
+    # "b" queues one document of far more words than its target; "a" runs on, but only to LATEST, though the budget would allow 100.
+    rows = [(i, "a", "w") for i in range(100)] + [(100 + i, "c", "w " * 5) for i in range(100)] + [(1000, "b", "w " * 1000)]
+    got = mixing.decisions(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=(1, 5, 1000)).collect()
+    goal, taken = {r["source"]: r["target"] for r in got}, Counter()
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert goal["c"] == 1500 and abs(goal["a"] - 100 / 6) < 1e-6 and abs(goal["b"] - 500 / 6) < 1e-6
+    assert taken == {"a": int(mixing.LATEST * goal["a"]), "b": 0, "c": 1500}
+
+
 # near-duplicates
 
 def test_near_duplicates(spark):
