@@ -14,7 +14,7 @@ a sorted list of the distinct hashes that it has there, and is answered with the
 are repeated; hashes, never places or texts, meet in a task.  So a passage that is found in a
 third of all documents puts one entry for each slice into its range, like any other, and no pair
 of documents is ever made.  A slice's text waits in the shared folder, compressed, and moves
-to its answers twice.
+to its answers twice; what is asked goes straight into the shuffle.
 
 Words are runs of characters other than the six ASCII white-space ones, compared as they
 stand.  Null and empty texts have no words; texts of less than WINDOW words lose none.  Repeated rows
@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, saved, table
+from .common import saved, table
 from .near_dedup import M1, mixed
 from .texts import give_back, sliced, split_words
 
 WINDOW = 35
 #: Bytes of text in a slice; bytes of text whose hashes meet in one range.
-SLICE_BYTES = 6 << 20
-RANGE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
 #: Bits of the hashes that are probed; the flags beside them.
 PROBED = 48
 TWICE, ANCHOR = 2, 1
@@ -193,17 +193,29 @@ def thawed(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_next_batch()
 
 
-def probed(rows: DataFrame, ranges: int, window: int) -> DataFrame:
-    """Slices, each as a row of its text (range -1) and rows of what it asks about its blocks and runs."""
+def slices(rows: DataFrame) -> DataFrame:
+    """(slice, blob): some texts each, compressed, under a number of their own."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         for batch in sliced(batches, most=SLICE_BYTES):
-            asked = Slice(batch.column("text"), window).probes()
-            yield request([(number, -1, 0, frozen(batch), None), *[(number, r, b - a, packed(asked[a:b], 7), None) for r, a, b in cuts(asked >> np.uint64(2 + PROBED - 32), ranges)]])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([frozen(batch)], pa.binary())], names=["slice", "blob"])
             number += 1
 
-    return rows.mapInArrow(run, ASKED)
+    return rows.mapInArrow(run, "slice long, blob binary")
+
+
+def probed(texts: DataFrame, ranges: int, window: int) -> DataFrame:
+    """What each slice asks about its blocks and runs."""
+
+    def run(batches):
+        for batch in batches:
+            for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob"), strict=True):
+                asked = Slice(thawed(blob.as_py()).column("text"), window).probes()
+                yield request([(number, r, b - a, packed(asked[a:b], 7), None) for r, a, b in cuts(asked >> np.uint64(2 + PROBED - 32), ranges)])
+                give_back()
+
+    return texts.mapInArrow(run, ASKED)
 
 
 def anchors_of(asked: pa.Table) -> pa.Table:
@@ -232,25 +244,24 @@ def asked_windows(mine: Slice, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return top[order][first], rest[order][first], last > first, which
 
 
-def extended(text: DataFrame, anchors: DataFrame, ranges: int, window: int) -> DataFrame:
-    """Slices, each as a row of its text, a row of its windows that hold an anchor (range -2), and
-    rows of what it asks about them."""
+def told_anchors(told: pa.Table) -> np.ndarray:
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpacked(b, 6) for b in told.column("blob").to_pylist()]]))
+
+
+def extended(texts: DataFrame, anchors: DataFrame, ranges: int, window: int) -> DataFrame:
+    """What each slice asks about its windows that hold an anchor."""
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        blob = own.column("blob")[0].as_py()
-        number = own.column("slice")[0].as_py()
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpacked(b, 6) for b in told.column("blob").to_pylist()]]))
-        mine = Slice(thawed(blob).column("text"), window) if len(known) else None
-        start = mine.held(known) if mine else np.zeros(0, np.int64)
-        rows = [(number, -1, 0, blob, None), (number, -2, len(start), packed(start, 5), None)]
-        if len(start):
-            top, rest, twice, _ = asked_windows(mine, start)
-            rest = rest << np.uint64(1) | twice.astype(np.uint64)
-            rows += [(number, r, b - a, packed(top[a:b], 8), packed(rest[a:b], 5)) for r, a, b in cuts(top >> np.uint64(32), ranges)]
+        rows = []
+        if len(own) and len(told):
+            mine = Slice(thawed(own.column("blob")[0].as_py()).column("text"), window)
+            top, rest, twice, _ = asked_windows(mine, mine.held(told_anchors(told)))
+            rest, number = rest << np.uint64(1) | twice.astype(np.uint64), own.column("slice")[0].as_py()
+            rows = [(number, r, b - a, packed(top[a:b], 8), packed(rest[a:b], 5)) for r, a, b in cuts(top >> np.uint64(32), ranges)]
         give_back()
         return pa.Table.from_batches([request(rows)])
 
-    return text.groupBy("slice").cogroup(anchors.groupBy("slice")).applyInArrow(run, ASKED)
+    return texts.groupBy("slice").cogroup(anchors.groupBy("slice")).applyInArrow(run, ASKED)
 
 
 def repeated(asked: pa.Table) -> pa.Table:
@@ -263,23 +274,26 @@ def repeated(asked: pa.Table) -> pa.Table:
     often = np.empty(len(top), bool)
     often[order] = np.repeat((last > first) | np.logical_or.reduceat(twice[order], first), last - first + 1)
     at = np.r_[0, np.cumsum(sizes)].tolist()
-    return pa.Table.from_batches([request([(s, r, n, np.packbits(often[a : a + n]).tobytes(), None) for s, r, n, a in zip(slices, ranges, sizes, at, strict=False)])])
+    return pa.Table.from_batches([request([(s, r, n, None, np.packbits(often[a : a + n]).tobytes()) for s, r, n, a in zip(slices, ranges, sizes, at, strict=False)])])
+
 
+def finished(texts: DataFrame, told: DataFrame, window: int) -> DataFrame:
+    """``told``: the anchors, and behind them the windows, with ``rest`` null or not."""
 
-def finished(kept: DataFrame, told: DataFrame, window: int) -> DataFrame:
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        rows = dict(zip(own.column("range").to_pylist(), own.column("blob").to_pylist(), strict=True))
-        batch = thawed(rows[-1])
-        mine, start = Slice(batch.column("text"), window), unpacked(rows[-2], 5).astype(np.int64)
-        if len(start):
-            parts = sorted(zip(told.column("range").to_pylist(), told.column("n").to_pylist(), told.column("blob").to_pylist(), strict=True))
-            often = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, n, b in parts]) > 0
+        batch = thawed(own.column("blob")[0].as_py())
+        mine, start = Slice(batch.column("text"), window), np.zeros(0, np.int64)
+        about_windows = pc.is_valid(told.column("rest"))
+        if pc.any(about_windows).as_py():
+            start = mine.held(told_anchors(told.filter(pc.invert(about_windows))))
+            bits = told.filter(about_windows).sort_by("range")
+            often = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for n, b in zip(bits.column("n").to_pylist(), bits.column("rest").to_pylist(), strict=True)]) > 0
             start = start[often[asked_windows(mine, start)[3]]]
         out = mine.result(batch.column("doc_id"), start)
         give_back()
         return pa.Table.from_batches([out])
 
-    return kept.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, FOUND)
+    return texts.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, FOUND)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -287,14 +301,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     word numbers from ``start`` up to ``stop``) and text, the other words joined by one space."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranges = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES
-    first = saved(probed(rows, ranges, window))
-    anchors = first.filter("range >= 0").groupBy("range").applyInArrow(anchors_of, ASKED)
-    second = saved(extended(first.filter("range = -1"), anchors, ranges, window))
-    removed(first)
-    told = second.filter("range >= 0").groupBy("range").applyInArrow(repeated, ASKED)
-    out = saved(finished(second.filter("range < 0"), told, window))
-    removed(second)
-    return out
+    texts = saved(slices(rows))
+    anchors = saved(probed(texts, ranges, window).groupBy("range").applyInArrow(anchors_of, ASKED))
+    windows = extended(texts, anchors, ranges, window).groupBy("range").applyInArrow(repeated, ASKED)
+    return finished(texts, anchors.unionAll(windows), window)
 
 
 def op13_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
