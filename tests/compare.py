@@ -2,17 +2,14 @@
 
 
 def plain(x):
-    if x is None or x != x:
-        return None
-    return x.item() if hasattr(x, "item") else x
+    return None if x != x else x
 
 
-def rows(frame) -> list[str]:
-    frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(repr([plain(x) for x in r]) for r in frame.itertuples(index=False))
+def rows(columns: list[str], found) -> list[str]:
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(repr([plain(r[i]) for i in order]) for r in found)
 
 
 def same(spark_frame, duck_relation) -> None:
-    mine, theirs = spark_frame.toPandas(), duck_relation.df()
-    assert sorted(mine.columns) == sorted(theirs.columns)
-    assert rows(mine) == rows(theirs)
+    assert sorted(spark_frame.columns) == sorted(duck_relation.columns)
+    assert rows(spark_frame.columns, spark_frame.collect()) == rows(duck_relation.columns, duck_relation.fetchall())
