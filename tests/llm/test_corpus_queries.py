@@ -33,8 +33,8 @@ def rows(spark, sf_dir, name):
     return QUERIES[name](spark, sf_dir).collect()
 
 
-def test_ten_operators():
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 11)} and len(QUERIES) == 10 and set(ORACLE_SQL) <= set(QUERIES)
+def test_thirteen_operators():
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 14)} and len(QUERIES) == 13 and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_op1(spark, sf_dir, documents):

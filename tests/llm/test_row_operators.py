@@ -442,7 +442,7 @@ def test_perspectives(spark):
     assert perspectives.rotate(turns.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op5_weighted_fair_queueing", "op10_perspective_rotation"])
+@pytest.mark.parametrize("name", ["op5_weighted_fair_queueing", "op10_perspective_rotation", "op11_importance_resampling", "op12_radix_negatives"])
 def test_matches_sql(spark, duck, sf_dir, name):
     from compare import same
 
