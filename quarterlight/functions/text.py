@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDE_DIGITS = "０１２３４５６７８９"
+#: Characters of Unicode's property White_Space.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Punctuation that counts as meaningful beside letters and digits.
 PUNCTUATION = '，。、；：！？"（）【】'
 MEANINGLESS = rf"[^\p{{L}}\p{{N}}{PUNCTUATION}]"
@@ -17,7 +19,7 @@ def unicode_pattern(pattern: str) -> str:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def number(text: Column) -> Column:
@@ -30,11 +32,6 @@ def unbracketed(text: Column) -> Column:
     return F.translate(text, ",()", "")
 
 
-def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """The first match's group, null if there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
 def meaningful_chars(text: Column, dropped: str = MEANINGLESS) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), dropped, "")).cast("long")
 
@@ -86,6 +83,7 @@ def unwrap(value: Column) -> Column:
 def links(html: Column, suffix: str) -> Column:
     """Array of struct(url, text, size) of the anchors without markup inside whose href, in any
     case of letters, holds ``suffix``; the size is the N of "N byte" or "N bytes" in the text, else 0."""
+    # Fixed value: the pattern of a link.
     quoted = suffix.replace(".", r"\.")
     pattern = rf"""(?i)<a[^>]+href=["']([^"']*{quoted}[^"']*)["'][^>]*>([^<]*)</a>"""
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("url"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("text"))

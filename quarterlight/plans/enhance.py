@@ -12,11 +12,11 @@ from ..schemas import FIELDS
 def extracted(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """(doc_id, doc_type, confidence, note, field, value): the label cascade and tables where they find
     anything, else the line cascade.  A document without values, as a scanned one is, has one row
-    without a field.  All strategies share one scan."""
+    without a field.  Both cascades work page by page: texts stay where they are read, hits and one narrow
+    row for each page move."""
     types = classify.document_types(pages)
-    text = classify.joined_text(pages)
-    labelled = extract.combined(extract.by_document(text), extract.by_table(tables)).withColumn("way", F.lit(0))
-    lines = extract.smart_fields(text).select("doc_id", "field", "value", F.lit(1).alias("way"))
+    labelled = extract.combined(extract.by_labelled_page(pages), extract.by_table(tables)).withColumn("way", F.lit(0))
+    lines = extract.by_page(pages, extract.line_keywords()).select("doc_id", "field", "value", F.lit(1).alias("way"))
     both = labelled.unionByName(lines)
     # A document has at most one value a field and way, so its list is short.
     listed = both.groupBy("doc_id").agg(F.collect_list(F.struct("way", "field", "value")).alias("found"))
@@ -29,6 +29,12 @@ def extracted(pages: DataFrame, tables: DataFrame) -> DataFrame:
     return kinds.select("doc_id", "doc_type", "confidence", "note", F.explode_outer(found).alias("v")).select("doc_id", "doc_type", "confidence", "note", "v.field", "v.value")
 
 
+def stamped(records: DataFrame, found: DataFrame, as_of: str, key: str = "doc_id") -> DataFrame:
+    """Records (in map form) of documents that were looked at, with time, version and confidence in their metadata."""
+    confidence = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("confidence").alias("_confidence"))
+    return records.join(confidence, key).withColumn("metadata", merge.enhanced_metadata(F.col("metadata"), F.col("_confidence"), as_of)).drop("_confidence")
+
+
 def backfill(records: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Flat records (one column a field) with the values found for them."""
     values = merge.wide(found.filter(F.col("field").isin(*FIELDS))).withColumnRenamed("doc_id", key)

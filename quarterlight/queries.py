@@ -87,6 +87,20 @@ def extract_last_match(spark, d):
     return extract.last_match(rows.filter("value is not null"), ["line_no"])
 
 
+PAGE_LINES_SQL = LINES_SQL.replace("FROM documents WHERE length(text) >= 100)),", "FROM joined WHERE length(text) >= 100)),", 1).replace("'([0-9]+)\\.[0-9]+\\.[0-9]+', 1)]) AS hit FROM lines)", "'([0-9]+)\\.[0-9]+\\.[0-9]+', 1)]) AS hit FROM lines WHERE NOT starts_with(line, '=== 第'))")
+
+
+@query(f"""
+WITH joined AS (SELECT doc_id // 4 AS doc_id, string_agg('=== 第' || doc_id % 4 || '頁 ===' || chr(10) || text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1),
+{PAGE_LINES_SQL} SELECT doc_id, field, value, line_no FROM firsts
+""")
+def page_first_line(spark, d):
+    """The first match over all pages; four documents are the pages of one."""
+    pages = read(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") % 4).alias("page_no"), "text")
+    found = extract.by_page(pages, LINE, accept=lambda v, f: v > 0)
+    return found.select("doc_id", "field", "value", F.col("line_no").cast("long").alias("line_no"))
+
+
 @query(f"""
 WITH {LINES_SQL}, got AS (SELECT doc_id, list(field) AS fields FROM firsts GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(fields), 0) AS BIGINT) AS n_found,
@@ -193,21 +207,39 @@ def latest_per_key(spark, d):
     return catalog.latest(read(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@query("""
+FOLD_SQL = """
 WITH log AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'create' ELSE 'status' END AS kind, CASE WHEN event_type = 'error' THEN 'failed' ELSE event_type END AS status, CASE WHEN event_type = 'error' THEN props ELSE '' END AS message, CASE WHEN event_type = 'view' THEN 0 ELSE value END AS seconds FROM events),
 created AS (SELECT id, max(seq) AS since FROM log WHERE kind = 'create' GROUP BY id),
 live AS (SELECT log.* FROM log JOIN created USING (id) WHERE seq >= since)
 SELECT id, coalesce(arg_max(status, seq) FILTER (kind = 'status'), 'pending') AS status, coalesce(arg_max(message, seq) FILTER (message <> ''), '') AS error_message,
   count(*) FILTER (kind = 'status' AND status = 'failed' AND message <> '') AS retry_count, coalesce(arg_max(seconds, seq) FILTER (coalesce(seconds, 0) <> 0), 0) AS processing_time
 FROM live GROUP BY id
-""")
-def event_fold(spark, d):
+"""
+
+
+def event_log(spark, d) -> DataFrame:
     kind = F.col("event_type")
-    log = read(spark, d, "events").select(
+    return read(spark, d, "events").select(
         F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.when(kind == "signup", "create").otherwise("status").alias("kind"), F.when(kind == "error", "failed").otherwise(kind).alias("status"),
         F.when(kind == "error", F.col("props")).otherwise("").alias("error_message"), F.when(kind == "view", 0.0).otherwise(F.col("value")).alias("processing_time"),
     )
-    return tracking.folded(log).withColumns({"error_message": F.coalesce("error_message", F.lit("")), "processing_time": F.coalesce("processing_time", F.lit(0.0))})
+
+
+def without_nulls(tasks: DataFrame) -> DataFrame:
+    return tasks.withColumns({"error_message": F.coalesce("error_message", F.lit("")), "processing_time": F.coalesce("processing_time", F.lit(0.0))})
+
+
+@query(FOLD_SQL)
+def event_fold(spark, d):
+    return without_nulls(tracking.folded(event_log(spark, d)))
+
+
+@query(FOLD_SQL)
+def event_fold_merged(spark, d):
+    """The fold of the whole log from three parts of it, out of order and with a part that comes twice."""
+    log = event_log(spark, d)
+    first, second, third = (tracking.partial(log.filter(test)) for test in ("seq % 3 = 0", "seq % 3 <> 0 and seq % 5 <> 0", "seq % 5 = 0"))
+    return without_nulls(tracking.finished(*tracking.merged(tracking.merged(third, first), tracking.merged(second, first))))
 
 
 @query("SELECT c_custkey AS id, c_name AS company_name, CAST(c_nationkey AS INTEGER) AS year FROM customer WHERE contains(lower(c_name), 'r#00') AND c_nationkey = 7")
@@ -534,20 +566,51 @@ def filing_combined(spark, d):
     return extract.combined(extract.by_document(label_texts(spark, d)), extract.by_table(filing_tables_of(spark, d)))
 
 
-@query(f"""
-WITH {FILINGS_SQL}, kinds AS (
-  SELECT *, CASE WHEN kind = 1 THEN 'high' WHEN kind = 0 THEN 'low' ELSE 'medium' END AS confidence, CASE kind WHEN 0 THEN 'Scanned PDF - requires manual review or OCR' WHEN 1 THEN 'Text-based PDF processed with 2 financial fields'
-    WHEN 2 THEN 'Text-based PDF processed with smart extraction: ' || (CASE WHEN revenue >= 1000 THEN 1 ELSE 0 END) || ' fields' ELSE 'Text-based PDF processed with smart extraction: 0 fields' END AS note FROM filings)
-SELECT doc_id, confidence, note, unnest(CASE WHEN kind = 1 THEN ['eps', 'net_revenue'] WHEN kind = 2 AND revenue >= 1000 THEN ['net_revenue'] ELSE ['-'] END) AS field,
-  unnest(CASE WHEN kind = 1 THEN [3.5::DOUBLE, revenue::DOUBLE] WHEN kind = 2 AND revenue >= 1000 THEN [revenue::DOUBLE] ELSE [-1.0::DOUBLE] END) AS value FROM kinds
-""")
+# The strategies' notes.
+ENHANCED_SQL = f"""
+{FILINGS_SQL}, sorts AS (SELECT *, CAST(CAST(doc_id AS BIGINT) % 6 AS INTEGER) AS sort FROM filings),
+pairs AS (
+  SELECT doc_id, sort, revenue, list_filter(CASE sort
+    WHEN 1 THEN [{{'f': 'net_revenue', 'v': revenue::DOUBLE}}, {{'f': 'eps', 'v': 3.5::DOUBLE}}]
+    WHEN 2 THEN [{{'f': 'net_revenue', 'v': CASE WHEN revenue >= 1000 THEN revenue ELSE 5555 END::DOUBLE}}]
+    WHEN 4 THEN [{{'f': 'total_assets', 'v': revenue * 3.0::DOUBLE}}, {{'f': 'total_equity', 'v': revenue::DOUBLE}}, {{'f': 'net_income', 'v': kind::DOUBLE}}]
+    WHEN 5 THEN [{{'f': 'net_revenue', 'v': 12.0::DOUBLE}}, {{'f': 'total_assets', 'v': revenue * 3.0::DOUBLE}}, {{'f': 'total_equity', 'v': revenue::DOUBLE}}, {{'f': 'net_income', 'v': kind::DOUBLE}}]
+    ELSE [] END, lambda p: p.v <> 0) AS found FROM sorts),
+enhanced AS (
+  SELECT doc_id, found, CASE sort WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 5 THEN 'high' ELSE 'medium' END AS confidence,
+    CASE sort WHEN 0 THEN 'Scanned PDF - requires manual review or OCR' WHEN 4 THEN 'Mixed PDF processed with PDF extractor: ' || len(found) || ' fields'
+      WHEN 2 THEN 'Text-based PDF processed with smart extraction: 1 fields' WHEN 3 THEN 'Text-based PDF processed with smart extraction: 0 fields' ELSE 'Text-based PDF processed with ' || len(found) || ' financial fields' END AS note FROM pairs)
+"""
+
+
+def enhanced_filings(spark, d) -> DataFrame:
+    """Scanned, labelled, plain, empty, mixed and tabled filings of one to four pages in one plan."""
+    amount, sort = F.col("revenue").cast("string"), (F.col("doc_id").cast("long") % 6).cast("int")
+    page = lambda n, t: F.struct(F.lit(n).alias("page_no"), (F.lit(t) if isinstance(t, str) else t).alias("text"))
+    filled = lambda n: "字" * n
+    pages = (
+        F.when(sort == 0, F.array(page(1, F.concat(F.lit("營收：77 "), amount))))
+        .when(sort == 1, F.array(page(2, "EPS: 3.5\nEPS: 9"), page(1, F.concat(F.lit("Net Revenue: "), amount, F.lit("\n" + filled(400))))))
+        .when(sort == 2, F.array(page(1, filled(700)), page(4, "營業收入 5,555"), page(2, F.concat(F.lit("營業收入淨額 "), amount)), page(3, " \n")))
+        .when(sort == 4, F.array(page(1, filled(120))))
+        .when(sort == 5, F.array(page(1, "Total Assets: 7\n" + filled(400)), page(2, "Net Revenue：12")))
+        .otherwise(F.array(page(1, filled(200))))
+    )
+    rows = filings(spark, d).select("doc_id", F.inline(pages))
+    return enhance.extracted(rows, filing_tables_of(spark, d).filter("cast(doc_id as bigint) % 6 in (4, 5)"))
+
+
+@query(f"WITH {ENHANCED_SQL} SELECT doc_id, confidence, note, unnest(CASE WHEN len(found) = 0 THEN ['-'] ELSE list_transform(found, lambda p: p.f) END) AS field, unnest(CASE WHEN len(found) = 0 THEN [-1.0::DOUBLE] ELSE list_transform(found, lambda p: p.v) END) AS value FROM enhanced")
 def enhance_run(spark, d):
-    """Scanned, labelled, plain and empty filings in one plan."""
-    amount = F.col("revenue").cast("string")
-    text = F.when(F.col("kind") == 0, F.concat(F.lit("營收：77 "), amount)).when(F.col("kind") == 1, F.concat(F.lit("Net Revenue: "), amount, F.lit("\nEPS: 3.5\n" + "字" * 200))).when(F.col("kind") == 2, F.concat(F.lit("營業收入淨額 "), amount, F.lit("\n" + "字" * 200))).otherwise("字" * 200)
-    pages = filings(spark, d).select("doc_id", F.lit(1).alias("page_no"), text.alias("text"))
-    found = enhance.extracted(pages, filing_tables_of(spark, d).limit(0))
-    return found.select("doc_id", "confidence", "note", F.coalesce("field", F.lit("-")).alias("field"), F.coalesce("value", F.lit(-1.0)).alias("value"))
+    return enhanced_filings(spark, d).select("doc_id", "confidence", "note", F.coalesce("field", F.lit("-")).alias("field"), F.coalesce("value", F.lit(-1.0)).alias("value"))
+
+
+@query(f"WITH {ENHANCED_SQL} SELECT doc_id, 'x' AS source, '2024-05-01' AS enhanced_at, 'smart_v2.1' AS processor_version, confidence FROM enhanced")
+def enhance_stamps(spark, d):
+    """The enhanced records' metadata, the old confidence overwritten."""
+    records = filings(spark, d).select("doc_id", F.from_json(F.lit('{"source": "x", "confidence": "none"}'), "map<string,string>").alias("metadata"))
+    out = enhance.stamped(records, enhanced_filings(spark, d), "2024-05-01")
+    return out.select("doc_id", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("source", "enhanced_at", "processor_version", "confidence")])
 
 
 @query(f"""

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quarterlight.functions import text as T
@@ -75,3 +78,64 @@ def test_links_and_labels(spark):
     assert [r["s"] for r in sizes] == ["0 B", "512.0 B", "1.5 KB", "1.0 MB", None, None]
     urls = spark.createDataFrame([("http://a/b",), ("/c",), ("d",)], "u string").select(T.absolute_url(F.col("u"), "https://h.example/x/y").alias("u")).collect()
     assert [r["u"] for r in urls] == ["http://a/b", "https://h.example/c", "https://h.example/x/d"]
+
+
+def line_patterns():
+    """The line cascade as it is defined: a regex for each keyword."""
+    amount = lambda f: r"([0-9]+\.[0-9]{1,3})" if f == "eps" else r"([0-9,]+)"
+    dollar = lambda f: r"\$?\s*" if f in ("net_revenue", "net_income") else ""
+    return extract.Catalog({f: [T.unicode_pattern(k + r"[^\d]*" + dollar(f) + amount(f)) for k in ks] for f, ks in extract.LINE_KEYWORDS.items()})
+
+
+def label_patterns():
+    amount = lambda f, x: r"([\d.]+)" if f == "eps" else r"\(?([\d,]+)\)?" if x.endswith(r"\)") else r"([\d,]+)"
+    return extract.Catalog({f: [T.unicode_pattern(x + r"\s*[：:]\s*" + amount(f, x)) for x in xs] for f, xs in extract.LABELS.items()})
+
+
+def mixed_text(rng, words, n):
+    return "".join(rng.choice(words) for _ in range(rng.randrange(n)))
+
+
+BITS = ["4000", "5900", "1,234", "12", "3.25", "0.5", ".", ",", "，", "$", " ", "　", "\t", "字", "x", "(", ")", "５", "６,7", "٣", "1.2.3", "98765", "1234567", "\n", "\n", "-"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keywords_find_what_patterns_find(spark, seed):
+    rng = random.Random(seed)
+    words = [k.text for k in extract.line_keywords()] + ["存 貨", "存　\t貨", "營業收入淨額"] + BITS * 2
+    docs = spark.createDataFrame([(i, mixed_text(rng, words, 40)) for i in range(1500)], "doc_id int, text string")
+    got, want = (extract.by_line(docs, c, at_least=0, accept=lambda v, f: v > 0) for c in (extract.line_keywords(), line_patterns()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 1000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_labels_find_what_patterns_find(spark, seed):
+    rng = random.Random(seed)
+    words = [x.text for x in extract.labels()] + ["營業收入淨額", "營業收入額淨淨", "淨營收", "net revenue", "eps", "Earnıngs per ſhare", "TOTAL ASSETS", "淨"] + ["：", ":", "： ", " :\n", "：("] * 12 + BITS
+    docs = spark.createDataFrame([(i, mixed_text(rng, words, 60)) for i in range(2000)] + [(-1, None), (-2, "")], "doc_id int, text string")
+    got, want = extract.by_document(docs), extract.by_document(docs, label_patterns())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 500
+
+
+def test_pages_as_one_text(spark):
+    """The cascades over pages find what they find in the joined text, with its line numbers."""
+    rng = random.Random(4)
+    words = [k.text for k in extract.line_keywords()] + [x.text for x in extract.labels()] + ["：", ":"] * 6 + BITS
+    rows = [(f"d{i}", j, rng.choice([None, "", " \n", *[mixed_text(rng, words, 60)] * 7])) for i in range(60) for j in rng.sample(range(1, 5000), rng.randrange(1, 9))]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string").repartition(3)
+    whole = classify.joined_text(pages)
+    for least in (0, 150):
+        got, want = extract.by_page(pages, extract.line_keywords(), least), extract.by_line(whole, extract.line_keywords(), at_least=least)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    got, want = extract.by_labelled_page(pages), extract.by_document(whole, label_patterns())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    plan = extract.by_page(pages, extract.line_keywords())._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_sort" not in plan
+
+
+def test_line_plan(spark):
+    """An alternation and a number for each line, and a keyword's own pattern where that can't tell; no replacement."""
+    docs = spark.createDataFrame([("a", LINES)], "doc_id string, text string")
+    plan = extract.smart_fields(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("regexp_extract_all(") == 1 and plan.count("regexp_extract(") == 2
+    assert "SortAggregate" not in extract.smart_fields(docs)._jdf.queryExecution().executedPlan().toString()

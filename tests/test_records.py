@@ -206,3 +206,30 @@ def test_quality_report_is_saved(spark, tmp_path):
     assert summary.first()["total"] == 1 and spark.read.parquet(f"{tmp_path}/version=v1/issues").count() >= 1
     with pytest.raises(Exception):  # a version is never overwritten
         enhance.save_quality_report(records, str(tmp_path), "v1")
+
+
+def test_states_merge_in_any_order(spark):
+    """Parts of a log in any order, overlapping, with a task of very many failures, give the fold of the whole."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    kinds = ["create", "status", "status", "status", "paths"]
+    rows = []
+    for i in range(900):
+        kind = rng.choice(kinds)
+        key = "hot" if i % 3 == 0 else f"t{rng.randrange(40)}"
+        rows.append((key, i, kind, rng.choice(["failed", "failed", "processed"]) if kind == "status" else None, rng.choice([None, "", "bad", "worse"]), rng.choice([None, 0.0, 1.5, 2.5]), "a.pdf" if kind == "paths" else None))
+    rows.append((None, 1000, "create", None, None, None, None))
+    schema = "id string, seq long, kind string, status string, error_message string, processing_time double, pdf_path string"
+    whole = sorted(map(repr, tracking.folded(spark.createDataFrame(rows, schema)).collect()))
+    rng.shuffle(rows)
+    parts = [tracking.partial(spark.createDataFrame(rows[a:b], schema)) for a, b in ((0, 350), (300, 700), (650, 901))]
+    parts = [tuple(f.cache() for f in p) for p in parts]
+    for a, b, c in list(itertools.permutations(parts))[::2]:
+        out = tracking.merged(tracking.merged(a, tracking.merged(b, c)), a)
+        assert sorted(map(repr, tracking.finished(*out).collect())) == whole
+    empty = tracking.partial(spark.createDataFrame([], schema))
+    assert tracking.finished(*tracking.merged(empty, empty)).collect() == []
+    plan = tracking.partial(spark.createDataFrame(rows, schema))[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
