@@ -40,16 +40,16 @@ def _machine_local_dir() -> str:
     return tempfile.mkdtemp(prefix="quarterlight-")
 
 
-def _delete(context, path: str) -> None:
+def _delete(jvm, settings, path: str) -> None:
     with contextlib.suppress(Exception):  # what stays behind is only disk
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(settings).delete(where, True)
 
 
 @functools.lru_cache(maxsize=8)
 def _session_dir(shared: str, context) -> str:
     path = f"{shared}/quarterlight-{uuid.uuid4().hex}"
-    atexit.register(_delete, context, path)
+    atexit.register(_delete, context._jvm, context._jsc.hadoopConfiguration(), path)
     return path
 
 
@@ -71,7 +71,8 @@ def saved(df: DataFrame) -> DataFrame:
 def removed(*frames: DataFrame) -> None:
     """Deletes what ``saved`` wrote; no later plan may read these frames."""
     for f in frames:
-        _delete(f.sparkSession.sparkContext, f.saved_at)
+        context = f.sparkSession.sparkContext
+        _delete(context._jvm, context._jsc.hadoopConfiguration(), f.saved_at)
 
 
 def exclusive_offsets(totals: DataFrame, order: str, value: str, within: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
