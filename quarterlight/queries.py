@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import periods as P
+from .functions import session
 from .functions import text as T
 from .operators import catalog, classify, extract, merge, tracking, validate
+from .operators import records as variant
 from .plans import enhance
 from .schemas import FINANCIALS, INCOME_STATEMENT
 
@@ -704,3 +706,113 @@ def display_limit(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_quantity * 8 - l_quantity AS remaining FROM lineitem")
 def remaining_time(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", catalog.remaining_seconds(F.col("l_quantity"), F.lit(1), F.lit(8)).alias("remaining"))
+
+
+# JSON made of orders, the same text in both engines.
+RECORDS_JSON = """concat('{"a": {"b": ', o_orderkey, ', "x": null, "l": [1,', o_custkey, '], "e": {}, "s": "', o_orderstatus, '"}, "n": ', o_custkey % 100, '.5, "t": true}')"""
+
+
+@query(f"""
+SELECT o_orderkey, path, CASE json_type(j, '$.' || path) WHEN 'NULL' THEN 'null' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' ELSE 'absent' END AS kind,
+  coalesce(CASE WHEN json_type(j, '$.' || path) = 'BOOLEAN' THEN 'True' ELSE json_extract_string(j, '$.' || path) END, '-') AS value
+FROM (SELECT o_orderkey, unnest(['a.b', 'a.x', 'a.l', 'a.e', 'a.s', 'n', 't', 'a.z', 'n.b', 'z.b']) AS path, {RECORDS_JSON}::JSON AS j FROM orders)
+""")
+def record_paths(spark, d):
+    """Values and JSON types at paths that are data."""
+    rows = read(spark, d, "orders").select("o_orderkey", variant.parsed(F.expr(RECORDS_JSON)).alias("record"))
+    found = variant.paths(rows, ["o_orderkey"], ["a.b", "a.x", "a.l", "a.e", "a.s", "n", "t", "a.z", "n.b", "z.b"])
+    return found.withColumn("value", F.coalesce("value", F.lit("-")))
+
+
+# The rules' messages.
+@query("""
+SELECT c_custkey, array_to_string(list_filter([
+    CASE WHEN c_custkey % 9 = 0 THEN '股票代碼為必要欄位' END, CASE WHEN c_custkey % 9 <> 0 AND NOT regexp_full_match(c_custkey::VARCHAR, '[0-9]{4}') THEN '股票代碼應為4位數字 (格式不符: ' || c_custkey || ')' END,
+    CASE WHEN c_custkey % 5 = 0 THEN '公司名稱為必要欄位' END,
+    CASE c_custkey % 8 WHEN 1 THEN '報告年度應為整數 (實際類型: str)' WHEN 2 THEN '報告年度應為整數 (實際類型: float)' WHEN 5 THEN '報告年度應為整數 (實際類型: dict)' WHEN 6 THEN '報告年度應為整數 (實際類型: list)' END,
+    CASE c_custkey % 8 WHEN 0 THEN CASE WHEN c_nationkey * 3 + 1980 < 2000 THEN '報告年度應在合理範圍內(2000-2030) (值太小: ' || (c_nationkey * 3 + 1980) || ')' WHEN c_nationkey * 3 + 1980 > 2030 THEN '報告年度應在合理範圍內(2000-2030) (值太大: ' || (c_nationkey * 3 + 1980) || ')' END
+      WHEN 1 THEN '驗證規則執行錯誤: ''<'' not supported between instances of ''str'' and ''int''' WHEN 2 THEN '報告年度應在合理範圍內(2000-2030) (值太大: 2030.5)' WHEN 3 THEN '報告年度應在合理範圍內(2000-2030) (值太小: True)'
+      WHEN 5 THEN '驗證規則執行錯誤: ''<'' not supported between instances of ''dict'' and ''int''' WHEN 6 THEN '驗證規則執行錯誤: ''<'' not supported between instances of ''list'' and ''int''' END], lambda x: x IS NOT NULL), ';') AS errors,
+  array_to_string(list_filter([CASE c_custkey % 3 WHEN 0 THEN '財務數據欄位為必要' WHEN 1 THEN '財務數據欄位為必要 (欄位為空)' END, '損益表數據為必要', '資產負債表數據為必要',
+    CASE WHEN c_custkey % 3 = 2 AND c_custkey * 40 < 10000 THEN '檔案大小異常 (值太小: ' || c_custkey * 40 || ')' END, CASE WHEN c_custkey % 4 = 1 THEN '淨利應為數字 (實際類型: str)' END], lambda x: x IS NOT NULL), ';') AS warnings
+FROM customer
+""")
+def record_rules(spark, d):
+    """The rules, and one on a nested figure, by the JSON types of records."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    key = F.col("c_custkey")
+    code = F.when(key % 9 == 0, F.when(key % 2 == 0, "null").otherwise(F.lit(None))).otherwise(quoted(key.cast("string")))
+    name = F.when(key % 5 == 0, "null").otherwise(quoted(F.col("c_name")))
+    year = F.when(key % 8 == 0, (F.col("c_nationkey") * 3 + 1980).cast("string")).when(key % 8 == 1, '"2024"').when(key % 8 == 2, "2030.5").when(key % 8 == 3, "true").when(key % 8 == 4, "null").when(key % 8 == 5, '{"y": 2024}').when(key % 8 == 6, "[2024]")
+    figures = F.when(key % 3 == 0, "null").when(key % 3 == 1, "{}").otherwise('{"equity": 5}')
+    size = F.when(key % 3 == 2, (key * 40).cast("string"))
+    income = F.when(key % 4 == 0, "7.5").when(key % 4 == 1, '"7.5"')
+    part = lambda k, v: F.concat(F.lit(f'"{k}": '), v)
+    whole = lambda *parts: F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    json = whole(part("stock_code", code), part("company_name", name), part("report_year", year), part("report_season", F.lit('"Q1"')), part("financials", figures), part("metadata", whole(part("file_size", size))), part("cash", whole(part("deep", whole(part("net", income))))))
+    rows = read(spark, d, "customer").select("c_custkey", variant.parsed(json).alias("record"))
+    rules = (*validate.RULES, validate.Rule("cash.deep.net", "type", "淨利應為數字", "warning", {"type": "float"}))
+    return variant.judged(rows, rules).select("c_custkey", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"))
+
+
+@query(r"""
+SELECT o_orderkey, CASE WHEN s IN ('1', '2', '3', '4') THEN 'Q' || s ELSE s END AS season, s IN ('1', '2', '3', '4') AS valid, regexp_full_match(o_custkey::VARCHAR, '[0-9]{4}') AS valid_code,
+  CASE WHEN size = 0 THEN '0 B' WHEN size < 1024 THEN size || '.0 B' WHEN size < 1048576 THEN round(size::DECIMAL(20, 6) / 1024, 2)::DOUBLE || ' KB' ELSE round(size::DECIMAL(20, 6) / 1048576, 2)::DOUBLE || ' MB' END AS label
+FROM (SELECT o_orderkey, o_custkey, (o_orderkey % 6)::VARCHAR AS s, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 40) AS size FROM orders)
+""")
+def sql_functions(spark, d):
+    """The functions in SQL text."""
+    session.register(spark)
+    return spark.sql(
+        """SELECT o_orderkey, normalize_season(s) AS season, validate_season(s) AS valid, validate_stock_code(CAST(o_custkey AS STRING)) AS valid_code, file_size_label(size) AS label
+        FROM (SELECT o_orderkey, o_custkey, concat('q', o_orderkey % 6) AS s, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 40) AS size FROM {orders})""",
+        orders=read(spark, d, "orders"),
+    )
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS company_name FROM customer WHERE contains(lower(c_name), 'r#00') AND c_nationkey = 7 AND c_custkey % 5 = 2")
+def sql_search(spark, d):
+    """The catalog search as a table function."""
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("stock_code"), F.col("c_name").alias("company_name"), F.col("c_nationkey").alias("year"), F.concat(F.lit("Q"), (F.col("c_custkey") % 5).cast("string")).alias("season"))
+    session.register_catalog(spark, rows)
+    return spark.sql("SELECT id, company_name FROM search_reports('', 'R#00', 7, 'q2')")
+
+
+@query("""
+WITH log AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'paths' ELSE 'status' END AS kind, event_type FROM events),
+live AS (SELECT log.* FROM log JOIN (SELECT id, max(seq) AS since FROM log WHERE kind = 'create' GROUP BY id) c USING (id) WHERE seq >= since)
+SELECT id, coalesce(arg_max(event_type, seq) FILTER (kind = 'status'), 'pending') AS status, coalesce('p' || max(seq) FILTER (kind = 'paths') || '.pdf', '-') AS pdf_path,
+  coalesce('j' || max(seq) FILTER (kind = 'paths' AND seq % 2 = 0) || '.json', '-') AS json_path FROM live GROUP BY id
+""")
+def event_fold_paths(spark, d):
+    """Each path is the last one given since the task's last create."""
+    kind = F.col("event_type")
+    log = read(spark, d, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.when(kind == "signup", "create").when(kind == "view", "paths").otherwise("status").alias("kind"), kind.alias("status"), F.lit("").alias("error_message"), F.lit(0.0).alias("processing_time"),
+        F.when(kind == "view", F.concat(F.lit("p"), F.col("event_id").cast("string"), F.lit(".pdf"))).alias("pdf_path"), F.when((kind == "view") & (F.col("event_id") % 2 == 0), F.concat(F.lit("j"), F.col("event_id").cast("string"), F.lit(".json"))).alias("json_path"),
+    )
+    return tracking.folded(log).select("id", "status", F.coalesce("pdf_path", F.lit("-")).alias("pdf_path"), F.coalesce("json_path", F.lit("-")).alias("json_path"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'processed' END AS status FROM events")
+def known_statuses(spark, d):
+    kind = F.col("event_type")
+    rows = read(spark, d, "events").select("event_id", F.when(kind == "error", "failed").when(kind == "signup", "pending").otherwise("processed").alias("status"))
+    return tracking.known_statuses(rows)
+
+
+@query("SELECT o_orderkey, 'data/' || o_custkey || '/' || o_orderkey || '_AI1.pdf' AS path, o_orderkey || '_AI1.json' AS json_file, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '.txt' ELSE o_orderkey || '.json' END AS swapped FROM orders")
+def path_names(spark, d):
+    key, back = F.col("o_orderkey").cast("string"), F.lit("\\")
+    path = F.concat(F.lit("data"), back, F.col("o_custkey").cast("string"), F.lit("/"), key, F.lit("_AI1.pdf"))
+    mixed = F.concat(key, F.when(F.col("o_orderkey") % 2 == 0, ".txt").otherwise(".pdf"))
+    return read(spark, d, "orders").select("o_orderkey", T.forward_slashes(path).alias("path"), T.swap_suffix(F.concat(key, F.lit("_AI1.pdf")), ".pdf", ".json").alias("json_file"), T.swap_suffix(mixed, ".pdf", ".json").alias("swapped"))
+
+
+@query(r"""
+SELECT page_id, position, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN u WHEN starts_with(u, '/') THEN 'https://h.example' || u ELSE 'https://h.example/x/' || u END AS url FROM (
+  SELECT page_id, CAST(unnest(range(len(l))) AS BIGINT) AS position, unnest(l) AS u FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']*/[^"'']*)["''][^>]*>([^<]*)</a>', 1) AS l FROM pages))
+""")
+def absolute_links(spark, d):
+    found = extract.document_links(read(spark, d, "pages"), "/", "/")
+    return found.select("page_id", F.col("position").cast("long").alias("position"), T.absolute_url(F.col("url"), "https://h.example/x/y").alias("url"))

@@ -40,6 +40,13 @@ def reports(spark: SparkSession, folder: str, pattern: str = REPORTS) -> DataFra
     )
 
 
+def records(spark: SparkSession, folder: str, pattern: str = REPORTS) -> DataFrame:
+    """(name, bytes, record, corrupt): each file's JSON object as a variant, whatever its fields; null where it is none."""
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"), F.try_parse_json("value").alias("record"))
+    whole = F.coalesce(F.startswith(F.schema_of_variant("record"), F.lit("OBJECT")), F.lit(False))
+    return raw.select("name", "bytes", F.when(whole, F.col("record")).alias("record"), (~whole).alias("corrupt"))
+
+
 def batch_queries(spark: SparkSession, path: str) -> DataFrame:
     """Requests from a JSON list, one object, or an object with a list named queries."""
     fields = ", ".join(c.replace(" ", ": ") for c in BATCH_QUERY.split(", "))
