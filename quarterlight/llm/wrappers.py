@@ -10,12 +10,17 @@ more than a 1 / TEXTS share of its node's).  Nodes whose texts stay the same are
 template, nodes whose texts vary are slots.
 
 A page is aligned to its host's template.  Its content is all its slots: every block but
-those whose text is constant in the aligned template node.  Where <article> or <main>
+those whose text is constant in the aligned template node.  A node whose texts are nearly all constant is
+template.  A node with varying texts is a slot, and a constant text goes from it only if
+nearly all pages have it and such texts are the lesser part: pages that are near copies have
+most of their text in common, too, and keep it.  Where <article> or <main>
 slots hold at least PLACED of a host's varying characters (any, if the host has fewer than CONSTANT_PAGES
-pages), the content is what is in them, and a text there is constant if nearly all pages have it.  Menus, footers, sidebars, forms, scripts and
-styles go by their element or role.  Notices, adverts, headers and the like known only by
-class or id go, too, where they stand outside an article, unless such a node holds more varying
-characters than all the rest of the template: then the name lies, and the slot is content.  Reader comments always go.
+pages), the content is what is in them, but for places with much less text than the largest, as teasers have;
+headings in an article are never constant, nor is any text of articles whose greater part would be.
+Menus, footers, sidebars, forms, scripts and styles go by their element or role.  Notices, adverts, headers and the like known only by
+class or id go, too, where they stand outside an article, unless such a node is a paragraph that varies, or holds more varying
+characters than all the rest of the template: then the name lies, and the slot is content.  Reader comments
+go by the usual names of their lists.
 A host with few pages has no constant text; all its nodes are slots.
 
 Templates are learned from all pages, per task first, then merged FAN at a time,
@@ -51,10 +56,12 @@ FAN = 64
 NODES = 400
 #: Hosts that a task holds before it hands their templates on.
 HOSTS = 2000
-#: A text is constant if it stands on this share of the pages (inside an article, of its pages), of CONSTANT_PAGES at least.
+#: A text is constant if it stands on this share of the pages (in a slot or an article, of its pages), of CONSTANT_PAGES at least.
 CONSTANT, CONSTANT_INSIDE, CONSTANT_PAGES = 0.5, 0.95, 4
-#: Articles are the content if they hold this share of a host's varying characters.
-PLACED = 0.2
+#: A node is a slot if it has so many varying texts a page; constant texts go from slots and articles if they are at most this share of the characters.
+VARYING, LESSER = 0.3, 0.5
+#: Articles are the content if they hold this share of a host's varying characters; of them, those with this share of the largest's text.
+PLACED, LARGE = 0.2, 0.3
 #: Bytes of templates that are broadcast; places that a host's pages are dealt to beyond that.
 SHIPPED, SALTS = 32 << 20, 64
 
@@ -64,7 +71,12 @@ NAMED = frozenset(
     "sidebar side widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter "
     "subscribe subscription signup login pagination pager tags toolbar".split()
 )
-COMMENTS = frozenset("comment comments reply replies disqus".split())
+#: What may stand beside such a word in a name without giving it another sense.
+BESIDE = frozenset("area articles bar block bottom box buttons container content first group icons inner last left links list main media outer page popular posts right section site slot stories top unit wrap wrapper".split())
+COMMENTS = frozenset("comment comments comment-list commentlist comments-list comments-area comment-area comment-section comments-section comment-thread user-comments reader-comments replies respond disqus disqus_thread".split())
+#: Elements that hold a text of their own; their varying texts are content whatever they are called.
+PARAGRAPHS = ("p", "blockquote", "pre", "dd")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def dropped(node: Node, inside: bool) -> bool:
@@ -72,19 +84,22 @@ def dropped(node: Node, inside: bool) -> bool:
     a = node.attrs
     if node.tag in DROPPED or node.tag == "header" and not inside or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    return node.tag not in PLACES and bool(COMMENTS & names_of(node))
+    return node.tag not in (*PLACES, *PARAGRAPHS) and bool(COMMENTS & set(names_of(node)))
 
 
 PLACES = ("html", "body", "article", "main", "#root")
 
 
-def names_of(node: Node) -> set[str]:
-    return {w for v in (node.attrs.get("class", ""), node.attrs.get("id", "")) if v for w in re.split(r"[\s_-]+", v.lower())}
+def names_of(node: Node) -> list[str]:
+    return (node.attrs.get("class") or "").lower().split() + [(node.attrs.get("id") or "").lower()]
 
 
 def doubtful(node: Node, inside: bool) -> bool:
     """Whether a node's class or id alone says that it is no part of the main text."""
-    return not inside and node.tag not in PLACES and bool(NAMED & names_of(node))
+    if inside or node.tag in PLACES:
+        return False
+    words = [[w for w in re.split(r"[_-]+|[0-9]+", name) if w] for name in names_of(node)]
+    return any(NAMED.intersection(ws) and NAMED.union(BESIDE).issuperset(ws) for ws in words)
 
 
 def signature(node: Node, inside: bool) -> str:
@@ -95,7 +110,13 @@ def signature(node: Node, inside: bool) -> str:
 
 
 def mark(text: str) -> str:
-    return f"{zlib.crc32(text.encode('utf-8', 'replace')):08x}"
+    """A digest of a text, with its length."""
+    return f"{zlib.crc32(text.encode('utf-8', 'replace')):08x}{len(text):x}"
+
+
+def mass(t: list, marks: set[str]) -> int:
+    """Characters of these texts of a node, on all pages."""
+    return sum(int(k[8:], 16) * t[4][k] for k in marks)
 
 
 # A template node: [signature, pages, characters, texts, {text mark: count}, children].
@@ -201,16 +222,32 @@ def pruned(t: list) -> list:
     return t
 
 
+def tag_of(t: list) -> str:
+    return t[0].lstrip("!").split(".")[0]
+
+
 def constants(t: list, pages: int, inside: bool) -> set[str]:
-    """Texts of a node that stand on most pages."""
-    if pages < CONSTANT_PAGES:
+    """Texts of a node that are the template's."""
+    if pages < CONSTANT_PAGES or inside and tag_of(t) in HEADINGS:
         return set()
-    least = max(CONSTANT_PAGES, (CONSTANT_INSIDE if inside else CONSTANT) * pages)
-    return {k for k, n in t[4].items() if n + t[3] / (TEXTS + 1) * (len(t[4]) >= TEXTS) >= least}
+
+    def on(share: float) -> set[str]:
+        least = max(CONSTANT_PAGES, share * pages)
+        return {k for k, n in t[4].items() if n + t[3] / (TEXTS + 1) * (len(t[4]) >= TEXTS) >= least}
+
+    usual = on(CONSTANT)
+    if not inside and t[3] - sum(t[4][k] for k in usual) < VARYING * t[1]:
+        return usual
+    always = on(CONSTANT_INSIDE)
+    return always if inside or mass(t, always) <= LESSER * t[2] else set()
 
 
 def is_place(t: list) -> bool:
-    return t[0].split(".")[0] in ("article", "main")
+    return tag_of(t) in ("article", "main")
+
+
+def whole_mass(t: list) -> int:
+    return t[2] + sum(map(whole_mass, t[5]))
 
 
 class Wrapper:
@@ -229,6 +266,8 @@ class Wrapper:
             if is_place(t) and not inside and not shut:
                 places.append(t)
                 inside, within = True, t[1]
+                if self.constant_mass(t, within) > LESSER * whole_mass(t):
+                    within = 0  # copies of one article, not a template
             fixed = self.fixed[id(t)] = constants(t, within, inside)
             own = t[2] * (1 - sum(t[4][k] for k in fixed) / max(t[3], 1))
             below = 0.0
@@ -245,10 +284,14 @@ class Wrapper:
         least = PLACED * everything if pages >= CONSTANT_PAGES else 0
         self.places: set[int] = set()
         if (share := sum(self.slots[id(t)] for t in places)) > 0 and share >= least:
-            self.places = {id(t) for t in places}
+            each = {id(t): whole_mass(t) / t[1] for t in places}
+            self.places = {i for i, n in each.items() if n >= LARGE * max(each.values())}
         elif pages >= CONSTANT_PAGES:
             whole = everything + sum(self.slots[id(c)] for c in closed)
-            self.opened = {id(c) for c in closed if self.slots[id(c)] > 0.5 * whole}
+            self.opened = {id(c) for c in closed if self.slots[id(c)] > 0.5 * whole or tag_of(c) in PARAGRAPHS and self.slots[id(c)] > 0.5 * whole_mass(c)}
+
+    def constant_mass(self, t: list, within: int) -> int:
+        return mass(t, constants(t, within, True)) + sum(self.constant_mass(c, within) for c in t[5])
 
     def blocks(self, root: Node) -> list[str]:
         """The texts of a page's content blocks, in page order."""

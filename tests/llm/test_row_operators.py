@@ -295,6 +295,26 @@ def test_tiles_leave_no_link_out(spark, monkeypatch, cell):
     assert {d: root.get(x, x) for d, x in label.items()} == want and 5 < len(set(want.values())) < len(texts)
 
 
+def test_one_round_joins_near_copies(spark, monkeypatch):
+    """Copies whose buckets all agree are dealt anew in each band, so the first bands leave one class and no later tile."""
+    monkeypatch.setattr(near_dedup, "CELL", 16)
+    rng, seen, later = random.Random(9), [], near_dedup.later_cells
+
+    def spy(member, labels):
+        seen.append((labels.count(), labels.select("label").distinct().count(), later(member, labels).count()))
+        return later(member, labels)
+
+    monkeypatch.setattr(near_dedup, "later_cells", spy)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = []
+    for i in range(160):
+        words[rng.randrange(3000)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+        words = rows[0][1].split()
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["first"]["doc_id"] for r in got} == {0} and seen == [(160, 1, 0)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(node(i), node(i + 1)) for i in range(60) if i % 20 != 19]  # chains
@@ -388,6 +408,53 @@ def test_wrappers_names_do_not_decide():
     assert learned(html).blocks(wrappers.parse(html[-1])) == ["again"] * 60
 
 
+def chrome(body):
+    return f"<body><div class=top><a href=/>Home</a> <a href=/a>About</a></div>{body}<div class=end>All rights reserved</div></body>"
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_wrappers_keep_near_copies(article):
+    """Pages that have most of their text in common keep it; what all pages have around it goes."""
+    rng = random.Random(8)
+    put = lambda paras: chrome(f"<{'article' if article else 'div class=c'}>{''.join(f'<p>{p}</p>' for p in paras)}</{'article' if article else 'div'}>")
+    shared, other = [prose(rng, 30) for _ in range(5)], [[prose(rng, 30) for _ in range(6)] for _ in range(4)]
+    for copies, others in ((39, 1), (6, 4), (20, 0)):
+        texts = [[*shared[:2], prose(rng, 30), *shared[2:]] for _ in range(copies)] + other[:others]
+        html = [put(x) for x in texts]
+        wrapper = learned(html)
+        assert [wrapper.blocks(wrappers.parse(h)) for h in html] == texts
+
+
+def test_wrappers_by_template_alone():
+    """Neutral names and no article: the template decides, and pages by themselves keep what it drops."""
+    rng = random.Random(12)
+    texts = [[prose(rng, 5), *[prose(rng, 40) for _ in range(rng.randrange(2, 6))]] for _ in range(30)]
+    html = [chrome(f"<div class=c><h1>{x[0]}</h1>{''.join(f'<p>{p}</p>' for p in x[1:])}<p>Read the terms of use</p></div><div class=e><p>Offices in Ulm</p></div>") for x in texts]
+    wrapper = learned(html)
+    assert [wrapper.blocks(wrappers.parse(h)) for h in html] == texts
+    alone = [wrappers.extracted(h, None).split("\n\n") for h in html]
+    assert all(a != x and a[0] == "Home About" and a[-1] == "All rights reserved" for a, x in zip(alone, texts, strict=True))
+
+
+def test_wrappers_headings_comments_and_teasers():
+    rng = random.Random(10)
+    rows = [[prose(rng, 6), "Ingredients", prose(rng, 30), prose(rng, 20), prose(rng, 20), prose(rng, 12)] for _ in range(15)]
+    html = [
+        chrome(
+            f"<article><h1>{a}</h1><h2>{b}</h2><p>{c}</p><section id=comments-on-kant><p>{d}</p></section><div class=reply>{e}</div><p class=social-comment>{f}</p><div class=comments><p>{prose(rng, 9)}</p></div></article>"
+            f"<div class=more><article>{prose(rng, 4)}</article><article>{prose(rng, 4)}</article></div>"
+        )
+        for a, b, c, d, e, f in rows
+    ]
+    wrapper = learned(html)
+    assert [wrapper.blocks(wrappers.parse(h)) for h in html] == rows
+    # Without an article, paragraphs that vary stay whatever they are called, and names are read as a whole.
+    rows = [[prose(rng, 40), prose(rng, 20), prose(rng, 30)] for _ in range(15)]
+    html = [chrome(f"<div class=c><p>{a}</p><p class=notice>{b}</p><div class=related-work>{c}</div></div><div class=related-posts>{prose(rng, 8)}</div><div class=sidebar-left><ul><li>{prose(rng, 6)}</ul></div>") for a, b, c in rows]
+    wrapper = learned(html)
+    assert [wrapper.blocks(wrappers.parse(h)) for h in html] == rows
+
+
 def test_wrappers_of_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "<p>in the deep" + "</div>" * 5000 + "<p>after it<nav><div>menu</div></nav><script>no()</script>"
     spans = ("<p>" + "<span>" * 3000 + "inline" + "</span>" * 3000 + " text</p><ul>") * 2
