@@ -145,13 +145,20 @@ def validated(records: DataFrame, rules=RULES) -> DataFrame:
     })
 
 
-def quality_summary(judged: DataFrame) -> DataFrame:
-    """One row: totals and the mean score over all records (a record that could not be read counts 0)."""
+def summary_metrics() -> list[Column]:
+    """What a summary needs of judged records, as aggregates; a record that could not be read scores 0."""
     score = F.coalesce(F.col("score"), F.lit(0.0)).cast("decimal(20,6)")
-    return judged.agg(
-        F.count("*").alias("total"), F.count_if("is_valid").alias("valid"), F.count_if(F.size("warnings") > 0).alias("with_warnings"), F.count_if(F.size("errors") > 0).alias("with_errors"),
-        F.coalesce(F.try_divide(F.sum(score).cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("average_score"),
-    )
+    return [F.count("*").alias("total"), F.count_if("is_valid").alias("valid"), F.count_if(F.size("warnings") > 0).alias("with_warnings"), F.count_if(F.size("errors") > 0).alias("with_errors"), F.coalesce(F.sum(score), F.lit(0).cast("decimal(30,6)")).alias("scores")]
+
+
+def summary_of(metrics: DataFrame) -> DataFrame:
+    mean = F.coalesce(F.try_divide(F.col("scores").cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("average_score")
+    return metrics.select("total", "valid", "with_warnings", "with_errors", mean)
+
+
+def quality_summary(judged: DataFrame) -> DataFrame:
+    """One row: totals and the mean score over all records."""
+    return summary_of(judged.agg(*summary_metrics()))
 
 
 def common_issues(judged: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import classify, extract, merge, validate
 from ..schemas import FIELDS
 
+TOTALS = ("total", "valid", "with_warnings", "with_errors", "scores")
+
 
 def extracted(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """(doc_id, doc_type, confidence, note, field, value): the label cascade and tables where they find
@@ -54,11 +56,13 @@ def quality_report(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def save_quality_report(records: DataFrame, folder: str, version: str) -> DataFrame:
-    """Writes the report as a new version below ``folder``: details first, and both summaries from
-    what was written, so the rules run once.  Returns the one-row summary."""
-    path = f"{folder.rstrip('/')}/version={version}"
-    validate.validated(records).write.parquet(f"{path}/details")
-    details = records.sparkSession.read.parquet(f"{path}/details")
-    validate.quality_summary(details).write.parquet(f"{path}/summary")
+    """Writes the report as a new version below ``folder``: the totals are observed while the details are
+    written, so the rules run once and the details aren't read again for them; the issues are counted from the
+    written messages alone.  Returns the one-row summary."""
+    spark, path, seen = records.sparkSession, f"{folder.rstrip('/')}/version={version}", Observation()
+    validate.validated(records).observe(seen, *validate.summary_metrics()).write.parquet(f"{path}/details")
+    totals = spark.createDataFrame([tuple(seen.get[c] for c in TOTALS)], "total long, valid long, with_warnings long, with_errors long, scores decimal(30,6)")
+    validate.summary_of(totals).coalesce(1).write.parquet(f"{path}/summary")
+    details = spark.read.parquet(f"{path}/details")
     validate.common_issues(details).write.parquet(f"{path}/issues")
-    return records.sparkSession.read.parquet(f"{path}/summary")
+    return spark.read.parquet(f"{path}/summary")

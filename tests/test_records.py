@@ -233,3 +233,32 @@ def test_states_merge_in_any_order(spark):
     assert tracking.finished(*tracking.merged(empty, empty)).collect() == []
     plan = tracking.partial(spark.createDataFrame(rows, schema))[0]._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_batches_are_halved(spark):
+    """The same rows and errors as row by row, in few calls."""
+    rows = spark.createDataFrame([(i if i % 97 else 0,) for i in range(1000)], "n long").repartition(2)
+    calls = spark.sparkContext.accumulator(0)
+
+    def whole(batch):
+        calls.add(1)
+        if (batch["n"] == 0).any():
+            raise ZeroDivisionError("division by zero")
+        return batch.assign(x=1 / batch["n"], y=batch["n"].astype(str))
+
+    got = registry.mapped_batches(rows, whole, "x double, y string").collect()
+    want = registry.mapped(rows, lambda r: {"x": 1 / r["n"], "y": str(r["n"])}, "x double, y string").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r["error"] is not None for r in got) == 11
+    assert calls.value < 300
+    assert {r["error"] for r in registry.mapped_batches(rows, lambda b: b.iloc[:0], "x double").collect()} == {"ValueError: 0 rows for 1"}
+    assert registry.mapped_batches(rows.limit(0), whole, "x double, y string").collect() == []
+
+
+def test_report_totals_are_observed(spark, tmp_path):
+    rows = [(f"{i:04d}" if i % 3 else "x", "n" if i % 4 else None, 1990 + i, "Q1", {"total_assets": "10", "total_liabilities": "5", "equity": str(i % 9)}, {"a": "1"}, {"a": "1"}, {}) for i in range(80)]
+    for name, records in (("some", spark.createDataFrame(rows, MAPS).repartition(3)), ("none", spark.createDataFrame([], MAPS))):
+        saved = enhance.save_quality_report(records, str(tmp_path / name), "v")
+        details, summary, issues = enhance.quality_report(records)
+        assert saved.collect() == summary.collect() and saved.columns == summary.columns
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}/version=v/issues").collect())) == sorted(map(tuple, issues.collect()))
+        assert spark.read.parquet(f"{tmp_path}/{name}/version=v/details").count() == details.count()
