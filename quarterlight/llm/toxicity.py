@@ -13,7 +13,8 @@ toxic added to the others (multiple-instance learning).  LANDMARKS witnesses spa
 Nystroem feature space, in which a linear SVM (squared hinge) is solved.  The
 decision on a word is then a weighted sum over its own subsequences, so scoring
 needs no landmark at all.  A document's score is the logistic of its most toxic
-word's decision, calibrated on one labelled document of CALIBRATE that the machine has not seen.
+word's decision, calibrated on one labelled document of CALIBRATE that the machine has not seen, so that REJECT parts the
+two kinds best.
 
 Letters are numbered by an alphabet learned from the training words (the ALPHABET - 1 most
 frequent ones); any other letter matches nothing.
@@ -22,7 +23,9 @@ Every word of every whole text is scored.  Words longer than WIDE letters are re
 through windows that overlap by all but STEP letters; runs of single letters
 ("s p a c e d") count as one word, and so do two neighbours that are the first
 and the last part of toxic witnesses, three letters each, unless clean training documents
-have them side by side, too ("spa ced").  Words of one or two letters have no
+have them side by side, too ("spa ced").  Up to PIECES neighbours of any length count as one word if that
+is a witness ("s pac ed"), letters that stand three times or more also count once ("spaaaaced"), and digits among letters
+also as the letters that they look like ("sp4ced").  Words of one or two letters have no
 subsequence and count only in these joins.  Null or empty text has no word: it gets the
 score of the least decision.  Without labels of both kinds all scores are the share of toxic rows
 (0 if there is none).  Repeated rows score alike; an empty table stays empty.
@@ -49,24 +52,36 @@ from .texts import give_back, sliced, split_words
 
 SAMPLE = 5000
 SAMPLE_BYTES = 64 << 20
-LANDMARKS = 192
+LANDMARKS = 512
 DECAY = 0.6
 SPAN = 7
 WIDE = 14
 STEP = 2
-ROUNDS = 4
+ROUNDS = 5
 #: Words seen in so many toxic documents, and in no more than WRONG clean ones for each, are witnesses from the
 #: start, if EXPLAINED of the toxic documents can be explained by words that are seen as often.
 SEEN = 3
 WRONG = 0.1
 EXPLAINED = 0.98
-#: Clean words that each round adds, by landmark.
-HARD = 4
+#: Clean words that each round adds.
+HARD = 768
+#: A clean word counts as often as it is seen, up to here.
+OFTEN = 20
+#: What a disguised witness counts, where a witness counts 10 each time that it is seen; only witnesses that are seen in so many
+#: documents, as a share of the most frequent one's, are disguised.
+GAPPED, DISGUISED = 4.0, 0.25
+#: Pieces of a witness with spaces in it.
+PIECES = 4
+#: What a clean document that is rejected counts, against a toxic one that is not.
+FALSE = 4.0
 #: One document of so many only calibrates the score.
 CALIBRATE = 5
 REJECT = 0.7
 #: Letters that are told apart, with one number for all others.
 ALPHABET = 64
+REPEATED = "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyzàáâäçèéêëìíîïñòóôöùúûüß")
+#: Digits among letters are read as the letters that they look like, too.
+READ_AS, LETTERS = "[a-z][0134578]|[0134578][a-z]", str.maketrans("0134578", "oieastb")
 SPACED = re.compile(r"(?:(?<=\s)|^)\w(?:\s+\w){2,}(?=\s|$)")
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -148,6 +163,8 @@ class Machine:
     tails: tuple[str, ...] = ()
     #: Joined neighbours that clean training documents have, too.
     innocent: tuple[str, ...] = ()
+    #: The toxic witnesses that are joined of any pieces.
+    known: tuple[str, ...] = ()
 
     @functools.cached_property
     def table(self) -> np.ndarray:
@@ -167,15 +184,15 @@ class Machine:
     def score(self, texts: pa.Array) -> np.ndarray:
         """Each text's score."""
         best = np.full(len(texts), self.bias)
-        for words, row in documents_words(texts, self.heads, self.tails, self.innocent):
+        for words, row in documents_words(texts, self.heads, self.tails, self.innocent, self.known):
             decision = self.decide(words.dictionary)[words.indices.to_numpy()]
             np.maximum.at(best, row, decision)
         return 1 / (1 + np.exp(-(self.slope * best + self.offset)))
 
 
-def documents_words(texts: pa.Array, heads: tuple[str, ...] = (), tails: tuple[str, ...] = (), innocent: tuple[str, ...] = ()):
+def documents_words(texts: pa.Array, heads: tuple[str, ...] = (), tails: tuple[str, ...] = (), innocent: tuple[str, ...] = (), known: tuple[str, ...] = ()):
     """(dictionary-coded normal words, their rows): the words, neighbours that belong
-    together (``neighbours``) as one word, and runs of spaced single letters."""
+    together (``neighbours``, ``in_pieces``) as one word, words without repeated letters, and runs of spaced single letters."""
     words, row = split_words(texts)
     plain = normal(words.dictionary).dictionary_encode()
     code = plain.indices.take(words.indices)
@@ -184,6 +201,16 @@ def documents_words(texts: pa.Array, heads: tuple[str, ...] = (), tails: tuple[s
     some = pc.invert(pc.is_in(joined, value_set=pa.array(innocent, pa.string())))
     if pc.any(some).as_py():
         yield joined.filter(some).dictionary_encode(), at[some.to_numpy(zero_copy_only=False)]
+    for n in range(2, PIECES + 1):
+        joined, at = in_pieces(plain.dictionary, code.to_numpy(), row, known, n)
+        joined, at = joined.filter(some := pc.invert(pc.is_in(joined, value_set=pa.array(innocent, pa.string())))), at[some.to_numpy(zero_copy_only=False)]
+        if len(at):
+            yield joined.dictionary_encode(), at
+    other = pc.match_substring_regex(plain.dictionary, f"{REPEATED}|{READ_AS}").to_numpy(zero_copy_only=False)
+    if other.any():
+        here = np.flatnonzero(other[code.to_numpy()])
+        names = plain.dictionary.take(code.take(pa.array(here)))
+        yield pa.array([re.sub(r"(.)\1{2,}", r"\1", w).translate(LETTERS) for w in names.to_pylist()]).dictionary_encode(), row[here]
     runs, at = [], []
     spaced = pc.match_substring_regex(pc.fill_null(texts, ""), r"(^|\s)\w\s+\w\s+\w(\s|$)")
     for i in np.flatnonzero(spaced.to_numpy(zero_copy_only=False)).tolist():
@@ -203,6 +230,23 @@ def neighbours(names: pa.Array, code: np.ndarray, row: np.ndarray, heads: tuple[
     return pc.binary_join_element_wise(names.take(pa.array(code[pair])), names.take(pa.array(code[pair + 1])), ""), row[pair]
 
 
+def in_pieces(names: pa.Array, code: np.ndarray, row: np.ndarray, known: tuple[str, ...], n: int) -> tuple[pa.Array, np.ndarray]:
+    """n words side by side that make one of ``known``; their rows."""
+    if len(code) < n or not known:
+        return pa.array([], pa.string()), row[:0]
+    first, last = {w[:k] for w in known for k in range(1, len(w))}, {w[k:] for w in known for k in range(1, len(w))}
+    inner = {w[a:b] for w in known for a in range(1, len(w)) for b in range(a + 1, len(w))} if n > 2 else set()
+    may = [pc.is_in(names, value_set=pa.array(sorted(x), pa.string())).to_numpy(zero_copy_only=False)[code] for x in (first, inner, last)]
+    size = len(code) - n + 1
+    ok = may[0][:size] & may[2][n - 1 :] & (row[:size] == row[n - 1 :])
+    for k in range(1, n - 1):
+        ok &= may[1][k : k + size]
+    at = np.flatnonzero(ok)
+    joined = pc.binary_join_element_wise(*[names.take(pa.array(code[at + k])) for k in range(n)], "")
+    some = pc.is_in(joined, value_set=pa.array(known, pa.string())).to_numpy(zero_copy_only=False)
+    return joined.filter(pa.array(some)), row[at[some]]
+
+
 def solve(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear SVM, squared hinge, by Newton steps on the rows inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -232,6 +276,20 @@ def logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def parting(f: np.ndarray, y: np.ndarray) -> float:
+    """The decision that parts two kinds best, the share of clean documents above it counting FALSE times that
+    of toxic ones below it; the middle of the widest gap, if there are several."""
+    order = np.argsort(f)
+    f, y = f[order], y[order]
+    lost = np.r_[0, np.cumsum(y)] / y.sum() + FALSE * np.r_[0, np.cumsum(~y[::-1])][::-1] / (~y).sum()
+    edges = np.r_[f[0] - 1, f, f[-1] + 1]
+    width = edges[1:] - edges[:-1]
+    lost[width <= 0] = np.inf
+    best = np.flatnonzero(lost <= lost.min() + 1e-12)
+    at = best[np.argmax(width[best])]
+    return float(edges[at] + edges[at + 1]) / 2
+
+
 def dense(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(subsequences that occur, a row of weights for each whole word)"""
     word, sub, weight = [], [], []
@@ -280,17 +338,19 @@ def beside(texts: list[str], machine: Machine) -> tuple[str, ...]:
     for batch in sliced([pa.record_batch([pa.array(texts, pa.string())], names=["text"])]):
         words, row = split_words(batch.column("text"))
         plain = normal(words.dictionary).dictionary_encode()
-        out.update(neighbours(plain.dictionary, plain.indices.take(words.indices).to_numpy(), row, machine.heads, machine.tails)[0].unique().to_pylist())
+        code = plain.indices.take(words.indices).to_numpy()
+        found = [neighbours(plain.dictionary, code, row, machine.heads, machine.tails), *[in_pieces(plain.dictionary, code, row, machine.known, n) for n in range(2, PIECES + 1)]]
+        out.update(w for joined, _ in found for w in joined.unique().to_pylist())
     return tuple(sorted(out))
 
 
 def inserted(word: str) -> list[str]:
-    """The word with a letter put in or replaced, as insults are disguised."""
+    """The word with letters put in or replaced, as insults are disguised."""
     if len(word) < 4:
         return []
-    k = zlib.crc32(word.encode())
-    at = 1 + k % (len(word) - 2)
-    return [word[:at] + "abcdefghijklmnopqrstuvwxyz"[k // 7 % 26] + word[at:], word[:at] + "013457x"[k // 11 % 7] + word[at + 1 :]]
+    k, n = zlib.crc32(word.encode()), len(word)
+    put = [word[:at] + "abcdefghijklmnopqrstuvwxyz"[(k // 7 + 5 * at) % 26] + word[at:] for at in {1, n // 2, n - 1}]
+    return put + [word[:at] + "013457x"[(k // 11 + at) % 7] + word[at + 1 :] for at in range(0, n, max(1, n // 4))]
 
 
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine:
@@ -347,10 +407,11 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         witness = witness[value[witness] >= np.quantile(value[seeds], 0.1)]
         rows, count = np.unique(np.r_[witness, np.repeat(seeds, np.minimum(pos[seeds], 5))], return_counts=True)
         hard = np.flatnonzero(in_clean)
-        hard = hard[np.argsort(-value[hard], kind="stable")][: HARD * landmarks]
+        hard = hard[np.argsort(-value[hard], kind="stable")][:HARD]
         rest = np.setdiff1d(np.union1d(rest, hard), rows)
         chosen = np.r_[rows[np.argsort(-count, kind="stable")][: landmarks // 2], rest[np.argsort(-value[rest], kind="stable")][: landmarks // 2]]
-        gapped = [g for i in rows for g in inserted(vocabulary[i])]
+        plain = rows[pos[rows] >= DISGUISED * pos[rows].max()]
+        gapped = [g for i in plain for g in inserted(vocabulary[i])]
         subs, z = dense([vocabulary[i] for i in chosen], table)
         kernel = against([*(vocabulary[i] for i in np.r_[rows, rest]), *gapped], subs, z, table)
         # Nystroem: features k(x, z) K^(-1/2), small eigenvalues left out.
@@ -358,7 +419,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         some = values > 1e-6 * values.max()
         root = vectors[:, some] / np.sqrt(values[some])
         y = np.r_[np.ones(len(rows)), -np.ones(len(rest)), np.ones(len(gapped))]
-        cost = np.r_[10.0 * np.minimum(count, 5), np.full(len(rest), 10.0), np.full(len(gapped), 2.0)]
+        cost = np.r_[10.0 * np.minimum(count, 5), 10.0 * np.clip(neg[rest], 1, OFTEN), np.full(len(gapped), GAPPED)]
         w, bias = solve(kernel @ root, y, cost)
         weight = np.zeros(ALPHABET**3)
         weight[subs] = z.T @ (root @ w)
@@ -367,8 +428,11 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     held = ~learn if (~learn).any() else learn
     f = np.full(len(texts), machine.bias)
     np.maximum.at(f, doc, value[word])
-    machine.slope, machine.offset = logistic(f[held], toxic[held])
-    machine.heads, machine.tails = parts([vocabulary[i] for i in seeds])
+    machine.slope, _ = logistic(f[held], toxic[held])
+    machine.offset = float(np.log(REJECT / (1 - REJECT)) - machine.slope * parting(f[held], toxic[held]))
+    names = [vocabulary[i] for i in seeds]
+    machine.heads, machine.tails = parts(names)
+    machine.known = tuple(sorted(w for w in names if len(w) > 3))
     machine.innocent = beside([t for t, y in zip(texts, toxic.tolist(), strict=True) if not y], machine)
     return machine
 

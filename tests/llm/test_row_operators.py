@@ -97,6 +97,35 @@ def test_toxicity_held_out():
     assert (split[:3] >= 0.7).all() and (split[3:] < 0.7).all()
 
 
+def test_toxicity_disguises():
+    """Inserted, replaced and repeated letters and spaces anywhere, at the threshold that rejects."""
+    rng = random.Random(3)
+    texts, y = [], np.array([i % 6 == 0 for i in range(1200)])
+    for toxic in y:
+        words = prose(rng, rng.randrange(10, 60)).split()
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "moron", "blockhead", "scumbag"]))
+        texts.append(" ".join(words))
+    machine = toxicity.train(texts, y)
+    plain = "idiot moron blockhead scumbag".split()
+    gapped = "idxiot 1diot idiiot mor0n morxon bloxckhead blockh3ad scuumbag xxidiotxx idioooooooooooot".split()
+    spaced = ["idi ot", "id i ot", "mo ron", "mor on", "bl ock head", "b lockhead", "block head", "i d i o t", "sc um bag"]
+    for group in (plain, gapped, spaced):
+        got = machine.score(pa.array([f"{prose(rng, 5)} {w} {prose(rng, 5)}" for w in group], pa.string()))
+        assert (got >= 0.7).all(), dict(zip(group, got.round(2).tolist(), strict=True))
+    clean = machine.score(pa.array([prose(rng, 300) for _ in range(300)], pa.string()))
+    assert (clean < 0.7).mean() >= 0.99
+
+
+def test_parting():
+    y = np.array([False] * 90 + [True] * 10)
+    assert toxicity.parting(np.r_[np.linspace(-2, -1, 90), np.linspace(1, 2, 10)], y) == 0.0
+    tied = toxicity.parting(np.zeros(100), y)
+    assert np.isfinite(tied) and tied > 0
+    mixed = np.r_[np.linspace(-2, -1, 89), 1.5, np.linspace(1, 2, 10)]
+    assert -1 < toxicity.parting(mixed, y) < 2
+
+
 def test_toxicity_edges(spark):
     constant = toxicity.train(["a", "b"], np.array([False, False]))
     assert (constant.score(pa.array(["x", None])) < 1e-6).all() and len(constant.score(pa.array([], pa.string()))) == 0
