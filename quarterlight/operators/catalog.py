@@ -36,10 +36,47 @@ def searched(index: DataFrame, stock_code: str | None = None, company_name: str
     return index.filter(functools.reduce(Column.__and__, tests)) if tests else index
 
 
+#: Codes of four digits, which a bitmap holds.
+CODES = 10_000
+
+
 def stats(index: DataFrame, code: str = "stock_code", updated: str | None = None) -> DataFrame:
-    """One row: reports, distinct codes and their sorted list; with ``updated``, the latest of that column."""
+    """One row: reports, distinct codes and their sorted list; with ``updated``, the latest of that column.
+
+    Codes of four digits are one bitmap of fixed size, put together before the shuffle and read off at the end; any other
+    codes are made distinct by a shuffle of their own, so that no task gathers a set."""
     last = [F.max(updated).alias("last_updated")] if updated else []
-    return index.agg(F.count("*").alias("total_reports"), F.count_distinct(code).alias("n_codes"), F.array_sort(F.collect_set(code)).alias("codes"), *last)
+    four = F.coalesce(F.col(code).cast("string").rlike("^[0-9]{4}$"), F.lit(False))
+    number = F.when(four, F.col(code).cast("string").try_cast("int"))
+    one = index.agg(F.count("*").alias("total_reports"), F.bitmap_construct_agg(F.bitmap_bit_position(number + 1)).alias("_bits"), *last)
+    octet = lambda i: F.conv(F.hex(F.substring("_bits", F.floor(i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.filter(F.sequence(F.lit(0), F.lit(CODES - 1)), lambda i: F.getbit(octet(i), (i % 8).cast("int")) == 1)
+    listed = F.transform(there, lambda i: F.lpad(i.cast("string"), 4, "0"))
+    others = index.filter(~four & F.col(code).isNotNull()).select(F.col(code).cast("string").alias("c")).distinct().agg(F.collect_list("c").alias("_others"))
+    both = one.crossJoin(F.broadcast(others)).withColumn("codes", F.array_sort(F.concat(listed, "_others")))
+    return both.select("total_reports", F.size("codes").cast("long").alias("n_codes"), "codes", *(["last_updated"] if updated else []))
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters, whatever the case of letters."""
+    lower = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(lower) - 2, F.lit(1))), lambda i: F.substring(lower, i, F.lit(3))))
+
+
+def name_index(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(trigram, key): the posting lists of names, to be kept as a table, best partitioned or sorted by trigram."""
+    return rows.filter(F.length(name) >= 3).select(F.col(key), F.explode(trigrams(F.col(name))).alias("trigram"))
+
+
+def found_by_index(rows: DataFrame, postings: DataFrame, part: str, key: str, name: str) -> DataFrame:
+    """The rows with ``part`` in their name, whatever the case: those that have all its trigrams are looked up and
+    tested; a part of less than three characters is searched for in all rows."""
+    holds = F.contains(F.lower(name), F.lit(part.lower()))
+    if len(part.lower()) < 3:
+        return rows.filter(holds)
+    wanted = sorted({part.lower()[i : i + 3] for i in range(len(part.lower()) - 2)})
+    keys = postings.filter(F.col("trigram").isin(*wanted)).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= len(wanted))
+    return rows.join(keys.select(key), key, "left_semi").filter(holds)
 
 
 def counts(rows: DataFrame, *keys: str) -> DataFrame:

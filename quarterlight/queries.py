@@ -816,3 +816,18 @@ SELECT page_id, position, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:
 def absolute_links(spark, d):
     found = extract.document_links(read(spark, d, "pages"), "/", "/")
     return found.select("page_id", F.col("position").cast("long").alias("position"), T.absolute_url(F.col("url"), "https://h.example/x/y").alias("url"))
+
+
+@query("SELECT count(*) AS total_reports, count(DISTINCT code) AS n_codes, array_to_string(list_sort(list(DISTINCT code)), ',') AS codes, max(c_name) AS last_updated FROM (SELECT c_name, CASE WHEN c_custkey % 11 = 0 THEN 'x' || c_custkey % 4 WHEN c_custkey % 7 <> 0 THEN lpad((c_custkey * 37 % 10000)::VARCHAR, 4, '0') END AS code FROM customer)")
+def catalog_codes(spark, d):
+    """Codes of four digits and others, and missing ones."""
+    key = F.col("c_custkey")
+    code = F.when(key % 11 == 0, F.concat(F.lit("x"), (key % 4).cast("string"))).when(key % 7 != 0, F.lpad((key * 37 % 10000).cast("string"), 4, "0"))
+    return catalog.stats(read(spark, d, "customer").select(code.alias("stock_code"), "c_name"), updated="c_name").withColumn("codes", F.array_join("codes", ","))
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.net/e')")
+def name_search_indexed(spark, d):
+    """The search in names by posting lists of trigrams."""
+    rows = read(spark, d, "pages").select("page_id", "url")
+    return catalog.found_by_index(rows, catalog.name_index(rows, "page_id", "url"), "Example.NET/e", "page_id", "url")

@@ -262,3 +262,22 @@ def test_report_totals_are_observed(spark, tmp_path):
         assert saved.collect() == summary.collect() and saved.columns == summary.columns
         assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}/version=v/issues").collect())) == sorted(map(tuple, issues.collect()))
         assert spark.read.parquet(f"{tmp_path}/{name}/version=v/details").count() == details.count()
+
+
+def test_search_by_index(spark):
+    names = ["Tsmc Ltd", "TSMC", "ts", "", None, "aaa", "aaaa", "台積電股份", "Äpfel & Co", "tsmtsmc"]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    postings = catalog.name_index(rows, "id", "name")
+    for part in ("tsm", "TSMC", "aaaa", "a", "", "積電股", "äPF", "tsmcx", "c l"):
+        got = {r["id"] for r in catalog.found_by_index(rows, postings, part, "id", "name").collect()}
+        assert got == {r["id"] for r in catalog.files_named(rows, part).collect()}, part
+
+
+def test_codes_without_a_set(spark):
+    codes = ["0000", "9999", "2330", "2330", "23301", "abc", None, "２３３０", "0007", ""]
+    row = catalog.stats(spark.createDataFrame([(c,) for c in codes], "stock_code string")).first()
+    assert (row["total_reports"], row["codes"]) == (10, sorted({c for c in codes if c is not None})) and row["n_codes"] == 8
+    empty = catalog.stats(spark.createDataFrame([], "stock_code string")).first()
+    assert tuple(empty) == (0, 0, [])
+    plan = catalog.stats(spark.createDataFrame([("1",)], "stock_code string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
