@@ -3,8 +3,8 @@
 A document is kept as a tree over pre-token segments: leaves are runs of whole
 segments (about LEAF characters), and two binary indexed trees hold the subtree sums of
 characters and tokens.  Leaves begin after white space or where the tokenizer is bound to
-begin a new pre-token: between an ASCII letter, digit or mark and an ASCII character of another kind
-(JOINED marks apart), and after each ASCII digit.  An edit finds its leaves by descent and re-encodes them
+begin a new pre-token, in any script: between a letter or digit and a punctuation mark (ASCII but for JOINED, and the usual ones of other
+scripts), and on both sides of an ASCII digit that has a letter or digit beside it.  An edit finds its leaves by descent and re-encodes them
 alone; the boundary context is the rest of these leaves, and the neighbour that the edit touches.  Their stored
 count is taken off, so nothing old is encoded again.  Leaves that grow are cut again.
 
@@ -35,9 +35,9 @@ LEAF = 128
 SPACE = re.compile("[ \n]")
 #: Marks that can belong to the letters beside them: contractions and special tokens.
 JOINED = "'<>|"
-_MARK = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in JOINED)
+_MARK = "".join(re.escape(c) for c in [*map(chr, range(33, 127)), *"¡¿«»—–…“”„、。，！？；：「」『』（）《》〈〉【】〔〕・～"] if not c.isalnum() and c not in JOINED)
 #: Where a leaf can begin.
-CUT = re.compile(rf"(?<=[ \n])|(?<=[A-Za-z])(?=[0-9{_MARK}])|(?<=[0-9])(?=[A-Za-z0-9{_MARK}])|(?<=[{_MARK}])(?=[A-Za-z0-9])")
+CUT = re.compile(rf"(?<=[ \n])|(?<=[^\W_])(?=[0-9{_MARK}])|(?<=[0-9])(?=[^\W_])|(?<=[{_MARK}])(?=[^\W_])")
 EDIT = "struct<start:long,end:long,replacement:string>"
 SCHEMA = "doc_id long, n_tokens long, versions array<long>, n_leaves int, n_chars long, encoded_chars long"
 LEAVES = "array<struct<text:string,tokens:long>>"

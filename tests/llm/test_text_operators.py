@@ -142,6 +142,28 @@ def test_leaves_of_text_without_spaces(spark):
         assert r["versions"] == [len(library(text[:3] + "z" + text[4:], 0)) - 1] and r["encoded_chars"] < 300
 
 
+SCRIPTS = "abZé ñß我的话日本語한국어ひカΣσςЖ жأب٣४Ⅷ²0159 ，。！「」、：（）…—“”¡¿«».,;:!?()[]{}#=-_'<>|/\u0301\u0338\u3099\n"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=SCRIPTS, max_size=900))
+def test_leaves_of_any_script_count_alike(text):
+    """Leaves begin only where the tokenizer begins a pre-token: their counts add up."""
+    leaves = edit_counts.leaves_of(text)
+    assert "".join(leaves) == text
+    assert sum(len(library(x, 0)) - 1 for x in leaves) == len(library(text, 0)) - 1
+
+
+def test_leaves_of_other_scripts(spark):
+    """Text without white space in other scripts is many leaves, and an edit re-encodes a few."""
+    rows = [(1, "这是一个句子，没有空格。" * 1700, [(9000, 9001, "x")]), (2, "слово,другое—третье" * 900, [(5000, 5003, "д")]), (3, "日本語「テスト」" * 2000, [(1, 1, "。")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:long,end:long,replacement:string>>")
+    for r in edit_counts.edited_counts(docs).collect():
+        text, (e,) = next((t, x) for i, t, x in rows if i == r["doc_id"])
+        assert r["n_leaves"] > 80 and r["encoded_chars"] < 600
+        assert r["n_tokens"] == len(library(text, 0)) - 1 and r["versions"] == [len(library(text[: e[0]] + e[2] + text[e[1] :], 0)) - 1]
+
+
 def test_edit_query_form(spark, docs):
     from quarterlight.llm.edit_counts import drawn_edits, edited_counts, with_edits
 
