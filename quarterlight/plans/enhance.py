@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators import classify, extract, merge, validate
+from ..config import Settings
+from ..operators import classify, extract, merge, tracking, validate
 from ..schemas import FIELDS
+from ..sources import readers
 
 TOTALS = ("total", "valid", "with_warnings", "with_errors", "scores")
 
 
-def extracted(pages: DataFrame, tables: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, tables: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, doc_type, confidence, note, field, value): the label cascade and tables where they find
     anything, else the line cascade.  A document without values, as a scanned one is, has one row
     without a field.  Both cascades work page by page: texts stay where they are read, hits and one narrow
-    row for each page move."""
-    types = classify.document_types(pages)
+    row for each page move.  ``settings`` has the pages that tell the type, and the length below which lines are not read."""
+    types = classify.document_types(pages, first=settings.sampled_pages)
     labelled = extract.combined(extract.by_labelled_page(pages), extract.by_table(tables)).withColumn("way", F.lit(0))
-    lines = extract.by_page(pages, extract.line_keywords()).select("doc_id", "field", "value", F.lit(1).alias("way"))
+    lines = extract.by_page(pages, extract.line_keywords(), settings.text_gate).select("doc_id", "field", "value", F.lit(1).alias("way"))
     both = labelled.unionByName(lines)
     # A document has at most one value a field and way, so its list is short.
     listed = both.groupBy("doc_id").agg(F.collect_list(F.struct("way", "field", "value")).alias("found"))
@@ -31,6 +33,17 @@ def extracted(pages: DataFrame, tables: DataFrame) -> DataFrame:
     return kinds.select("doc_id", "doc_type", "confidence", "note", F.explode_outer(found).alias("v")).select("doc_id", "doc_type", "confidence", "note", "v.field", "v.value")
 
 
+def recognised(words: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, field, value, confidence, source) of recognised words, page by page: those that are sure enough, as lines."""
+    pages = classify.recognised_text(words, settings.ocr_confidence)
+    return extract.with_source(extract.by_page(pages, extract.line_keywords(), settings.ocr_gate), 0.7, "ocr")
+
+
+def work_left(tasks: DataFrame, files: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """(failed tasks to be tried again, files large enough to be read)."""
+    return tracking.retryable(tasks, settings.max_retries), readers.acceptable_pdf(files, settings.min_download_bytes)
+
+
 def stamped(records: DataFrame, found: DataFrame, as_of: str, key: str = "doc_id") -> DataFrame:
     """Records (in map form) of documents that were looked at, with time, version and confidence in their metadata."""
     confidence = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("confidence").alias("_confidence"))

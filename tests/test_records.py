@@ -281,3 +281,19 @@ def test_codes_without_a_set(spark):
     assert tuple(empty) == (0, 0, [])
     plan = catalog.stats(spark.createDataFrame([("1",)], "stock_code string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
+
+
+def test_settings_take_effect(spark, tmp_path):
+    """A changed settings file changes what the plan finds."""
+    (tmp_path / "s.json").write_text(json.dumps({"text_gate": 5, "sampled_pages": 1, "ocr_confidence": 0.9, "ocr_gate": 0, "max_retries": 9, "min_download_bytes": 10}), encoding="utf-8")
+    own = config.load(str(tmp_path / "s.json"))
+    pages = spark.createDataFrame([("a", 1, "字" * 110), ("a", 2, "營業收入 5,000"), ("b", 1, "字" * 80), ("b", 2, "字" * 900)], "doc_id string, page_no int, text string")
+    tables = spark.createDataFrame([], "doc_id string, page int, table_index int, headers array<string>, rows array<array<string>>")
+    kinds = lambda settings: {r["doc_id"]: r["doc_type"] for r in enhance.extracted(pages, tables, settings).collect()}
+    assert kinds(config.Settings()) == {"a": "mixed", "b": "text_based"} and kinds(own) == {"a": "mixed", "b": "scanned"}
+    words = spark.createDataFrame([("a", 1, i, w, c) for i, (w, c) in enumerate([("營業收入", 0.95), ("5,000", 0.95), ("7,000", 0.5)])] + [("b", 1, 0, "字" * 60, 0.5), ("b", 2, 0, "存貨", 0.5), ("b", 2, 1, "9,000", 0.5)], "doc_id string, page_no int, position int, word string, confidence double")
+    values = lambda settings: {(r["doc_id"], r["field"], r["value"], r["confidence"]) for r in enhance.recognised(words, settings).collect()}
+    assert values(config.Settings()) == {("b", "inventory", 9000.0, 0.7)} and values(own) == {("a", "net_revenue", 5000.0, 0.7)}
+    tasks = spark.createDataFrame([("t", "failed", 5)], "id string, status string, retry_count int")
+    files = spark.createDataFrame([("x.pdf", 500)], "name string, size long")
+    assert [f.count() for f in enhance.work_left(tasks, files)] == [0, 0] and [f.count() for f in enhance.work_left(tasks, files, own)] == [1, 1]
