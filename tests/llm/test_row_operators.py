@@ -72,6 +72,67 @@ def test_scores_are_path_lengths():
     assert lengths[-1] < lengths[:-1].min()
 
 
+def test_all_labelled_rows_count(spark):
+    """More labelled rows than the 8192 that a fit once took: box, trees and threshold are those of all of them."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (9000, 6))
+    x[8500:] += rng.normal(3, 1, (500, 6))
+    rows = [(i, *[100] * 5, i % 100 == 99, *map(float, v)) for i, v in enumerate(x)]
+    measured = spark.createDataFrame(rows + [(None, *rows[0][1:]), rows[5]], quality.MEASURED).repartition(7)
+    labels = spark.createDataFrame([(i, int(i < 8500)) for i in range(9000)] + [(0, 1), (None, 0)], "doc_id long, quality int")
+    forest = quality.fit_measured(measured, labels, trees=20)
+    inside = np.arange(9000) % 100 != 99
+    x, good = x[inside], (np.arange(9000) < 8500)[inside]
+    want = quality.Forest.grow(x[good], quality.ranges(x), trees=20)
+    for name in ("feature", "split", "left", "depth", "roots"):
+        assert np.array_equal(getattr(forest, name), getattr(want, name)), name
+    threshold = quality.best_threshold(want.score(x), good)
+    assert threshold < 2 and forest.threshold == pytest.approx(threshold, abs=1e-12)
+
+
+def test_labels_beyond_the_first_8192_count(spark):
+    """The only bad rows are those that a sample by hash would have left out."""
+    rng = random.Random(14)
+    last = {r[0] for r in spark.range(8300).orderBy(F.xxhash64("id").desc()).limit(40).collect()}
+    texts = [prose(rng, 60) for _ in range(50)]
+    docs = spark.createDataFrame([(i, texts[i % 50].replace(" ", "### ") if i in last else texts[i % 50]) for i in range(8300)], "doc_id long, text string")
+    labels = docs.select("doc_id", (~F.col("text").contains("#")).cast("int").alias("quality"))
+    kept = {r["doc_id"] for r in quality.judged(docs, quality.fit(docs, labels)).filter("kept").collect()}
+    assert kept == set(range(8300)) - last
+
+
+def test_threshold_of_a_table(spark):
+    rng = np.random.default_rng(12)
+    for n, kinds, keep in ((3000, 40, 0.9), (3000, 3000, 0.99), (200, 1, 0.5), (50, 5, 0.0)):
+        score = rng.integers(1, kinds + 1, n) / kinds
+        good = rng.random(n) > score * 0.7
+        table = spark.createDataFrame(list(zip(score.tolist(), good.astype(int).tolist(), strict=True)), "score double, quality int")
+        assert quality.best_threshold_of(table, keep) == quality.best_threshold(score, good, keep)
+    assert quality.best_threshold_of(table.limit(0)) == 2.0
+
+
+def test_depths_are_expected_ones_over_draws():
+    """Depths against trees of the same cuts that hold drawn rows only."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(0, 1, (300, 6))
+    forest = quality.Forest.grow(x, quality.ranges(x), trees=1, rows=20)
+    leaves, total = np.flatnonzero(forest.left == 0), np.zeros(len(forest.left))
+    above = {0: []}
+    for k in range(len(forest.left)):
+        if forest.left[k]:
+            above[forest.left[k]] = above[forest.left[k] + 1] = [*above[k], k]
+    at = forest.leaves(x)[:, 0]
+    for _ in range(1000):
+        held = np.zeros(len(forest.left))
+        for leaf in at[rng.choice(300, 20, replace=False)]:
+            held[[*above[leaf], leaf]] += 1
+        for leaf in leaves:
+            total[leaf] += sum(held[k] >= 2 for k in above[leaf])
+    assert np.abs(total[leaves] / 1000 - forest.depth[leaves]).max() < 0.25
+    small = quality.chance_to_meet(np.arange(6), 5, 5)
+    assert np.allclose(small, [0, 0, 1, 1, 1, 1]) and np.allclose(quality.chance_to_meet(np.array([2, 3]), 4, 2), [1 / 6, 1 / 2])
+
+
 # toxicity
 
 INSULTS = ["blockhead", "numskull", "dimwit", "nitwit"]
