@@ -41,8 +41,10 @@ RARE = 0.001
 #: Levels that the trees grow at a time.
 LEVELS = 4
 KEEP = 0.998
-#: Rows scored at a time.
-CHUNK = 8192
+#: Rows scored at a time: a dozen arrays of CHUNK x TREES numbers live at once.
+CHUNK = 2048
+#: Bytes of text that are measured at a time: their words and windows take some thirty times as much.
+SLICE_BYTES = 1 << 20
 #: Buckets of scores in the running sums.
 BUCKETS = 16384
 
@@ -233,7 +235,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """The statistics, base rule and features of each document."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE_BYTES):
             s = statistics(batch.column("text"))
             arrays = [batch.column("doc_id"), *[pa.array(s[c]) for c in STATS[:5]], pa.array(base_failed(s)), *[pa.array(x) for x in features(s).T]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *STATS[:5], "base_failed", *FEATURES])
@@ -324,7 +326,7 @@ def accepted(docs: DataFrame, forest: Forest) -> DataFrame:
     """The documents that are kept, with all their columns."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE_BYTES):
             s = statistics(batch.column("text").cast(pa.string()))
             yield batch.filter(pa.array(~base_failed(s) & (forest.score(features(s)) < forest.threshold)))
 

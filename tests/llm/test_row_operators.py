@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,6 +136,37 @@ def test_depths_are_expected_ones_over_draws():
 
 # toxicity
 
+class TaskOnly:
+    """In place of a DataFrame: what would run in a task is returned."""
+
+    schema = None
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("kind", ["measured", "accepted"])
+def test_a_quality_task_needs_little_memory_beside_its_batch(spark, kind):
+    """Two tasks, the JVM and what earlier stages left in the workers share an executor."""
+    rng = np.random.default_rng(2)
+    forest = quality.Forest.grow(rng.random((3000, 6)), np.array([[0.0] * 6, [3.0] * 6]), trees=20)
+    run = quality.measured(TaskOnly()) if kind == "measured" else quality.accepted(TaskOnly(), forest)
+    words = np.array([f"w{k}" for k in range(20000)])
+    texts = [" ".join(words[rng.integers(0, 20000, 300 if k % 9 else 20)]) for k in range(5000)]
+    batch = pa.record_batch([pa.array(range(5000)), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.column("text").nbytes > 7 << 20
+    alone = pa.Table.from_batches([b for k in range(0, 5000, 97) for b in run([batch.slice(k, 97)])])
+    tracemalloc.start()
+    whole = list(run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20  # numpy's part
+    assert pa.Table.from_batches(whole).equals(alone) and 0 < len(alone) <= 5000
+
+
 INSULTS = ["blockhead", "numskull", "dimwit", "nitwit"]
 
 
