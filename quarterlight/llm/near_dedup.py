@@ -56,8 +56,8 @@ FIRST = 4
 #: Nodes, and shingles, of a bucket that one side of a tile holds.
 CELL = 128
 CELL_SHINGLES = 1 << 21
-#: Bytes of vectors that are compared at a time, and numbers in a matrix.
-COMPARED_BYTES = 8 << 20
+#: Bytes of vectors that are compared at a time (their features take some fifteen times as much), and numbers in a matrix.
+COMPARED_BYTES = 4 << 20
 MATRIX = 1 << 21
 #: Shingles sampled at a time; sketches merged by one task.
 CHUNK = 1 << 13

@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import exclusive_offsets, saved, small, table
-from .texts import give_back
+from .texts import give_back, sliced
 from .tokens import slices, tokenizer_path, word_encoder
 
 WINDOW = 4096
 END_ID = 2
 
+#: Bytes of stored ids that are cut at a time; pieces of them go back to Spark as one batch.
+CUT_BYTES = 1 << 20
+
 TOKENS = "part int, doc_id long, local_start long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, continued boolean, continues boolean"
 
@@ -55,6 +58,8 @@ def encoded(docs: DataFrame, end_id: int, path: str) -> DataFrame:
                 at += int(counts.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), cut.column("doc_id"), pa.array(starts), pa.array(counts), binaries(ids, counts)], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
             give_back()
+        encoder.forget()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
 
@@ -72,7 +77,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
     dtype = word_encoder(path).dtype
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches, "ids", CUT_BYTES):
             n = batch.column("n_tokens").to_numpy()
             begin = batch.column("base").to_numpy() + batch.column("local_start").to_numpy()
             first, last = begin // window, (begin + n - 1) // window

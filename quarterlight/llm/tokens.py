@@ -105,6 +105,12 @@ class WordEncoder:
 
         self.of_text, self.words, self.chunks = of_text, ChunkMemo(of_word), ChunkMemo(of_text, MEMO_ENTRIES // 4)
 
+    def forget(self) -> None:
+        """Empties the memos."""
+        for memo in (self.words, self.chunks):
+            memo.clear()
+            memo.old = {}
+
     def chunk(self, chunk: str) -> bytes:
         """The id bytes of a string without spaces and line ends."""
         if not chunk:
@@ -133,14 +139,17 @@ class WordEncoder:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        codes, start, count = coded.indices.to_numpy(), *self._distinct(coded.dictionary)
+        del lists
+        codes, (blob, start, count) = coded.indices.to_numpy(), self._distinct(coded.dictionary)
         n = count[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(start[codes] - ends[:-1], n) + np.arange(ends[-1])
-        return self.blob[at], np.diff(ends[offsets - offsets[0]])
+        narrow = np.int32 if ends[-1] < 1 << 31 else np.int64  # one text alone can be longer than a slice
+        at = np.repeat((start[codes] - ends[:-1]).astype(narrow), n)
+        at += np.arange(ends[-1], dtype=narrow)
+        return pa.array(blob).take(pa.array(at)).to_numpy(), np.diff(ends[offsets - offsets[0]])
 
-    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Where in ``self.blob`` each chunk's ids start, and how many they are."""
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all chunks, where each chunk's start there, and how many they are."""
         body = pc.utf8_rtrim(chunks, characters=",.")
         plain = pc.match_substring_regex(body, self.LATIN).to_numpy(zero_copy_only=False)
         low = pc.utf8_lower(body.filter(pa.array(plain))).dictionary_encode()
@@ -150,9 +159,9 @@ class WordEncoder:
         out = np.empty(len(chunks), object)
         out[plain] = [words[i] + ends[j] for i, j in zip(low.indices.to_pylist(), tails.indices.to_pylist(), strict=True)]
         out[~plain] = [self.chunks[c] if c else b"" for c in chunks.filter(pa.array(~plain)).to_pylist()]
-        self.blob = np.frombuffer(b"".join(out), self.dtype)
+        blob = np.frombuffer(b"".join(out), self.dtype)
         count = np.fromiter(map(len, out), np.int64, len(out)) // self.dtype.itemsize
-        return np.concatenate([[0], np.cumsum(count)[:-1]]) if len(out) else count, count
+        return blob, np.cumsum(count) - count, count
 
 
 @functools.lru_cache(maxsize=2)

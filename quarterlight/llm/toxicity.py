@@ -79,6 +79,8 @@ CALIBRATE = 5
 REJECT = 0.7
 #: Letters that are told apart, with one number for all others.
 ALPHABET = 64
+#: Words whose subsequences are weighed at a time; a word has some hundred of them.
+WORDS = 1 << 11
 REPEATED = "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyzàáâäçèéêëìíîïñòóôöùúûüß")
 #: Digits among letters are read as the letters that they look like, too.
 READ_AS, LETTERS = "[a-z][0134578]|[0134578][a-z]", str.maketrans("0134578", "oieastb")
@@ -174,9 +176,9 @@ class Machine:
         out = np.full(len(words), self.bias)
         seen = np.full(len(words), -np.inf)
         for at, code in by_length(words, self.table):
-            for a in range(0, len(code), 1 << 13):
-                word, sub, w = subsequences(code[a : a + (1 << 13)])
-                np.maximum.at(seen, at[a : a + (1 << 13)], np.bincount(word, w * self.weight[sub], len(code[a : a + (1 << 13)])))
+            for a in range(0, len(code), WORDS):
+                word, sub, w = subsequences(code[a : a + WORDS])
+                np.maximum.at(seen, at[a : a + WORDS], np.bincount(word, w * self.weight[sub], len(code[a : a + WORDS])))
         long = seen > -np.inf
         out[long] += seen[long]
         return out

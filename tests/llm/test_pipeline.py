@@ -2,15 +2,17 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from test_row_operators import INSULTS, prose
 
 import corpus_pipeline
 from quarterlight.llm import quality, toxicity
-from quarterlight.llm.tokens import library_tokenizer, tokenizer_path
+from quarterlight.llm.tokens import library_tokenizer, tokenizer_path, word_encoder
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +85,48 @@ def test_run_and_no_rows(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("stage", [k for k, _ in corpus_pipeline.STAGES if k != "mixing"])
+def test_texts_go_to_python_in_short_batches(spark, corpus, monkeypatch, stage):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["size"])
+
+    setting = corpus_pipeline.BATCH_SETTING
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").coalesce(1)
+    most = lambda: max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect())
+    assert spark.conf.get(setting, None) is None and most() > 100_000
+    monkeypatch.setattr(corpus_pipeline, "BATCH_BYTES", 20_000)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, corpus[0])
+        assert most() < 25_000
+        spark.conf.set(setting, "60000")  # the user's own
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, corpus[0])
+        assert spark.conf.get(setting) == "60000"
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_run_leaves_the_session_as_it_was(spark, corpus):
+    corpus_pipeline.run(spark, corpus[0])
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING, None) is None
+
+
+def test_memory_of_the_encoder():
+    rng, encoder = random.Random(3), word_encoder(tokenizer_path())
+    texts = pa.array([prose(rng, 200) for _ in range(3000)])
+    ids, counts = encoder.encode(texts)
+    tracemalloc.start()
+    again = encoder.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (again[0] == ids).all() and (again[1] == counts).all()
+    assert most < 20 * len(ids)  # 24 with numbers of 64 bits
+    assert encoder.words
+    encoder.forget()
+    assert not encoder.words and not encoder.chunks and not encoder.words.old and not encoder.chunks.old
+    assert (encoder.encode(texts)[0] == ids).all()
+
+
 def test_held_out_rows_of_the_test_data(spark, sf_dir):
     labels = {r["doc_id"]: r for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
     rows = {r["doc_id"]: r for r in toxicity.op9_string_kernel_svm(spark, sf_dir).collect()}
